@@ -157,11 +157,18 @@ def content_likeness(a: list, b: list) -> float:
     n, m = sum(k["n"] for k in p.values()), sum(k["n"] for k in q.values())
     same = sum(min(p[t]["n"] / n, q[t]["n"] / m) for t in p.keys() & q.keys())
     if not same:
-        return 0.0
+        numbers = {"integer", "fractional", "string:number"}
+        return 0.3 if p.keys() <= numbers and q.keys() <= numbers else 0.0  # the same numbers may come in another type
     gaps = [max(abs(p[t][e] - q[t][e]) for e in ("lo", "hi")) / (20 if t.startswith("string") else 1) for t in p.keys() & q.keys() if p[t]["lo"] is not None and q[t]["lo"] is not None]
     return same * (1 / (1 + max(gaps) / 4) if gaps else 1)
 
 
+def distinctive(kinds: list) -> bool:
+    """Whether the content alone tells the field: ids, times, paths, or numbers that are large and lie close together."""
+    shapes = [k for k in kinds if k["type"] != "null"]
+    return bool(shapes) and all(k["type"] in ("string:uuid", "string:time", "string:path") or k["type"] == "integer" and k["lo"] > 6 and k["hi"] - k["lo"] < 0.1 for k in shapes)
+
+
 def compare(before: list, now: list) -> list[tuple[str, str, str]]:
     """Changes (change_kind, old_name, new_name) between two files' fields. A lost and a new field are one renamed field
     if their content agrees and their names are related; the best pairs are taken first."""
@@ -171,7 +178,8 @@ def compare(before: list, now: list) -> list[tuple[str, str, str]]:
     for a in lost:
         for b in come:
             names, content = name_likeness(a, b), content_likeness(old[a], new[b])
-            if names >= 0.45 and content >= 0.2:
+            alone = names == 0 and content >= 0.9 and distinctive(old[a]) and distinctive(new[b]) and a.rpartition(".")[0] == b.rpartition(".")[0]
+            if (names >= 0.45 and content >= 0.2) or alone:
                 rated.append((-names - content, a, b))
     out, used = [], set()
     for _, a, b in sorted(rated):
