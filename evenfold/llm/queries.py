@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenfold.functions.ids import plain_uuid
-from evenfold.llm import fieldhash, leaks, mixing
+from evenfold.llm import fieldhash, leaks, lookalike, mixing, spans
 from evenfold.session import table
 
 
@@ -47,7 +47,34 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document stands elsewhere too."""
+    return spans.shared_shares(table(spark, d, "documents"))
+
+
+def text_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The text fields of problem 1: table_name, field_name, record_id, page, line, text."""
+    seen = table(spark, d, "raw_observations")
+    parts = [seen.select(F.lit("raw_observations").alias("table_name"), F.lit(f).alias("field_name"), plain_uuid("observation_id").alias("record_id"), F.lit(0).alias("page"), F.lit(0).alias("line"), F.col(f).alias("text")) for f in ("raw_text", "normalized_text")]
+    lines = table(spark, d, "snapshot_lines").select(F.lit("snapshot_lines").alias("table_name"), F.lit("text").alias("field_name"), plain_uuid("snapshot_id").alias("record_id"), F.col("page").cast("int"), F.col("line").cast("int"), "text")
+    return parts[0].unionByName(parts[1]).unionByName(lines)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.found(text_fields(spark, d))
+
+
+def p1_unified(spark: SparkSession, d: str) -> DataFrame:
+    """All text fields in one consistent form."""
+    return lookalike.unify(text_fields(spark, d))
+
+
 QUERIES = {
+    "p1_found": p1_found, "p1_unified": p1_unified, "p10_found": p10_found, "p10_shares": p10_shares,
     "p7_found": p7_found, "p7_counts": p7_counts, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
 }
 
@@ -63,7 +90,20 @@ def _copies(name: str, by: str) -> str:
         from {name} where text is not null"""
 
 
+_SHARED = """
+        w as (select doc_id, i, md5_number(substring(text, i + 1, 400)) as h from documents, unnest(range(0, length(text) - 399)) as t(i)),
+        m as (select h from w group by h having min(doc_id) <> max(doc_id)),
+        s as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 400 then 0 else 1 end as o from w semi join m using (h)),
+        g as (select *, sum(o) over (partition by doc_id order by i) as g from s),
+        f as (select doc_id, min(i) as start_pos, max(i) + 400 as end_pos from g group by doc_id, g)"""
+
 ORACLE = {
+    "p10_found": f"with {_SHARED} select doc_id, start_pos, end_pos from f",
+    "p10_shares": f"""
+        with {_SHARED}, n as (select doc_id, cast(sum(end_pos - start_pos) as bigint) as shared_chars from f group by 1)
+        select doc_id, coalesce(length(text), 0) as n_chars, coalesce(shared_chars, 0) as shared_chars,
+            case when coalesce(length(text), 0) > 0 then coalesce(shared_chars, 0) / length(text) else 0.0 end as share
+        from documents left join n using (doc_id) where doc_id is not null""",
     "p7_found": f"""
         with n as ({_copies('ocr_lines', 'group_id, variant')} union all {_copies('snapshot_lines', 'snapshot_id')}),
         m as (select table_name, line_id, min(line_id) over (partition by table_name, reading, k) as first_line_id from n where len(k) > 0)
