@@ -33,7 +33,7 @@ HYPHENS = "‐‑﹣－"
 BLANK = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
 #: Control characters that are white space stay as they are.
 KEPT = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W_]+")
 #: Spellings of words without a telling letter are compared in memory up to this many; more are joined by shuffle.
 MAX_SPELLINGS = 100_000
 
@@ -120,8 +120,8 @@ class Unifier:
             by: dict[str, list[str]] = {}
             for m in members:
                 by.setdefault(script(m[0]) if m else "", []).append(m)
-            # the most frequent; of equals a composed, plain one
-            best = {s: min(ms, key=lambda m: (-counts.get(m, 0), m != unicodedata.normalize("NFKC", m), len(m), m)) for s, ms in by.items()}
+            # the most frequent; a string of plain letters (fi) counts as more frequent than its ligature; of equals a composed, plain one
+            best = {s: min(ms, key=lambda m: (not (len(m) > 1 and m.isalpha()), -counts.get(m, 0), m != unicodedata.normalize("NFKC", m), len(m), m)) for s, ms in by.items()}
             if "" in members:
                 best = dict.fromkeys(best, "")
             for s, ms in by.items():
@@ -138,16 +138,20 @@ class Unifier:
                 self.automaton.add_word(pattern, (len(pattern), to))
         self.automaton.make_automaton()
         singles = "".join(sorted(p for p in free if len(p) == 1))
+        self.control = re.compile("[" + re.escape("".join(p for p in free if len(p) == 1 and p.isascii())) + "]")
         self.any = re.compile("[" + re.escape(singles) + "]|[̀-ͯ҃-҇]")
         self.ambiguous = {s: {c for c in self.across if script(c) == s} for s in "LCG"}
         letters = "".join(sorted(c for c in self.across if script(c) != "L"))
         self.foreign = re.compile("[" + re.escape(letters) + "]")
-        self.mixed = re.compile(r"[^\W\d_]*(?:[A-Za-zÀ-ɏ][^\W\d_]*[Ͱ-ԯ]|[Ͱ-ԯ][^\W\d_]*[A-Za-zÀ-ɏ]|[Ͱ-Ͽ][^\W\d_]*[Ѐ-ԯ]|[Ѐ-ԯ][^\W\d_]*[Ͱ-Ͽ])[^\W\d_]*")
+        self.mixed = re.compile(r"[^\W_]*(?:[A-Za-zÀ-ɏ][^\W_]*[Ͱ-ԯ]|[Ͱ-ԯ][^\W_]*[A-Za-zÀ-ɏ]|[Ͱ-Ͽ][^\W_]*[Ѐ-ԯ]|[Ѐ-ԯ][^\W_]*[Ͱ-Ͽ])[^\W_]*")
+        both = "".join(sorted(self.across))
+        self.bare = re.compile(rf"(?<![^\W_])(?=\d*[{both}])[{both}\d]+(?![^\W_])")
+        self.code = re.compile(rf"(?<![^\W_])(?=\d*[{both}])(?:[{both}]*\d[{both}\d]*(?![^\W_])|[{both}]+(?=-\d))")
 
     def plain(self, text: str) -> str:
         """Rewrites what needs no context, until nothing is left to rewrite (an accent may follow what stood for its base)."""
         for _ in range(4):
-            if text.isascii() and text.isprintable() or not self.any.search(text):
+            if not (self.control if text.isascii() else self.any).search(text):
                 return text
             out, at = [], 0
             for end, (size, to) in self.automaton.iter_long(text):
@@ -180,23 +184,25 @@ class Unifier:
         return self.respell(word, to)
 
     def context(self, text: str, start: int, end: int) -> str:
-        """What a word without a telling letter stands by: # for digits (codes such as KT-57294), otherwise the script of the nearest
+        """What a word without a telling letter stands by: # for digits (A0, KT-57294), otherwise the script of the nearest
         word in its line that has one, the left one of two; empty if there is none."""
-        if re.match(r"-?\d", text[end : end + 2]) or (start and text[start - 1].isdigit()):
+        if re.match(r"-\d", text[end : end + 2]) or any(map(str.isdigit, text[start:end])):
             return "#"
         lo, hi = text.rfind("\n", 0, start) + 1, text.find("\n", end)
         left = next((s for w in reversed(WORD.findall(text[lo:start])) if (s := self.tells(w))), "")
         return left or next((s for w in WORD.findall(text[end : hi if hi >= 0 else len(text)]) if (s := self.tells(w))), "")
 
     def spellings(self, text: str) -> list[tuple[str, str, str]]:
-        """(skeleton, context, spelling) of the words of one script without a telling letter; skeleton is the spelling in Latin.
-        Takes text that has been through plain and mixed."""
-        out = []
-        for m in WORD.finditer(text):
-            word = m.group()
-            if all(c in self.across for c in word):
-                out.append((self.respell(word, "L"), self.context(text, *m.span()), word))
-        return out
+        """(skeleton, context, spelling) of the words without a telling letter; skeleton is the spelling in Latin. Takes text that has
+        been through unmixed and is not all Latin."""
+        return [(self.respell(m.group(), "L"), self.context(text, *m.span()), m.group()) for m in self.bare.finditer(text)]
+
+    def latin_spellings(self, text: str) -> Counter:
+        """The same, counted, of a text that is all Latin: its spellings never give way, they only count."""
+        codes = Counter(self.code.findall(text))
+        rest = Counter(self.bare.findall(text))
+        rest.subtract(codes)
+        return Counter({(w, "L", w): n for w, n in rest.items() if n > 0}) + Counter({(w, "#", w): n for w, n in codes.items()})
 
     def unmixed(self, text: str) -> str:
         """plain, and words of mixed scripts in the script that they show."""
@@ -207,15 +213,14 @@ class Unifier:
 
     def rewrite(self, text: str, words: dict[tuple[str, str], str] | None = None) -> str:
         text = self.unmixed(text)
-        if not words or not any(w in text for _, w in words):
+        if not words or text.isascii() or not self.foreign.search(text):
             return text
         at, out = 0, []
-        for m in WORD.finditer(text):
-            if all(c in self.across for c in m.group()):
-                to = words.get((self.context(text, *m.span()), m.group()))
-                if to is not None:
-                    out += [text[at : m.start()], to]
-                    at = m.end()
+        for m in self.bare.finditer(text):
+            to = words.get((self.context(text, *m.span()), m.group()))
+            if to is not None:
+                out += [text[at : m.start()], to]
+                at = m.end()
         return "".join(out) + text[at:]
 
 
@@ -249,37 +254,47 @@ _FIELD = "table_name string, field_name string, record_id string, page int, line
 _KEY = ["table_name", "field_name", "record_id", "page", "line"]
 
 
+_WORDS = "array<struct<skeleton string, context string, spelling string, n long>>"
+
+
 def _survey(counts: tuple[tuple[str, int], ...]):
-    kind = pa.list_(pa.struct([("skeleton", pa.string()), ("context", pa.string()), ("spelling", pa.string())]))
+    kind = pa.list_(pa.struct([("skeleton", pa.string()), ("context", pa.string()), ("spelling", pa.string()), ("n", pa.int64())]))
+    listed = lambda seen: [{"skeleton": a, "context": b, "spelling": c, "n": n} for (a, b, c), n in seen.items()]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = _unifier(counts)
         for batch in batches:
-            changed, words = [], []
-            for text in batch.column(5).to_pylist():
+            out, latin = [], Counter()
+            for *key, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 new = u.unmixed(text)
-                changed.append(new != text)
-                seen = Counter(u.spellings(new))
-                words.append([{"skeleton": a, "context": b, "spelling": c} for a, b, c in seen])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(changed, pa.bool_()), pa.array(words, kind)], names=[*_KEY, "changed", "words"])
+                if new.isascii() or not u.foreign.search(new):
+                    latin += u.latin_spellings(new)
+                    if new != text:
+                        out.append((*key, True, []))
+                else:
+                    out.append((*key, new != text, listed(Counter(u.spellings(new)))))
+            out.append((None, None, None, None, None, False, listed(latin)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[*_KEY, "changed", "words"])
 
     return run
 
 
 def survey(fields: DataFrame, counts: tuple[tuple[str, int], ...]) -> DataFrame:
-    """Each field with whether it changes whatever its neighbours are, and its words without a telling letter, each once."""
-    return fields.select(*_KEY, "text").where("text is not null").mapInArrow(_survey(counts), f"{_FIELD}, changed boolean, words array<struct<skeleton string, context string, spelling string>>")
+    """The fields that change whatever their neighbours are, or that aren't all Latin, with their words without a telling letter. Rows
+    without a key count those words of the all-Latin fields, per batch."""
+    return fields.select(*_KEY, "text").where("text is not null").mapInArrow(_survey(counts), f"{_FIELD}, changed boolean, words {_WORDS}")
 
 
 def respellings(surveyed: DataFrame) -> DataFrame:
     """(context, spelling, to): spellings that give way to the most frequent one of their class in their context. By digits, a
     spelling with no rival gives way to the Latin one where the context is Latin in 19 of 20 cases."""
-    each = surveyed.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).select("w.*", "n")
+    each = surveyed.select(F.explode("words").alias("w")).groupBy("w.skeleton", "w.context", "w.spelling").agg(F.sum("w.n").alias("n"))
     by = Window.partitionBy("skeleton", "context")  # at most one row per spelling of a word
     best = F.max(F.struct("n", (F.col("spelling") == F.col("skeleton")).alias("latin"), "spelling")).over(by)["spelling"]
     latin = F.sum(F.when(F.col("spelling") == F.col("skeleton"), F.col("n")).otherwise(0))
     share = each.groupBy("context").agg((latin / F.sum("n")).alias("latin_share"))
-    each = each.withColumn("to", best).join(F.broadcast(share), "context")  # share has one row per context: four at most
+    each = each.withColumn("to", best).join(F.broadcast(share), "context")  # share has one row per context: five at most
     to = F.when((F.col("context") == "#") & (F.col("latin_share") >= 0.95), F.col("skeleton")).otherwise(F.col("to"))
     return each.select("context", "spelling", to.alias("to")).where("spelling <> to")
 
