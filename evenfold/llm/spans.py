@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenfold.session import cut
@@ -114,7 +114,17 @@ def anchored(piece: Piece, length: int, block: int) -> tuple[np.ndarray, np.ndar
     return h[anchor[first]], anchor[first], first, last
 
 
-_RUN = pa.schema([("anchor", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+#: A run's first window, the windows after it and the place of its anchor in it are packed into one number, as runs are most of what is moved.
+_RUN = pa.schema([("anchor", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("packed", pa.int64())])
+_BITS = 12
+
+
+def _lo() -> Column:
+    return F.shiftright("packed", 2 * _BITS)
+
+
+def _hi() -> Column:
+    return _lo() + F.shiftright("packed", _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -133,14 +143,15 @@ def _runs(length: int, block: int):
                     whole = piece.hashes(first, last + length)
                     with np.errstate(over="ignore"):  # the same stretch around another anchor place is another run
                         whole = _mix(whole + (place - first).astype(np.uint64) * np.uint64(_ODD) + (last - first).astype(np.uint64))
-                    for col, got in zip(cols, (_signed(h), _signed(whole), np.full(len(h), doc, np.int64), place + at, first + at, last + at), strict=True):
+                    packed = (first + at) << 2 * _BITS | (last - first) << _BITS | (place - first)
+                    for col, got in zip(cols, (_signed(h), _signed(whole), np.full(len(h), doc, np.int64), packed), strict=True):
                         col.append(got)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in cols], schema=_RUN)
 
     return run
 
 
-_PROBE = pa.schema([("anchor", pa.int64()), ("place", pa.int32()), ("window", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+_PROBE = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
 
 
 def _probes(length: int):
@@ -148,13 +159,13 @@ def _probes(length: int):
         for batch in batches:
             for doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 cols: list[list[np.ndarray]] = [[] for _ in _PROBE]
-                runs = sorted((r["lo"], r["hi"], r["at"], r["anchor"]) for r in runs)
+                runs = sorted((r["lo"], r["hi"], r["anchor"]) for r in runs)
                 for at, piece in pieces(text, length):
                     h = piece.rolling(length)
-                    for lo, hi, place, anchor in runs:
+                    for lo, hi, anchor in runs:
                         if at <= lo < at + len(h):
                             w = np.arange(lo, hi + 1, dtype=np.int64)
-                            for col, got in zip(cols, (np.full(len(w), anchor, np.int64), (place - w).astype(np.int32), _signed(h[w - at]), np.full(len(w), doc, np.int64), w), strict=True):
+                            for col, got in zip(cols, (np.full(len(w), anchor, np.int64), _signed(h[w - at]), np.full(len(w), doc, np.int64), w), strict=True):
                                 col.append(got)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(cols, _PROBE, strict=True)], schema=_PROBE)
@@ -189,18 +200,19 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, block: int = BLOCK)
     """(doc_id, start_pos, end_pos): the longest unbroken stretches of shared characters, in code points. Rows without doc_id or text
     share nothing, nor do texts shorter than length; doc_id is taken as unique, so a stretch that repeats within one
     row isn't shared. Groups are reduced by least and greatest doc_id before the shuffle: a stretch in a third of all rows costs one row per task."""
+    if not 0 < block <= length < block + (1 << _BITS):
+        raise ValueError("block must be at most length, and length less than block + 4096")
     rows = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    runs = cut(rows.mapInArrow(_runs(length, block), "anchor long, whole long, doc_id long, at long, lo long, hi long"))
+    runs = cut(rows.mapInArrow(_runs(length, block), "anchor long, whole long, doc_id long, packed long"))
     stretches = runs.groupBy("anchor", "whole").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
     common = stretches.groupBy("anchor").agg(F.min("d0").alias("a0"), F.max("d1").alias("a1"), F.count(F.lit(1)).alias("n")).where("a0 <> a1")
     known = cut(stretches.join(common.select("anchor", "n"), "anchor"))
     kept = runs.join(known.where("d0 <> d1 or n > 1"), ["anchor", "whole"])
-    sure = kept.where("d0 <> d1").select("doc_id", "lo", "hi")
+    sure = kept.where("d0 <> d1").select("doc_id", _lo().alias("lo"), _hi().alias("hi"))
     # stretches of one row, and two rows of the others wherever there is something to compare with them
-    doubtful = kept.where("n > 1 and (doc_id = d0 or doc_id = d1)").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "at", "anchor")).alias("runs"))  # of one text
-    probes = rows.join(doubtful, "doc_id").select("doc_id", "text", "runs").mapInArrow(_probes(length), "anchor long, place int, window long, doc_id long, at long")
-    probes = cut(probes)
-    key = ["anchor", "place", "window"]
+    doubtful = kept.where("n > 1 and (doc_id = d0 or doc_id = d1)").groupBy("doc_id").agg(F.collect_list(F.struct(_lo().alias("lo"), _hi().alias("hi"), "anchor")).alias("runs"))  # of one text
+    probes = rows.join(doubtful, "doc_id").select("doc_id", "text", "runs").mapInArrow(_probes(length), "anchor long, window long, doc_id long, at long")
+    key = ["anchor", "window"]  # probed twice rather than written: the windows outweigh the texts
     hits = probes.groupBy(*key).agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select(*key)
     hit = probes.join(hits, key, "left_semi").select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
     found = sure.unionByName(hit).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))  # of one text
