@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenfold.functions.ids import plain_uuid
-from evenfold.llm import fieldhash, leaks, lookalike, mixing, spans
+from evenfold.llm import fieldhash, leaks, lookalike, mixing, scannoise, spans
 from evenfold.session import table
 
 
@@ -73,7 +73,27 @@ def p1_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(text_fields(spark, d))
 
 
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, d, "raw_observations").select(plain_uuid("observation_id").alias("record_id"), F.col("raw_text").alias("text"))
+    return texts, table(spark, d, "ocr_lines")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    texts, lines = _scanned(spark, d)
+    bc = scannoise.ship(texts.select("text").unionByName(lines.select("text")))
+    parts = (("raw_observations", scannoise.text_noise(texts, bc)), ("ocr_lines", scannoise.line_noise(lines, bc)))
+    a, b = (found.select(F.lit(name).alias("table_name"), "record_id", "line_no", "kind") for name, found in parts)
+    return a.unionByName(b)
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of raw_observations as continuous paragraphs; one row for each row."""
+    texts, lines = _scanned(spark, d)
+    return scannoise.repair(texts, scannoise.ship(texts.select("text").unionByName(lines.select("text"))))
+
+
 QUERIES = {
+    "p3_found": p3_found, "p3_repaired": p3_repaired,
     "p1_found": p1_found, "p1_unified": p1_unified, "p10_found": p10_found, "p10_shares": p10_shares,
     "p7_found": p7_found, "p7_counts": p7_counts, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
 }
