@@ -138,8 +138,7 @@ class Unifier:
                 self.automaton.add_word(pattern, (len(pattern), to))
         self.automaton.make_automaton()
         singles = "".join(sorted(p for p in free if len(p) == 1))
-        self.control = re.compile("[" + re.escape("".join(p for p in free if len(p) == 1 and p.isascii())) + "]")
-        self.any = re.compile("[" + re.escape(singles) + "]|[̀-ͯ҃-҇]")
+        self.touched = frozenset(singles) | {chr(n) for n in (*range(0x300, 0x370), *range(0x483, 0x488))}
         self.ambiguous = {s: {c for c in self.across if script(c) == s} for s in "LCG"}
         letters = "".join(sorted(c for c in self.across if script(c) != "L"))
         self.foreign = re.compile("[" + re.escape(letters) + "]")
@@ -151,7 +150,7 @@ class Unifier:
     def plain(self, text: str) -> str:
         """Rewrites what needs no context, until nothing is left to rewrite (an accent may follow what stood for its base)."""
         for _ in range(4):
-            if not (self.control if text.isascii() else self.any).search(text):
+            if self.touched.isdisjoint(text):
                 return text
             out, at = [], 0
             for end, (size, to) in self.automaton.iter_long(text):
@@ -269,7 +268,7 @@ def _survey(counts: tuple[tuple[str, int], ...]):
             for *key, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 new = u.unmixed(text)
                 if new.isascii() or not u.foreign.search(new):
-                    latin += u.latin_spellings(new)
+                    latin.update(u.latin_spellings(new))
                     if new != text:
                         out.append((*key, True, []))
                 else:
