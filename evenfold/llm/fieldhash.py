@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenfold.session import cut
+
 #: A word is a run of letters and digits; a mark directly between two digits belongs to the number.
 WORD = r"[\p{L}\p{N}]+(?:(?<=\p{Nd})[^\p{L}\p{N}\s](?=\p{Nd})[\p{L}\p{N}]+)*"
 _MASK = (1 << 62) - 1
@@ -34,17 +36,36 @@ def same_fields(a: Column, b: Column) -> Column:
     return (a == b) | ((F.size(a) == F.size(b)) & F.forall(a, lambda x: times(a, x) == times(b, x)))
 
 
-def collapse(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(classes, members). classes: one row per reading and distinct line with first_line_id and n_copies. members: (first_line_id,
-    line_id) of every line but the first of its class. Lines without words and rows without id are left out; a null in a reading
-    column is a value; a row that stands twice with one id is one line. Group sizes don't matter: groups are reduced by partial
-    aggregation and joined back, so a group with a third of all lines is spread like any other."""
-    key = F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")).alias(f"k{i}") for i, c in enumerate(reading))))
-    rows = lines.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(key.alias("_r"), F.col(id_col).alias("line_id"), fields_of(F.col(text_col)).alias("_f"))
-    rows = rows.where(F.size("_f") > 0).select("_r", "line_id", "_f", multiset_hash(F.col("_f"), 11).alias("_a"), multiset_hash(F.col("_f"), 23).alias("_b"))
-    first = rows.groupBy("_r", "_a", "_b").agg(F.min_by(F.struct("line_id", "_f"), "line_id").alias("_1"), F.count_distinct("line_id").alias("n_copies"))
-    first = first.select("_r", "_a", "_b", F.col("_1.line_id").alias("first_line_id"), F.col("_1._f").alias("_ff"), "n_copies")
-    classes = first.select("first_line_id", "n_copies")
-    more = rows.join(first.where("n_copies > 1").drop("n_copies"), ["_r", "_a", "_b"])
-    members = more.where((F.col("line_id") != F.col("first_line_id")) & same_fields(F.col("_f"), F.col("_ff"))).select("first_line_id", "line_id").distinct()
-    return classes, members
+def _reading(columns: list[str]) -> Column:
+    """The reading as one string; a null is a value of its own."""
+    return F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")).alias(f"k{i}") for i, c in enumerate(columns))))
+
+
+def fingerprints(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text") -> DataFrame:
+    """(line_id, a, b): 128 bits of each line's reading and fields. Lines without words and rows without id are left out. Written once, as
+    bringing lines to their words is what costs here."""
+    rows = lines.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_id"), _reading(reading).alias("r"), fields_of(F.col(text_col)).alias("f"))
+    rows = rows.where(F.size("f") > 0)
+    return cut(rows.select("line_id", F.xxhash64("r", multiset_hash(F.col("f"), 11)).alias("a"), F.xxhash64(multiset_hash(F.col("f"), 23), "r").alias("b")))
+
+
+def counts(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text") -> DataFrame:
+    """(first_line_id, n_copies): each distinct line of a reading once, with the number of its copies. A row that stands twice with one id
+    is one line."""
+    keyed = fingerprints(lines, reading, id_col, text_col)
+    return keyed.groupBy("a", "b").agg(F.min("line_id").alias("first_line_id"), F.count_distinct("line_id").alias("n_copies")).drop("a", "b")
+
+
+def copies(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text") -> DataFrame:
+    """(first_line_id, line_id) of every line but the first of its class. Group sizes don't matter: groups are reduced to their first
+    line by partial aggregation and joined back, so one with a third of all lines is spread like any other. Only lines with a partner
+    are looked at again, to compare reading and fields."""
+    keyed = fingerprints(lines, reading, id_col, text_col)
+    more = keyed.groupBy("a", "b").agg(F.min("line_id").alias("first_line_id"), F.max("line_id").alias("z")).where("first_line_id <> z").drop("z")
+    pairs = keyed.join(more, ["a", "b"]).where("line_id <> first_line_id").select("first_line_id", "line_id").distinct()
+    ids = pairs.select("line_id").unionByName(pairs.select(F.col("first_line_id").alias("line_id"))).distinct()
+    full = lines.select(F.col(id_col).alias("line_id"), _reading(reading).alias("r"), F.col(text_col).alias("t")).join(ids, "line_id", "left_semi")
+    full = full.select("line_id", "r", fields_of(F.col("t")).alias("f"))
+    first = full.select(F.col("line_id").alias("first_line_id"), F.col("r").alias("r1"), F.col("f").alias("f1"))
+    checked = pairs.join(full, "line_id").join(first, "first_line_id").where((F.col("r") == F.col("r1")) & same_fields(F.col("f"), F.col("f1")))
+    return checked.select("first_line_id", "line_id").distinct()

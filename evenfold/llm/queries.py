@@ -17,13 +17,13 @@ def _readings(spark: SparkSession, d: str):
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Every line that repeats an earlier one of its reading or snapshot in another dress."""
-    parts = [fieldhash.collapse(rows, by)[1].select(F.lit(name).alias("table_name"), "first_line_id", "line_id") for name, rows, by in _readings(spark, d)]
+    parts = [fieldhash.copies(rows, by).select(F.lit(name).alias("table_name"), "first_line_id", "line_id") for name, rows, by in _readings(spark, d)]
     return parts[0].unionByName(parts[1])
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct line once, with the number of its copies."""
-    parts = [fieldhash.collapse(rows, by)[0].select(F.lit(name).alias("table_name"), "first_line_id", "n_copies") for name, rows, by in _readings(spark, d)]
+    parts = [fieldhash.counts(rows, by).select(F.lit(name).alias("table_name"), "first_line_id", "n_copies") for name, rows, by in _readings(spark, d)]
     return parts[0].unionByName(parts[1])
 
 
