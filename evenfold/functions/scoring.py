@@ -18,8 +18,8 @@ def weight(confidence: Column) -> Column:
 def bps(part: Column, total: Column) -> Column:
     """part / total in basis points, in single precision, halves away from zero, clamped; 0 unless total is positive."""
     share = (part.cast("float") / F.when(total > 0, total.cast("float"))).cast("float")
-    scaled = (share * F.lit(float(SCALE)).cast("float")).cast("float")
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(SCALE), F.round(scaled.cast("double")).cast("int"))), F.lit(0))
+    scaled = (share * F.lit(float(SCALE)).cast("float")).cast("double")
+    return F.when(total > 0, F.greatest(F.lit(0), F.least(F.lit(SCALE), F.round(scaled).cast("int")))).otherwise(0)
 
 
 def status(pages: Column, convergence: Column, ambiguity: Column) -> Column:
