@@ -139,9 +139,7 @@ class Unifier:
         self.automaton.make_automaton()
         singles = "".join(sorted(p for p in free if len(p) == 1))
         self.touched = frozenset(singles) | {chr(n) for n in (*range(0x300, 0x370), *range(0x483, 0x488))}
-        self.ambiguous = {s: {c for c in self.across if script(c) == s} for s in "LCG"}
-        letters = "".join(sorted(c for c in self.across if script(c) != "L"))
-        self.foreign = re.compile("[" + re.escape(letters) + "]")
+        self.foreign = re.compile("[Ͱ-ԯ]")
         self.mixed = re.compile(r"[^\W_]*(?:[A-Za-zÀ-ɏ][^\W_]*[Ͱ-ԯ]|[Ͱ-ԯ][^\W_]*[A-Za-zÀ-ɏ]|[Ͱ-Ͽ][^\W_]*[Ѐ-ԯ]|[Ѐ-ԯ][^\W_]*[Ͱ-Ͽ])[^\W_]*")
         both = "".join(sorted(self.across))
         self.bare = re.compile(rf"(?<![^\W_])(?=\d*[{both}])[{both}\d]+(?![^\W_])")
