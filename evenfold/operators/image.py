@@ -5,6 +5,8 @@ An image is a row (image_id, width, height, pixels binary), one byte a pixel.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +49,29 @@ def otsu_table(histograms: DataFrame) -> DataFrame:
     return best.select("image_id", F.when(F.col("v") > 0, F.col("t")).otherwise(128).alias("threshold"))
 
 
+def png(gray: np.ndarray) -> bytes:
+    """An 8-bit gray PNG."""
+    h, w = gray.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.hstack([np.zeros((h, 1), np.uint8), gray]).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def read_gray(spark, path: str) -> DataFrame:
+    """Gray images of the PNG, JPEG and other files under a path; files that are no image are left out."""
+    raw = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, h, w, n, data in zip(b["origin"], b["height"], b["width"], b["nChannels"], b["data"], strict=True):
+                px = np.frombuffer(data, np.uint8).reshape(h, w, n)
+                out.append((name, w, h, (px[..., 0] if n == 1 else luma(px[..., 2::-1])).tobytes()))
+            yield pd.DataFrame(out, columns=["image_id", "width", "height", "pixels"])
+
+    return raw.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, IMAGES)
+
+
 def binarize(gray: np.ndarray, threshold: int) -> np.ndarray:
     return np.where(gray > threshold, 255, 0).astype(np.uint8)
 

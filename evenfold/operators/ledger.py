@@ -111,13 +111,25 @@ def _time(t: datetime) -> Column:
     return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def _run_of(items: list[Item], arrived: Column) -> Column:
-    """run_id of the item that covers a time; null if none does. The stretches are sorted and disjoint,
-    so the first one that ends at or after the time is it."""
-    lo = F.array(*(_time(i.upto) for i in items))
-    ids = F.array(*(F.lit(i.run_id).cast("long") for i in items))
-    before = F.aggregate(lo, F.lit(0), lambda n, x: n + F.when(x < arrived, 1).otherwise(0))
-    return F.get(ids, before)
+#: Up to this many stretches are told by an expression; more by a join on the day.
+FEW = 256
+
+
+def _with_run(rows: DataFrame, items: list[Item]) -> DataFrame:
+    """rows with run_id of the item that covers the time `at`; rows that none covers are left out. The stretches are sorted and disjoint."""
+    if len(items) <= FEW:
+        ends = F.array(*(_time(i.upto) for i in items))
+        ids = F.array(*(F.lit(i.run_id).cast("long") for i in items))
+        before = F.aggregate(ends, F.lit(0), lambda n, x: n + F.when(x < F.col("at"), 1).otherwise(0))
+        return rows.withColumn("run_id", F.get(ids, before)).where("run_id is not null")
+    spark = rows.sparkSession
+    first, rest = items[0], items[1:]
+    days = [(i.run_id, i.after.isoformat(sep=" "), i.upto.isoformat(sep=" ")) for i in rest]
+    spans = spark.createDataFrame(days, "run_id long, a string, b string").withColumns({"a": F.col("a").cast("timestamp_ntz"), "b": F.col("b").cast("timestamp_ntz")})
+    spans = spans.withColumn("day", F.explode(F.sequence(F.to_date("a"), F.to_date("b"))))
+    early = rows.where(F.col("at") <= _time(first.upto)).withColumn("run_id", F.lit(first.run_id).cast("long"))
+    late = rows.where(F.col("at") > _time(first.upto)).withColumn("day", F.to_date("at")).join(spans, "day").where("at > a and at <= b")
+    return early.unionByName(late.select(*rows.columns, "run_id"))
 
 
 def first_seen(df: DataFrame, key: Column, items: list[Item]) -> DataFrame:
@@ -125,7 +137,7 @@ def first_seen(df: DataFrame, key: Column, items: list[Item]) -> DataFrame:
     if not items:
         return df.sparkSession.createDataFrame([], "record_id string, run_id long")
     got = df.select(key.alias("record_id"), F.col("arrived_at").cast("timestamp_ntz").alias("at")).where("record_id is not null and at is not null")
-    return got.groupBy("record_id").agg(F.min("at").alias("at")).select("record_id", _run_of(items, F.col("at")).alias("run_id")).where("run_id is not null")
+    return _with_run(got.groupBy("record_id").agg(F.min("at").alias("at")), items).select("record_id", "run_id")
 
 
 def changed(df: DataFrame, key: Column, items: list[Item], compare: list[str]) -> DataFrame:
@@ -136,8 +148,7 @@ def changed(df: DataFrame, key: Column, items: list[Item], compare: list[str]) -
         return df.sparkSession.createDataFrame([], "record_id string, run_id long")
     at = F.col("arrived_at").cast("timestamp_ntz")
     got = df.select(key.alias("record_id"), at.alias("at"), F.struct(*compare).alias("v")).where("record_id is not null and at is not null")
-    got = got.withColumn("run_id", _run_of(items, F.col("at"))).where("run_id is not null")
-    last = got.groupBy("record_id", "run_id").agg(F.max(F.struct("at", "v")).alias("l"))
+    last = _with_run(got, items).groupBy("record_id", "run_id").agg(F.max(F.struct("at", "v")).alias("l"))
     w = Window.partitionBy("record_id").orderBy("run_id")  # at most one row per run
     last = last.withColumns({"v": F.col("l.v"), "p": F.lag("l.v").over(w), "n": F.row_number().over(w)})
     return last.where((F.col("n") == 1) | ~F.col("v").eqNullSafe(F.col("p"))).select("record_id", "run_id")

@@ -112,7 +112,9 @@ def metrics(folded: DataFrame) -> DataFrame:
 
 
 def pages(folded: DataFrame) -> DataFrame:
-    """(group_id, page_no, line_no, text): winners by the ordinal of their page and of their line in it. Positions of one document."""
-    page = F.dense_rank().over(Window.partitionBy("group_id").orderBy("page"))
+    """(group_id, page_no, line_no, text): winners by the ordinal of their page and of their line in it."""
+    from evenfold.operators.snapshots import page_ordinals
+
     line = F.row_number().over(Window.partitionBy("group_id", "page").orderBy("line_index"))
-    return folded.select("group_id", page.alias("page_no"), line.alias("line_no"), F.col("winner").alias("text"))
+    rows = folded.select("group_id", "page", line.alias("line_no"), F.col("winner").alias("text"))
+    return rows.join(page_ordinals(folded), ["group_id", "page"]).select("group_id", "page_no", "line_no", "text")

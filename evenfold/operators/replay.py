@@ -6,15 +6,37 @@ document's events are taken up by time and id; position by position, as in plura
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenfold.functions.ids import NAMESPACE_OID, uuid5
 from evenfold.operators import plurality
 
 _SOURCE = "struct<OcrVariant: struct<variant: string, page: int, line_index: int>>"
 _PAYLOAD = "struct<OcrLine: struct<text: string, confidence: float>>"
 
 
+def events_of(lines: DataFrame, timestamp: Column) -> DataFrame:
+    """Lines (group_id, variant, page, line, text, confidence) as events with document_id. The id is made from the document, place, text and time,
+    so the same line gives the same event; the event's confidence is the line's, or 0."""
+    source = F.to_json(F.struct(F.struct("variant", "page", (F.col("line") - 1).alias("line_index")).alias("OcrVariant")))
+    payload = F.to_json(F.struct(F.struct("text", "confidence").alias("OcrLine")))
+    named = F.concat_ws("#", "group_id", "variant", F.col("page").cast("string"), F.col("line").cast("string"), "text", timestamp.cast("string"))
+    return lines.select(
+        uuid5(NAMESPACE_OID, named).alias("id"), F.lit(1).alias("schema_version"), timestamp.alias("timestamp"), source.alias("source"), payload.alias("payload"),
+        F.coalesce(F.col("confidence").cast("float"), F.lit(0.0).cast("float")).alias("confidence"), F.col("group_id").alias("document_id"),
+    )
+
+
+def observation_events(observations: DataFrame, timestamp: Column) -> DataFrame:
+    """Observations as events of the reducer, which replay skips."""
+    payload = F.to_json(F.struct(F.struct(*observations.columns).alias("Observation")))
+    return observations.select(
+        uuid5(NAMESPACE_OID, F.concat_ws("#", F.lit("observation"), "id")).alias("id"), F.lit(1).alias("schema_version"), timestamp.alias("timestamp"), F.lit('"Reducer"').alias("source"), payload.alias("payload"),
+        F.coalesce(F.col("confidence").cast("float"), F.lit(0.0).cast("float")).alias("confidence"), "document_id",
+    )
+
+
 def lines_of(events: DataFrame, key: str) -> DataFrame:
     """(group_id, id, timestamp, page, line_index, text, variant, applied): applied is false for events of another source or payload (and for JSON that doesn't parse),
     which replay skips. page and line_index default to 0."""

@@ -25,10 +25,16 @@ def fields(positions: DataFrame) -> DataFrame:
     return page_lines(positions).select("group_id", F.format_string("page_%d_line_%d", "page", "line_no").alias("field"), "text")
 
 
+def page_ordinals(positions: DataFrame) -> DataFrame:
+    """(group_id, page, page_no): pages by their rank in the document; the window sees one row per page."""
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("page"))
+    return positions.select("group_id", "page").distinct().withColumn("page_no", rank)
+
+
 def snapshot_lines(positions: DataFrame) -> DataFrame:
     """(group_id, page, line, text) by the ordinal of the page and of the line in it."""
-    page = F.dense_rank().over(Window.partitionBy("group_id").orderBy("page"))
-    return page_lines(positions).select("group_id", page.alias("page"), F.col("line_no").alias("line"), "text")
+    rows = page_lines(positions).join(page_ordinals(positions), ["group_id", "page"])
+    return rows.select("group_id", F.col("page_no").alias("page"), F.col("line_no").alias("line"), "text")
 
 
 def content_hash(document_id: Column, iterations: Column, lines: Column) -> Column:

@@ -267,6 +267,13 @@ def event_lines(spark: SparkSession, d: str) -> DataFrame:
     return replay.lines_of(_events(spark, d), "group_id").drop("variant")
 
 
+def events_from_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines written as events and read again."""
+    lines = _lines(spark, d).where("text is not null and not isnan(coalesce(confidence, 0))")
+    made = replay.events_of(lines, F.lit(1771113600).cast("long") + F.col("line_id"))
+    return replay.lines_of(made, "document_id").select("group_id", "id", "page", "line_index", "text", "variant", "applied")
+
+
 def replay_genesis(spark: SparkSession, d: str) -> DataFrame:
     return replay.replay(_events(spark, d), "group_id")[1]
 
@@ -314,7 +321,7 @@ QUERIES = {f.__name__: f for f in (
     reduce_documents, reduce_strict, positions_fuzzy, positions_exact, lines_scan, lines_keep_blank, document_text, normalize_canonical, vote_keys, incremental_normalize, single_votes,
     alternatives, winner_runner_up, jw_pairs, semantic_veto_pairs, key_traits, fields_projection, snapshot_lines, cluster_groups, snapshot_documents, rehydrate_snapshots, observations,
     document_uuid, content_hash, roi_atomic, roi_clusters, roi_merged, roi_plan, roi_refine, plurality_positions, plurality_metrics, plurality_pages, latest_snapshot, events_after_snapshot,
-    replace_into, ignore_into, snapshot_with_lines, duplicate_positions, event_lines, replay_genesis, replay_positions, replay_checkpoint, replay_equivalence, otsu_threshold, image_variants,
+    replace_into, ignore_into, snapshot_with_lines, duplicate_positions, event_lines, events_from_lines, replay_genesis, replay_positions, replay_checkpoint, replay_equivalence, otsu_threshold, image_variants,
     pipeline_snapshots,
 )}
 QUERIES |= {f"normalize_{name}": _normalize(name) for name in PROFILES}

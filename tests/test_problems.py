@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from evenfold.operators import drift, messages, snapdiff
+from evenfold.operators import drift, ledger, messages, snapdiff
 from evenfold.operators.ledger import Ledger, StaleWriter, changed, first_seen, process, replay_runs
 
 U = "0197a1b2-c3d4-7e5f-8a6b-0c1d2e3f4a{:02x}"
@@ -66,7 +66,9 @@ def test_ledger_leases():
     assert Ledger.loads(led.dumps()) == led
 
 
-def test_runs_and_records(spark):
+@pytest.mark.parametrize("few", [256, 1])
+def test_runs_and_records(spark, monkeypatch, few):
+    monkeypatch.setattr(ledger, "FEW", few)
     h = lambda n: T0 + timedelta(hours=n)
     runs = [(1, "t", h(1), "succeeded"), (2, "t", h(2), "failed"), (3, "t", h(3), "succeeded"), (3, "t", h(3), "succeeded"), (4, "t", h(2), "succeeded"), (5, "t", None, "succeeded"), (6, "t", h(6), "running"), (7, "t", h(7), "succeeded"), (None, "t", h(9), "succeeded"), (8, "u", h(1), None)]
     items = replay_runs(spark.createDataFrame(runs, "run_id long, table_name string, cutoff_at timestamp_ntz, status string"))

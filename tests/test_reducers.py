@@ -170,6 +170,15 @@ def test_replay(spark):
         assert [r.equivalent for r in replay.equivalent(df, "document_id", at).collect()] == [True]
 
 
+def test_events_of_lines(spark):
+    rows = lines(spark, [("a", ["x", ("y", 0.5)])])
+    made = replay.events_of(rows, F.lit(7).cast("long"))
+    assert sorted((r.page, r.line_index, r.text, r.applied) for r in replay.lines_of(made, "document_id").collect()) == [(1, 0, "x", True), (1, 1, "y", True)]
+    assert sorted(r.confidence for r in made.collect()) == [0.0, 0.5] and made.select("id").distinct().count() == 2
+    seen = spark.createDataFrame([("i", "d", 0.5, "Failed")], "id string, document_id string, confidence float, status string")
+    assert [r.applied for r in replay.lines_of(replay.observation_events(seen, F.lit(7).cast("long")), "document_id").collect()] == [False]
+
+
 def test_streaming_replay_equals_batch(spark, tmp_path):
     from evenfold.streaming import replay as stream
 

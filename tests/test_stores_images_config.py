@@ -74,3 +74,11 @@ def test_settings(tmp_path):
     with pytest.raises(ValueError):
         resolve("unknown", cwd=str(tmp_path), env={})
     assert "min_confidence" in c.summary()
+
+
+def test_image_files(spark, tmp_path):
+    gray = np.arange(60, dtype=np.uint8).reshape(6, 10)
+    (tmp_path / "a.png").write_bytes(image.png(gray))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = image.read_gray(spark, str(tmp_path)).collect()
+    assert [(r.width, r.height, bytes(r.pixels)) for r in got] == [(10, 6, gray.tobytes())]
