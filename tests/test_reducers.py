@@ -38,6 +38,35 @@ def test_hand_worked(spark, rows, conv, amb, coll, extra):
     assert p[1, 1].winner == extra["winner"]
 
 
+TITLE = [  # fixed values: one title block as three variants read it
+    ("a", ["05/06/2020 DESCRIZIONE :", "NOME FILE :", "MATERIALE :", "ss", "NUM. DISEGNO", "FOGLIO 1 DI 1"]),
+    ("b", ["05/06/2020 DESCRIZIONE :", "NOME FILE :", "MATERIALE :", "rss", "NUM. DISEGNO", "FOGLIO 1 DI 1"]),
+    ("c", ["05/06/2020", "TBCSS", "NOME FILE", "DIM. FOGLIO : NUM. DISEGNO", "A3", "1 dor)", "FOGLIO 1 DI i"]),
+]
+GHOST = [("a", ["Document Title", "Line 1 content", "Line 2 content", "Line 3 content", "Footer text"]), ("b", ["Document Title", "Line 1 content", "Line 2 content", "Line 3 content", "Footer text"]),
+         ("c", ["Document Title", "Line 1 content", "Line 2 content", "Line 3 content", "GHOST LINE artifact", "Footer text"])]
+MONEY = [("a", ["Currency Conversion Examples", "Amount in Euro: €1000.00", "Amount in USD: 1000 USD", "Amount in EUR: 1000 EUR"]),
+         ("b", ["Currency Conversion Examples", "Amount in Euro: 1000.00 €", "Amount in USD: USD 1000", "Amount in EUR: EUR 1000"]),
+         ("c", ["Currency Conversion Examples", "Amount in Euro: €1000", "Amount in USD: 1000 USD", "Amount in EUR: 1000 EUR"])]
+
+
+def weighed(rows, weights):
+    return [(s, [(t, w) for t in body]) for (s, body), w in zip(rows, weights, strict=True)]
+
+
+@pytest.mark.parametrize("rows,scores,conflicts", [
+    (TITLE, (6666, 2856, 2631), (0, 0)), (weighed(TITLE, [0.90, 0.88, 0.72]), (7028, 3474, 2631), (0, 0)),
+    ([("s", body) for _, body in TITLE], (5476, 4047, 0), (0, 0)),
+    (GHOST, (9444, 555, 5625), (0, 0)), ([("s", body) for _, body in GHOST], (9166, 833, 0), (0, 0)),
+    (MONEY, (9166, 833, 5833), (0, 1)),
+    (weighed([(s, [t]) for s, t in zip("abcd", ["Stato: pagato"] * 2 + ["Stato: non pagato"] * 2, strict=True)], [0.95, 0.90, 0.92, 0.88]), (5068, 9863, 5000), (1, 0)),
+    (weighed([(s, [t]) for s, t in zip("abcd", ["PIVA: 12345678901"] * 2 + ["PIVA: 12345678907"] * 2, strict=True)], [0.94, 0.93, 0.92, 0.91]), (5054, 9892, 5000), (0, 1)),
+])
+def test_goldens(spark, rows, scores, conflicts):
+    d, _ = reduced(spark, rows)
+    assert (d.convergence_bps, d.ambiguity_bps, d.collision_rate_bps) == scores and (d.negation_conflicts, d.numeric_conflicts) == conflicts
+
+
 def test_vetoes(spark):
     d, _ = reduced(spark, [("a", [("il documento non è pagato oggi", 0.9)]), ("b", [("il documento è pagato oggi", 0.8)])])
     assert (d.negation_conflicts, d.numeric_conflicts) in ((1, 0), (0, 0))
