@@ -204,10 +204,11 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, block: int = BLOCK)
         raise ValueError("block must be at most length, and length less than block + 4096")
     rows = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     runs = cut(rows.mapInArrow(_runs(length, block), "anchor long, whole long, doc_id long, packed long"))
-    stretches = runs.groupBy("anchor", "whole").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
-    common = stretches.groupBy("anchor").agg(F.min("d0").alias("a0"), F.max("d1").alias("a1"), F.count(F.lit(1)).alias("n")).where("a0 <> a1")
-    known = cut(stretches.join(common.select("anchor", "n"), "anchor"))
-    kept = runs.join(known.where("d0 <> d1 or n > 1"), ["anchor", "whole"])
+    common = runs.groupBy("anchor").agg(F.min("doc_id").alias("a0"), F.max("doc_id").alias("a1")).where("a0 <> a1").select("anchor")
+    near = cut(runs.join(common, "anchor"))  # the few runs whose anchor stands in two rows
+    stretches = near.groupBy("anchor", "whole").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
+    several = stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    kept = near.join(stretches.join(several, "anchor").where("d0 <> d1 or n > 1"), ["anchor", "whole"])
     sure = kept.where("d0 <> d1").select("doc_id", _lo().alias("lo"), _hi().alias("hi"))
     # stretches of one row, and two rows of the others wherever there is something to compare with them
     doubtful = kept.where("n > 1 and (doc_id = d0 or doc_id = d1)").groupBy("doc_id").agg(F.collect_list(F.struct(_lo().alias("lo"), _hi().alias("hi"), "anchor")).alias("runs"))  # of one text
