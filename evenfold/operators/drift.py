@@ -145,7 +145,7 @@ def name_likeness(a: str, b: str) -> float:
 
 
 def _types(kinds: list) -> set[str]:
-    return {k["type"].partition(":")[0] for k in kinds} - {"null"}
+    return {k["type"].partition(":")[0] for k in kinds} - {"null", "object"}
 
 
 def content_likeness(a: list, b: list) -> float:

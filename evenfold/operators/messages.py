@@ -58,18 +58,20 @@ def copies(identified: DataFrame) -> DataFrame:
 
 
 def deliveries(identified: DataFrame) -> DataFrame:
-    """copies() with the seen ranges at work: numbers are taken up in order within their producer's block; opens says that a
-    number starts a new range instead of extending the one before it. The first row of an uncovered number is accepted,
-    which covers it, so n_rows - 1 further rows fall into a seen range and are rejected. Malformed identifiers are looked up by their exact key."""
-    w = Window.partitionBy("_producer", F.shiftright("_number", BLOCK_BITS), "_key").orderBy("_number")  # at most 2**BLOCK_BITS rows
-    gap = F.lag("_number").over(w) != F.col("_number") - 1
-    return copies(identified).withColumn("opens", F.col("_key").isNull() & F.coalesce(gap, F.lit(True)))
+    """copies() with the seen ranges at work. Numbers are taken up in order within their producer's block: the first row of a number is
+    accepted and starts a range or extends the one before it, every further row falls into a seen range and is rejected. surplus is the number of
+    rows that the message's range rejects: its rows less its numbers. Malformed identifiers are looked up by their exact key."""
+    block = ["_producer", F.shiftright("_number", BLOCK_BITS), "_key"]
+    w = Window.partitionBy(*block).orderBy("_number")  # at most 2**BLOCK_BITS rows
+    opens = F.coalesce((F.lag("_number").over(w) != F.col("_number") - 1).cast("int"), F.lit(1))
+    rows = copies(identified).withColumn("_opens", opens).withColumn("_range", F.sum("_opens").over(w))
+    return rows.withColumn("surplus", F.sum(F.col("n_rows") - 1).over(Window.partitionBy(*block, "_range")))
 
 
 def repeated(df: DataFrame, id_col: str) -> DataFrame:
     """(message_id, n_rows) of the messages on more than one row; null ids are no message."""
     known = df.select(id_col).where(F.col(id_col).isNotNull())
-    return deliveries(identify(known, id_col)).where("n_rows > 1").select(message_id().alias("message_id"), "n_rows")
+    return deliveries(identify(known, id_col)).where("surplus > 0 and n_rows > 1").select(message_id().alias("message_id"), "n_rows")
 
 
 def merge_ranges(numbers: DataFrame) -> DataFrame:
