@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evenfold.session import cut
 
 #: A word is a run of letters and digits; a mark directly between two digits belongs to the number.
-WORD = r"[\p{L}\p{N}]+(?:(?<=\p{Nd})[^\p{L}\p{N}\s](?=\p{Nd})[\p{L}\p{N}]+)*"
+WORD = r"[\p{L}\p{N}]+(?:(?<=\p{Nd})[^\p{L}\p{N}\p{IsWhite_Space}](?=\p{Nd})[\p{L}\p{N}]+)*"
 _MASK = (1 << 62) - 1
 
 

@@ -102,7 +102,7 @@ def _copies(name: str, by: str) -> str:
     # RE2 has no look-around: marks between digits are turned into letters that no text has, one to one, and each pass covers every other gap.
     t = "replace(lower(text), 'ß', 'ss')"
     for _ in range(2):
-        t = rf"regexp_replace({t}, '(\p{{Nd}})([^\p{{L}}\p{{N}}\s;|])(\p{{Nd}})', '\1ꙮ\2ꙮ\3', 'g')"
+        t = rf"regexp_replace({t}, '(\p{{Nd}})([^\p{{L}}\p{{N}}\p{{Z}}\t\n\x0b\x0c\r\x{{85}};|])(\p{{Nd}})', '\1ꙮ\2ꙮ\3', 'g')"
     word = r"([\p{L}\p{N}]|ꙮ.ꙮ)+"
     return rf"""
         select '{name}' as table_name, line_id, concat_ws('/', {by}) as reading,

@@ -146,11 +146,12 @@ def test_copies(spark):
         (1, "g", "Order No: DC-16435; Weight: 340.79 kg", "f"), (2, "g", "weight = 340.79 KG | order no dc 16435.", None), (3, "g", "Order No: DC-16435; Weight: 340,79 kg", "f"),
         (4, "g", "Weight 340.79 kg Order No DC 16435", "f"), (5, "h", "order no: DC-16435; Weight: 340.79 kg", "f"), (6, "g", "...", "f"), (7, "g", None, "f"), (None, "g", "x", "f"),
         (8, None, "a; a; b", "f"), (9, None, "a; b; b", "f"), (10, None, "b;a;a;", "f"), (10, None, "b;a;a;", "f"), (11, "g", "Straße 5", "f"), (12, "g", "STRASSE 5", "f"),
+        (13, "g", "Nr 12\u00a0345", "f"), (14, "g", "nr 12 345", "f"), (15, "g", "nr 12_345", "f"),
     ]
     df = spark.createDataFrame(rows, "line_id long, group_id string, text string, f string")
-    assert sorted(map(tuple, fieldhash.copies(df, ["group_id"]).collect())) == [(1, 2), (8, 10), (11, 12)]
+    assert sorted(map(tuple, fieldhash.copies(df, ["group_id"]).collect())) == [(1, 2), (8, 10), (11, 12), (13, 14)]
     counted = {r.first_line_id: r.n_copies for r in fieldhash.counts(df, ["group_id"]).collect()}
-    assert counted == {1: 2, 3: 1, 4: 1, 5: 1, 8: 2, 9: 1, 11: 2}
+    assert counted == {1: 2, 3: 1, 4: 1, 5: 1, 8: 2, 9: 1, 11: 2, 13: 2, 15: 1}
     assert fieldhash.copies(df.limit(0), ["group_id"]).count() == 0
 
 
