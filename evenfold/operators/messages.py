@@ -61,10 +61,10 @@ def deliveries(identified: DataFrame) -> DataFrame:
     """copies() with the seen ranges at work. Numbers are taken up in order within their producer's block: the first row of a number is
     accepted and starts a range or extends the one before it, every further row falls into a seen range and is rejected. surplus is the number of
     rows that the message's range rejects: its rows less its numbers. Malformed identifiers are looked up by their exact key."""
-    block = ["_producer", F.shiftright("_number", BLOCK_BITS), "_key"]
+    block = ["_producer", "_block", "_key"]  # by name, so that both windows take the same partitioning
     w = Window.partitionBy(*block).orderBy("_number")  # at most 2**BLOCK_BITS rows
     opens = F.coalesce((F.lag("_number").over(w) != F.col("_number") - 1).cast("int"), F.lit(1))
-    rows = copies(identified).withColumn("_opens", opens).withColumn("_range", F.sum("_opens").over(w))
+    rows = copies(identified).withColumn("_block", F.shiftright("_number", BLOCK_BITS)).withColumn("_opens", opens).withColumn("_range", F.sum("_opens").over(w))
     return rows.withColumn("surplus", F.sum(F.col("n_rows") - 1).over(Window.partitionBy(*block, "_range")))
 
 
