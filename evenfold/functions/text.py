@@ -22,6 +22,10 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+# A filter on a composed text must not be pushed below it, as that would compose every text once for the filter and once for the result.
+nfc = nfc.asNondeterministic()
+
+
 def trim(c: Column) -> Column:
     """Trims every Unicode white space."""
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")

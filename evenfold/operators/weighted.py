@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from evenfold.functions import scoring, text
 from evenfold.functions.ids import NAMESPACE_URL, NIL_UUID, uuid5
 from evenfold.functions.similarity import jaro_winkler
+from evenfold.session import cut
 
 POSITION = ["group_id", "page", "line"]
 #: A lead of less than this share of the weight is a weak one.
@@ -189,5 +190,5 @@ def reduce_documents(lines: DataFrame, threshold: float = 0.90, source_mode: str
     agree count once."""
     if source_mode == "distinct":
         lines = lines.withColumn("source", F.concat(F.coalesce("source", F.lit("")), F.lit("#"), F.coalesce("variant", F.lit(""))))
-    folded = positions(lines, threshold)
+    folded = cut(positions(lines, threshold))  # read by the documents and by whatever the caller derives from it
     return documents(lines, folded), folded

@@ -478,4 +478,16 @@ ORACLE = {
         w as (select *, sum(n) over (partition by image_id order by t) as b, sum(n * t) over (partition by image_id order by t) as s, sum(n) over (partition by image_id) as a, sum(n * t) over (partition by image_id) as u from n),
         v as (select image_id, t, b * (a - b) * pow(s / b - (u - s) / (a - b), 2) as v from w where a > b)
         select image_id, cast(coalesce(arg_max(t, (v, -t)), 128) as int) as threshold from v group by 1""",
+    "rehydrate_snapshots": f"""
+        with {_SNAP},
+        n2 as (select group_id, page, line, cast(max(n) * 10000 // sum(n) as bigint) as c from r group by all),
+        m as (select group_id, cast(cast(sum(c) // count(*) as int) / 10000 as float) as recount from n2 group by all)
+        select document_id, case when abs(recount - cast(convergence_bps / 10000 as float)) > 1e-4 then 'confidence_mismatch' end as as_written, cast(null as varchar) as recounted from d join m using (group_id)""",
+    "event_lines": f"""
+        with e as (select {_plain('document_id')} as group_id, id, timestamp, try_cast(source as json) as s, try_cast(payload as json) as p from ocr_events where document_id is not null)
+        select group_id, id, timestamp, coalesce(try_cast(s->>'$.OcrVariant.page' as int), 0) as page, coalesce(try_cast(s->>'$.OcrVariant.line_index' as int), 0) as line_index, coalesce(p->>'$.OcrLine.text', '') as text,
+            coalesce(json_type(s->'$.OcrVariant') = 'OBJECT', false) and coalesce(json_type(p->'$.OcrLine') = 'OBJECT', false) as applied from e""",
+    "events_from_lines": f"""
+        select group_id, {_uuid5(NAMESPACE_OID, "concat_ws('#', group_id, variant, page, line, text, 1771113600 + line_id)")} as id, page, line - 1 as line_index, text, variant, true as applied
+        from ocr_lines where text is not null and not isnan(coalesce(confidence, 0))""",
 }

@@ -20,8 +20,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_kept_events(spark: SparkSession, d: str) -> DataFrame:
-    """One whole row of each event."""
-    return messages.accept(table(spark, d, "ocr_events"), "id", ["batch_no", "arrived_at"])
+    """One row of each event: the first delivered, of rows delivered together the one with the least ids."""
+    kept = messages.accept(table(spark, d, "ocr_events"), "id", ["batch_no", "arrived_at", "id", "document_id"])
+    return kept.select("id", "timestamp", "source", "payload", "batch_no", "arrived_at")
 
 
 def p2_kept_observations(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +86,8 @@ ORACLE = {
         select 'ocr_events', {_plain('id')} from ocr_events where id is not null group by 2 having count(*) > 1""",
     "p2_kept_observations": f"""
         select {_plain('observation_id')} as observation_id, min(batch_no) as batch_no from raw_observations group by 1""",
+    "p2_kept_events": f"""
+        select id, timestamp, source, payload, batch_no, arrived_at from (select *, row_number() over (partition by {_plain('id')} order by batch_no, arrived_at, id, document_id nulls first) as k from ocr_events) where k = 1""",
     "p2_seen_ranges": """
         with n as (select distinct record_type, producer_id, file_no, record_no from raw_records where record_no is not null),
         i as (select record_no - row_number() over (partition by record_type, producer_id, file_no order by record_no) as g, * from n)
