@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -235,12 +236,11 @@ def count_strings(texts: DataFrame) -> tuple[tuple[str, int], ...]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {m for c in alike() for m in c}
         for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                seen.update(text)
-                if not text.isascii():
-                    seen.update(_MARKS.findall(text))
-            rows = [(s, n) for s, n in seen.items() if s in known]
+            texts = batch.column(0).to_pylist()
+            points = np.bincount(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))
+            rows = [(c, int(points[ord(c)])) for c in map(chr, np.flatnonzero(points).tolist()) if c in known]
+            marked = Counter(m for t in texts if not t.isascii() for m in _MARKS.findall(t))
+            rows += [(s, n) for s, n in marked.items() if s in known]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["s", "n"])
 
     got = texts.select("text").where("text is not null").mapInArrow(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()

@@ -80,7 +80,7 @@ def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     texts, lines = _scanned(spark, d)
-    bc = scannoise.ship(texts.select("text").unionByName(lines.select("text")))
+    bc = scannoise.ship(texts.select("text").unionByName(lines.select("text")), context=False)
     parts = (("raw_observations", scannoise.text_noise(texts, bc)), ("ocr_lines", scannoise.line_noise(lines, bc)))
     a, b = (found.select(F.lit(name).alias("table_name"), "record_id", "line_no", "kind") for name, found in parts)
     return a.unionByName(b)
