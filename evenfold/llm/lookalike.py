@@ -262,16 +262,16 @@ def _survey(counts: tuple[tuple[str, int], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = _unifier(counts)
         for batch in batches:
-            out, latin = [], Counter()
+            out, latin = [], []
             for *key, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 new = u.unmixed(text)
                 if new.isascii() or not u.foreign.search(new):
-                    latin.update(u.latin_spellings(new))
+                    latin.append(new)
                     if new != text:
                         out.append((*key, True, []))
                 else:
                     out.append((*key, new != text, listed(Counter(u.spellings(new)))))
-            out.append((None, None, None, None, None, False, listed(latin)))
+            out.append((None, None, None, None, None, False, listed(u.latin_spellings("\n".join(latin)))))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[*_KEY, "changed", "words"])
 
     return run
