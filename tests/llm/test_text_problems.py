@@ -91,6 +91,37 @@ def test_automaton_is_complete(reader):
             assert want <= set(reader.trie.candidates(odd, plain=True))
 
 
+@pytest.fixture(scope="module")
+def neighbours():
+    counts, pairs = Counter(w for line in TRUE for w in line.split()), Counter(p for line in TRUE for p in zip(line.split(), line.split()[1:], strict=False))
+    return scannoise.Reader({w: n * 50 for w, n in counts.items()} | {"s235": 500, "s236": 2}, {p: n * 50 for p, n in pairs.items()}, 3)
+
+
+@pytest.mark.parametrize("line,want", [
+    ("the supervisor confirmed the delivexy of the western girder", True), ("the ventlator was calibrated again by the auditor", True), ("the ventilator was calibratedd again by the auditor", True),
+    ("drawinq of the calibration", True), ("confirmed the cle1ivery of the", True), ("a girderx", False), ("the girderx stands alone", False), ("delivexy of the western", False), ("the supervisor bay the western girder", False),
+])
+def test_misread_by_neighbours(neighbours, line, want):
+    """One plain edit, or confusions of two kinds, where both neighbours call for the true word; not where one is missing or knows nothing of it."""
+    assert {(n, k) for n, k in scannoise.noise_of(line + "\nand so on.", neighbours) if k == "misread"} == ({(1, "misread")} if want else set())
+
+
+def test_misread_by_neighbours_over_lines(neighbours):
+    got = lambda text: sorted(n for n, k in scannoise.noise_of(text, neighbours) if k == "misread")
+    assert got("the supervisor confirmed the\ndelivexy of the western\ngirder.") == [2]
+    assert got("the supervisor confirmed the deli-\nvexy of the western girder.") == [2] and got("the supervisor confirmed the dxli-\nvery of the western girder.") == [1]
+    assert scannoise.repair_text("the supervisor confirmed the delivexy of the western girder.", neighbours) == "the supervisor confirmed the delivery of the western girder."
+
+
+def test_found_uses_neighbours(spark, tmp_path):
+    """The registered query, not the automaton alone."""
+    from evenfold.llm.queries import p3_found
+
+    spark.createDataFrame([(f"o{i}", line) for i in range(40) for line in TRUE] + [("x", "the supervisor confirmed the delivexy of the western girder.")], "observation_id string, raw_text string").write.parquet(str(tmp_path / "raw_observations.parquet"))
+    spark.createDataFrame([(1, "g", "original", 1, 1, "the ventlator was calibrated again")], "line_id long, group_id string, variant string, page int, line int, text string").write.parquet(str(tmp_path / "ocr_lines.parquet"))
+    assert {(r.table_name, r.record_id) for r in p3_found(spark, str(tmp_path)).where("kind = 'misread'").collect()} == {("raw_observations", "x"), ("ocr_lines", "1")}
+
+
 @pytest.mark.parametrize("token,want", [("834.l4", True), ("7537,b8", True), ("12/#1/2022", True), ("TE-8920B", True), ("T3-89208", True), ("TE-89208", False), ("834.14", False), ("2022-01-07", False), ("J19", False), ("word", None)])
 def test_numbers(reader, token, want):
     assert reader.number(token) is want
