@@ -120,6 +120,11 @@ def jw_pairs(spark: SparkSession, d: str) -> DataFrame:
     return got.select("a", "b", F.round(similarity.jw("a", "b"), 6).alias("similarity"))
 
 
+def jw_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """The similarity of pairs in every script. jw_pairs has the ASCII ones alone, whose SQL counts bytes where this counts code points."""
+    return _pairs(spark, d).select("a", "b", F.round(similarity.jw("a", "b"), 6).alias("similarity"))
+
+
 def semantic_veto_pairs(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     same = text.has_cyrillic(a) == text.has_cyrillic(b)
@@ -319,7 +324,7 @@ def pipeline_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     reduce_documents, reduce_strict, positions_fuzzy, positions_exact, lines_scan, lines_keep_blank, document_text, normalize_canonical, vote_keys, incremental_normalize, single_votes,
-    alternatives, winner_runner_up, jw_pairs, semantic_veto_pairs, key_traits, fields_projection, snapshot_lines, cluster_groups, snapshot_documents, rehydrate_snapshots, observations,
+    alternatives, winner_runner_up, jw_pairs, jw_pairs_all, semantic_veto_pairs, key_traits, fields_projection, snapshot_lines, cluster_groups, snapshot_documents, rehydrate_snapshots, observations,
     document_uuid, content_hash, roi_atomic, roi_clusters, roi_merged, roi_plan, roi_refine, plurality_positions, plurality_metrics, plurality_pages, latest_snapshot, events_after_snapshot,
     replace_into, ignore_into, snapshot_with_lines, duplicate_positions, event_lines, events_from_lines, replay_genesis, replay_positions, replay_checkpoint, replay_equivalence, otsu_threshold, image_variants,
     pipeline_snapshots,

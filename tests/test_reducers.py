@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenfold.operators import plurality, replay, roi, snapshots, weighted
-from evenfold.plans import pipeline
+from evenfold.plans import core, pipeline
 from evenfold.schema import LINES, PROFILES
 from evenfold.sources import text as texts
 
@@ -233,3 +233,34 @@ def test_pipeline(spark, tmp_path):
     assert [x["text"] for x in snap.lines] == ["TOTAL 10", "ID 2026-1 ref"]
     pipeline.persist(made, str(tmp_path / "store"))
     assert spark.read.parquet(str(tmp_path / "store/snapshots")).count() == 1
+
+
+def brute_jaro_winkler(a, b):
+    """By the definition, on lists of code points."""
+    reach, used, hits = max(0, max(len(a), len(b)) // 2 - 1), set(), []
+    for i, c in enumerate(a):
+        j = next((j for j, d in enumerate(b) if c == d and abs(i - j) <= reach and j not in used), None)
+        if j is not None:
+            used.add(j)
+            hits.append(c)
+    if not hits:
+        return 0.0
+    crossed = sum(x != b[j] for x, j in zip(hits, sorted(used), strict=True)) // 2
+    sim = (len(hits) / len(a) + len(hits) / len(b) + (len(hits) - crossed) / len(hits)) / 3
+    same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
+    return sim + 0.1 * same * (1 - sim) if sim > 0.7 else sim
+
+
+KEYS = [("perché la qualità è nota", "perche la qualita e nota"), ("größe der tür", "grösse der tur"), ("лестница у стены", "лестиица у степы"), ("деталь kt-57294", "детапь kt-57294"), ("total 12.5", "total 125"), ("éa", "aé")]
+
+
+def keyed_lines(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "line_id long, group_id string, source string, variant string, page int, line int, text string, confidence float").write.parquet(str(tmp_path / "ocr_lines.parquet"))
+    return str(tmp_path)
+
+
+def test_jw_pairs_in_every_script(spark, tmp_path):
+    rows = [(2 * i + k, "g", "s", v, 1, i, pair[k], 1.0) for i, pair in enumerate(KEYS) for k, v in enumerate(("original", "high_contrast"))]
+    got = {frozenset((r.a, r.b)): r.similarity for r in core.jw_pairs_all(spark, keyed_lines(spark, tmp_path, rows)).collect()}
+    assert got == {frozenset(p): pytest.approx(brute_jaro_winkler(*p), abs=1e-6) for p in KEYS}
+    assert len(got) == len(KEYS) > core.jw_pairs(spark, str(tmp_path)).count()
