@@ -114,6 +114,12 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["group_id", "page", "line"]).where("a <> b").select("a", "b").distinct()
 
 
+def _pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Different keys of all readings at one position, each unordered pair once, the smaller key first."""
+    keyed = _lines(spark, d).where("text is not null").select("group_id", "page", "line", text.vote_key(F.col("text")).alias("k")).where("k <> ''").distinct()
+    return keyed.withColumnRenamed("k", "a").join(keyed.withColumnRenamed("k", "b"), ["group_id", "page", "line"]).where("a < b").select("a", "b").distinct()
+
+
 def jw_pairs(spark: SparkSession, d: str) -> DataFrame:
     ascii_only = "^[\\x00-\\x7F]*$"
     got = _pairs(spark, d).where(F.col("a").rlike(ascii_only) & F.col("b").rlike(ascii_only))
@@ -121,14 +127,23 @@ def jw_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jw_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """The similarity of pairs in every script. jw_pairs has the ASCII ones alone, whose SQL counts bytes where this counts code points."""
-    return _pairs(spark, d).select("a", "b", F.round(similarity.jw("a", "b"), 6).alias("similarity"))
+    """The similarity of all pairs, in every script. jw_pairs has the ASCII ones of two variants, whose SQL counts bytes where this counts code points."""
+    return _pairs_all(spark, d).select("a", "b", F.round(similarity.jw("a", "b"), 6).alias("similarity"))
 
 
-def semantic_veto_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _vetoes(pairs: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     same = text.has_cyrillic(a) == text.has_cyrillic(b)
-    return _pairs(spark, d).select("a", "b", text.veto(a, b).alias("veto"), same.alias("same_script"), text.differs_in_numbers(a, b).alias("differs_in_numbers"))
+    return pairs.select("a", "b", text.veto(a, b).alias("veto"), same.alias("same_script"), text.differs_in_numbers(a, b).alias("differs_in_numbers"))
+
+
+def semantic_veto_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _vetoes(_pairs(spark, d))
+
+
+def semantic_veto_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """The vetoes of all pairs; semantic_veto_pairs has those of two variants, as its SQL."""
+    return _vetoes(_pairs_all(spark, d))
 
 
 def key_traits(spark: SparkSession, d: str) -> DataFrame:
@@ -324,7 +339,7 @@ def pipeline_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     reduce_documents, reduce_strict, positions_fuzzy, positions_exact, lines_scan, lines_keep_blank, document_text, normalize_canonical, vote_keys, incremental_normalize, single_votes,
-    alternatives, winner_runner_up, jw_pairs, jw_pairs_all, semantic_veto_pairs, key_traits, fields_projection, snapshot_lines, cluster_groups, snapshot_documents, rehydrate_snapshots, observations,
+    alternatives, winner_runner_up, jw_pairs, jw_pairs_all, semantic_veto_pairs, semantic_veto_pairs_all, key_traits, fields_projection, snapshot_lines, cluster_groups, snapshot_documents, rehydrate_snapshots, observations,
     document_uuid, content_hash, roi_atomic, roi_clusters, roi_merged, roi_plan, roi_refine, plurality_positions, plurality_metrics, plurality_pages, latest_snapshot, events_after_snapshot,
     replace_into, ignore_into, snapshot_with_lines, duplicate_positions, event_lines, events_from_lines, replay_genesis, replay_positions, replay_checkpoint, replay_equivalence, otsu_threshold, image_variants,
     pipeline_snapshots,

@@ -264,3 +264,17 @@ def test_jw_pairs_in_every_script(spark, tmp_path):
     got = {frozenset((r.a, r.b)): r.similarity for r in core.jw_pairs_all(spark, keyed_lines(spark, tmp_path, rows)).collect()}
     assert got == {frozenset(p): pytest.approx(brute_jaro_winkler(*p), abs=1e-6) for p in KEYS}
     assert len(got) == len(KEYS) > core.jw_pairs(spark, str(tmp_path)).count()
+
+
+def test_pairs_of_all_variants(spark, tmp_path):
+    said = {"original": "non total 12", "high_contrast": "total 12", "rotated": "total 13"}
+    rows = [(i, "g", "s", v, 1, 1, t, 1.0) for i, (v, t) in enumerate(said.items())] + [(10, "g", "s", "rotated", 1, 1, "Total 13", 1.0), (11, "g", "s", "rotated", 1, 1, "total 1З", 1.0), (12, "g", "s", "rotated", 1, 2, "alone", 1.0)]
+    rows += [(20, "h", "s", "original", 1, 1, "total 13", 1.0), (21, "h", "s", "rotated", 1, 1, "total 12", 1.0), (22, "h", "s", None, 1, 1, None, 1.0)]
+    d = keyed_lines(spark, tmp_path, rows)
+    keys = ["non total 12", "total 12", "total 13", "total 1з"]
+    want = {(a, b) for a in keys for b in keys if a < b}
+    for query in (core.jw_pairs_all, core.semantic_veto_pairs_all):
+        got = [(r.a, r.b) for r in query(spark, d).collect()]
+        assert set(got) == want and len(got) == len(want)
+    vetoes = {(r.a, r.b): (r.veto, r.same_script) for r in core.semantic_veto_pairs_all(spark, d).collect()}
+    assert vetoes["total 12", "total 13"][0] == "numeric" and vetoes["non total 12", "total 13"][0] == "negation" and not vetoes["total 13", "total 1з"][1]
