@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenfold.functions import scoring, similarity, text
 from evenfold.functions.ids import NAMESPACE_OID, NAMESPACE_URL, plain_uuid, uuid5
-from evenfold.operators import image, plurality, replay, roi, snapshots, weighted
+from evenfold.operators import image, messages, plurality, replay, roi, snapshots, weighted
 from evenfold.plans import pipeline
 from evenfold.schema import PROFILES
 from evenfold.session import table
@@ -331,9 +331,12 @@ def image_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipeline_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """The whole plan over the texts of raw_observations, to snapshots."""
-    readings = table(spark, d, "raw_observations").groupBy("source", "variant").agg(F.max_by("raw_text", F.struct("batch_no", "observation_id")).alias("text"))
-    made = pipeline.process(readings.where("text is not null"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
+    """The whole plan over the texts of raw_observations, to snapshots. Of repeated deliveries the first with a text counts; second scans vote as readings of their own."""
+    delivered = table(spark, d, "raw_observations").where("raw_text is not null")
+    # what else differs between rows delivered together settles the tie before the id's spelling could
+    kept = messages.accept(delivered, "observation_id", ["batch_no", "arrived_at", "raw_text", "source", "variant"])
+    reading = F.coalesce(plain_uuid("observation_id"), F.sha2(F.to_json(F.struct("batch_no", "arrived_at", "raw_text")), 256))
+    made = pipeline.process(kept.select("source", "variant", reading.alias("reading"), F.col("raw_text").alias("text")), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
     return made.snapshots.select("snapshot_id", "document_id", "content_hash", "confidence", "iterations", F.size("lines").alias("n_lines"))
 
 

@@ -25,17 +25,20 @@ class Result:
 
 
 def process(readings: DataFrame, created_at: Column, profile: Profile = DEFAULT, source_mode: str = "distinct", roi_from: str = "alternatives", padding: int = 2) -> Result:
-    """readings: (source, variant, text), one row per reading of a document; a document is its source. Ids are made from the content, so a retry
+    """readings: (source, variant, text), one row per reading of a document; a document is its source. Where a variant
+    was read more than once, a column reading tells its readings apart, and each votes. Ids are made from the content, so a retry
     gives the same ones. roi_from: alternatives looks at all clusters of a position, clusters only within one."""
-    lines = text.to_lines(readings.where("source is not null"), ["source", "variant"]).withColumns({"group_id": F.col("source"), "page": F.lit(1), "confidence": F.lit(None).cast("float")})
+    own = F.concat(F.coalesce("variant", F.lit("")), F.lit("#"), "reading") if "reading" in readings.columns else F.col("variant")
+    readings = readings.withColumns({"kind": F.col("variant"), "variant": own})
+    lines = text.to_lines(readings.where("source is not null"), ["source", "variant", "kind"]).withColumns({"group_id": F.col("source"), "page": F.lit(1), "confidence": F.lit(None).cast("float")})
     normal = text.normalize(lines, profile)
     documents, positions = weighted.reduce_documents(normal, profile.similarity_threshold, source_mode)
     by = ["source", "variant"]
-    raw = text.to_text(lines, by).withColumnRenamed("text", "raw_text").join(text.to_text(normal, by).withColumnRenamed("text", "normalized_text"), by, "left")
+    raw = text.to_text(lines, [*by, "kind"]).withColumnRenamed("text", "raw_text").join(text.to_text(normal, by).withColumnRenamed("text", "normalized_text"), by, "left")
     used = F.struct(*(F.lit(v).alias(k) for k, v in profile.as_dict().items()))
     raw = raw.select(
         uuid5(NAMESPACE_URL, F.concat_ws("#", F.lit("observation"), "source", "variant", "raw_text")).alias("observation_id"), uuid5(NAMESPACE_URL, F.col("source")).alias("document_id"),
-        "source", "variant", created_at.alias("created_at"), "raw_text", F.coalesce("normalized_text", F.lit("")).alias("normalized_text"), used.alias("profile_used"),
+        "source", F.col("kind").alias("variant"), created_at.alias("created_at"), "raw_text", F.coalesce("normalized_text", F.lit("")).alias("normalized_text"), used.alias("profile_used"),
     )
     if roi_from == "alternatives":
         rois = roi.numeric_alternatives(positions)
@@ -43,7 +46,7 @@ def process(readings: DataFrame, created_at: Column, profile: Profile = DEFAULT,
         groups = F.transform("clusters", lambda c: F.array_repeat(c["text"], c["count"]))
         rois = roi.numeric_conflicts(positions.select("group_id", "page", (F.col("line") - 1).alias("line_index"), groups.alias("groups")))
     regions = roi.merge(rois, padding)
-    again = roi.refine(regions, normal)
+    again = roi.refine(regions, normal.withColumn("variant", F.col("kind")))
     seed = positions.select("group_id", "page", (F.col("line") - 1).alias("line_index"), F.transform("clusters", lambda c: F.array_repeat(c["text"], c["count"])).alias("groups"))
     refined = plurality.fold(again.select("group_id", "page", (F.col("line") - 1).alias("line_index"), "text"), [F.col("text")], seed)
     heads = snapshots.snapshots(documents, positions, uuid5(NAMESPACE_URL, F.concat(F.lit("snapshot#"), F.col("group_id"))), created_at)

@@ -278,3 +278,20 @@ def test_pairs_of_all_variants(spark, tmp_path):
         assert set(got) == want and len(got) == len(want)
     vetoes = {(r.a, r.b): (r.veto, r.same_script) for r in core.semantic_veto_pairs_all(spark, d).collect()}
     assert vetoes["total 12", "total 13"][0] == "numeric" and vetoes["non total 12", "total 13"][0] == "negation" and not vetoes["total 13", "total 1з"][1]
+
+
+def test_pipeline_takes_every_reading(spark, tmp_path):
+    """A second scan of a variant votes too; a repeated delivery doesn't, however its id is spelled."""
+    uid = "0197a1b2-c3d4-7e5f-8a6b-0c1d2e3f4a5{}"
+    rows = [(uid.format("a"), "s", "original", 1, "2026-01-01", "total 12"), (uid.format("b"), "s", "original", 2, "2026-01-02", "total 12"), (uid.format("c"), "s", "rotated", 3, "2026-01-03", "zeta 99")]
+    rows += [("{" + uid.format("c").upper() + "}", "s", "rotated", 3, "2026-01-03", "alpha 11"), (uid.format("C"), "s", "rotated", 4, "2026-01-04", "zeta 99"), (uid.format("d"), "s", "rotated", 4, "2026-01-04", None)]
+    for name, given in (("a", rows), ("b", [(i.lower() if "{" in i else "{" + i + "}", *rest) for i, *rest in rows])):
+        df = spark.createDataFrame(given, "observation_id string, source string, variant string, batch_no int, arrived_at string, raw_text string").withColumn("arrived_at", F.col("arrived_at").cast("timestamp_ntz"))
+        df.write.parquet(str(tmp_path / name / "raw_observations.parquet"))
+    got = [core.pipeline_snapshots(spark, str(tmp_path / name)).collect() for name in ("a", "b")]
+    assert got[0] == got[1] and [(r.iterations, r.n_lines) for r in got[0]] == [(3, 1)]
+    twice = spark.createDataFrame([("s", "original", "a", "total 12"), ("s", "original", "b", "total 12"), ("s", "rotated", "c", "total 13")], "source string, variant string, reading string, text string")
+    made = pipeline.process(twice, F.lit("2026-01-01").cast("timestamp"))
+    p = made.positions.first()
+    assert p.winner == "total 12" and [c["count"] for c in p.clusters] == [2, 1]
+    assert sorted(r.variant for r in made.raw_observations.collect()) == ["original", "original", "rotated"] and made.raw_observations.select("observation_id").distinct().count() == 3
