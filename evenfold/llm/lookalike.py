@@ -23,20 +23,28 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Letters that look like plain Latin ones.
+# Letters that look like plain Latin ones. Those of RARE alphabets give way only beside letters of another alphabet.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXaesijopcyxhdqwl", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳ", "ABEZHIKMNOPTYXovj", strict=True))
+ARMENIAN = dict(zip("ՍՏՕԼհոսցզօ", "USOLhnugqo", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ", strict=True))
+PHONETIC = dict(zip("ɑɡᴄᴏᴠᴡᴢꜱ", "agcovwzs", strict=True))
+#: Alphabets by a letter, with their code points as a character class.
+ALPHABETS = {"L": "A-Za-zÀ-ɏ", "G": "Ͱ-Ͽ", "C": "Ѐ-ԯ", "A": "\u0530-\u058f", "K": "\u13a0-\u13ff\uab70-\uabbf", "I": "\u0250-\u02af\u1d00-\u1d2b\ua730\ua731"}
+RARE = "AKI"
 #: Hyphens that look like the plain one, and code points outside category Cf that show nothing.
 HYPHENS = "‐‑﹣－"
 BLANK = "͏ᅟᅠ឴឵ㅤﾠ" + "".join(map(chr, range(0xFE00, 0xFE10)))
 #: Control characters that are white space stay as they are.
 KEPT = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
 WORD = re.compile(r"[^\W_]+")
-#: Spellings of words without a telling letter are compared in memory up to this many; more are joined by shuffle.
+#: Respellings go along with the code up to this many; more are joined by shuffle, to the same result.
 MAX_SPELLINGS = 100_000
+#: Codes are of one alphabet: where this share of a corpus' codes is Latin, a look-alike code is taken for a Latin one even if no rival says so.
+CODE_SHARE = 0.95
 
 
 class UnionFind:
@@ -66,15 +74,19 @@ class UnionFind:
         return [sorted(c) for c in by.values()]
 
 
+_RANGES = {s: re.compile(f"[{c}]") for s, c in ALPHABETS.items() if s != "L"}
+
+
+@lru_cache(maxsize=1 << 16)
 def script(ch: str) -> str:
-    """L, C or G for Latin, Cyrillic and Greek letters, otherwise empty. Compatibility forms have the script of what they stand for."""
+    """The alphabet of a letter: L, C or G (Latin, Cyrillic, Greek), A, K or I (Armenian, Cherokee, phonetic), otherwise empty. Compatibility
+    forms have that of what they stand for."""
     n = ord(ch)
     if n < 0x250:
         return "L" if ch.isalpha() else ""
-    if 0x400 <= n < 0x530:
-        return "C"
-    if 0x370 <= n < 0x400:
-        return "G" if ch.isalpha() else ""
+    for s, own in _RANGES.items():
+        if own.match(ch):
+            return s if s == "C" or ch.isalpha() else ""
     plain = unicodedata.normalize("NFKC", ch)
     return "L" if plain != ch and plain[:1].isalpha() and ord(plain[0]) < 0x250 else ""
 
@@ -83,7 +95,7 @@ def script(ch: str) -> str:
 def alike() -> list[list[str]]:
     """All classes of strings that look alike. "" stands for invisible characters."""
     u = UnionFind()
-    for table in (CYRILLIC, GREEK):
+    for table in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, PHONETIC):
         for a, b in table.items():
             u.union(a, b)
     for h in HYPHENS:
@@ -130,8 +142,8 @@ class Unifier:
                     if m != best[s]:
                         free[m] = best[s]
             if len(best.keys() - {""}) > 1:
-                for s, m in best.items():
-                    if s and len(m) == 1:
+                for s, m in best.items():  # a plain letter isn't doubtful because a rare alphabet has its like
+                    if s and len(m) == 1 and (s in RARE or len(best.keys() & {*"LCG"}) > 1):
                         self.across[m] = best
         self.automaton = ahocorasick.Automaton()
         for pattern, to in free.items():
@@ -140,17 +152,19 @@ class Unifier:
         self.automaton.make_automaton()
         singles = "".join(sorted(p for p in free if len(p) == 1))
         self.touched = frozenset(singles) | {chr(n) for n in (*range(0x300, 0x370), *range(0x483, 0x488))}
-        self.foreign = re.compile("[Ͱ-ԯ]")
-        self.mixed = re.compile(r"[^\W_]*(?:[A-Za-zÀ-ɏ][^\W_]*[Ͱ-ԯ]|[Ͱ-ԯ][^\W_]*[A-Za-zÀ-ɏ]|[Ͱ-Ͽ][^\W_]*[Ѐ-ԯ]|[Ѐ-ԯ][^\W_]*[Ͱ-Ͽ])[^\W_]*")
-        both = "".join(sorted(self.across))
+        latin, greek, cyrillic = (ALPHABETS[s] for s in "LGC")
+        rare = "".join(ALPHABETS[s] for s in RARE)
+        self.foreign = re.compile(f"[{greek}{cyrillic}{rare}]")
+        beside = [(latin, greek + cyrillic + rare), (greek, cyrillic), (greek + cyrillic, rare)]
+        self.mixed = re.compile(rf"[^\W_]*(?:{'|'.join(rf'[{a}][^\W_]*[{b}]|[{b}][^\W_]*[{a}]' for a, b in beside)})[^\W_]*")
+        both = "".join(sorted(c for c in self.across if script(c) not in RARE))
         self.bare = re.compile(rf"(?<![^\W_])(?=\d*[{both}])[{both}\d]+(?![^\W_])")
         self.code = re.compile(rf"(?<![^\W_])(?=\d*[{both}])(?:[{both}]*\d[{both}\d]*(?![^\W_])|[{both}]+(?=-\d))")
 
     def plain(self, text: str) -> str:
-        """Rewrites what needs no context, until nothing is left to rewrite (an accent may follow what stood for its base)."""
-        for _ in range(4):
-            if self.touched.isdisjoint(text):
-                return text
+        """Rewrites what needs no context, until nothing is left to rewrite (an accent may follow what stood for its base). That comes to an
+        end: a rewritten string is its class' representative, and only what stands in it or is joined to it, which is shorter or new, can go on."""
+        while not self.touched.isdisjoint(text):
             out, at = [], 0
             for end, (size, to) in self.automaton.iter_long(text):
                 out.append(text[at : end + 1 - size])
@@ -251,19 +265,24 @@ _FIELD = "table_name string, field_name string, record_id string, page int, line
 _KEY = ["table_name", "field_name", "record_id", "page", "line"]
 
 
+def _row() -> Column:
+    """A number for a field's key and text. A null has a place of its own; rows that share a number share no more than their respellings."""
+    return F.xxhash64(*(x for c in _KEY for x in (F.col(c), F.col(c).isNull())), "text").alias("_row")
+
+
 _WORDS = "array<struct<skeleton string, context string, spelling string, n long>>"
 
 
 def _survey(counts: tuple[tuple[str, int], ...]):
     kind = pa.list_(pa.struct([("skeleton", pa.string()), ("context", pa.string()), ("spelling", pa.string()), ("n", pa.int64())]))
     listed = lambda seen: [{"skeleton": a, "context": b, "spelling": c, "n": n} for (a, b, c), n in seen.items()]
-    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), kind]
+    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = _unifier(counts)
         for batch in batches:
             out, latin = [], []
-            for *key, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for *key, text in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 new = u.unmixed(text)
                 if new.isascii() or not u.foreign.search(new):
                     latin.append(new)
@@ -271,8 +290,8 @@ def _survey(counts: tuple[tuple[str, int], ...]):
                         out.append((*key, True, []))
                 else:
                     out.append((*key, new != text, listed(Counter(u.spellings(new)))))
-            out.append((None, None, None, None, None, False, listed(u.latin_spellings("\n".join(latin)))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[*_KEY, "changed", "words"])
+            out.append((None, None, None, None, None, None, False, listed(u.latin_spellings("\n".join(latin)))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[*_KEY, "_row", "changed", "words"])
 
     return run
 
@@ -280,19 +299,19 @@ def _survey(counts: tuple[tuple[str, int], ...]):
 def survey(fields: DataFrame, counts: tuple[tuple[str, int], ...]) -> DataFrame:
     """The fields that change whatever their neighbours are, or that aren't all Latin, with their words without a telling letter. Rows
     without a key count those words of the all-Latin fields, per batch."""
-    return fields.select(*_KEY, "text").where("text is not null").mapInArrow(_survey(counts), f"{_FIELD}, changed boolean, words {_WORDS}")
+    return fields.select(*_KEY, _row(), "text").where("text is not null").mapInArrow(_survey(counts), f"{_FIELD}, _row long, changed boolean, words {_WORDS}")
 
 
 def respellings(surveyed: DataFrame) -> DataFrame:
     """(context, spelling, to): spellings that give way to the most frequent one of their class in their context. By digits, a
-    spelling with no rival gives way to the Latin one where the context is Latin in 19 of 20 cases."""
+    spelling gives way to the Latin one where CODE_SHARE of all codes are Latin: most codes stand once, so counting each against its own rivals settles nothing."""
     each = surveyed.select(F.explode("words").alias("w")).groupBy("w.skeleton", "w.context", "w.spelling").agg(F.sum("w.n").alias("n"))
     by = Window.partitionBy("skeleton", "context")  # at most one row per spelling of a word
     best = F.max(F.struct("n", (F.col("spelling") == F.col("skeleton")).alias("latin"), "spelling")).over(by)["spelling"]
     latin = F.sum(F.when(F.col("spelling") == F.col("skeleton"), F.col("n")).otherwise(0))
     share = each.groupBy("context").agg((latin / F.sum("n")).alias("latin_share"))
     each = each.withColumn("to", best).join(F.broadcast(share), "context")  # share has one row per context: five at most
-    to = F.when((F.col("context") == "#") & (F.col("latin_share") >= 0.95), F.col("skeleton")).otherwise(F.col("to"))
+    to = F.when((F.col("context") == "#") & (F.col("latin_share") >= CODE_SHARE), F.col("skeleton")).otherwise(F.col("to"))
     return each.select("context", "spelling", to.alias("to")).where("spelling <> to")
 
 
@@ -308,7 +327,8 @@ def found(fields: DataFrame) -> DataFrame:
 
 
 def unify(fields: DataFrame) -> DataFrame:
-    """The fields with text rewritten. Up to MAX_SPELLINGS respellings go with the code; beyond that, each field is joined with its own."""
+    """The fields with text rewritten, as many rows as have a text; a null in the key changes nothing. Up to MAX_SPELLINGS respellings go
+    with the code; beyond that, each field is joined with its own."""
     from evenfold.session import cut
 
     counts = count_strings(fields)
@@ -321,9 +341,9 @@ def unify(fields: DataFrame) -> DataFrame:
         rows = rows.withColumn("respell", F.lit(None).cast("map<string,string>"))
     else:
         words = {}
-        own = seen.select(*_KEY, F.explode("words").alias("w")).select(*_KEY, "w.context", "w.spelling").distinct().join(bad, ["context", "spelling"])
-        own = own.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("context", F.lit(" "), "spelling"), "to"))).alias("respell"))  # of one text
-        rows = rows.join(own, _KEY, "left")
+        own = seen.where("_row is not null").select("_row", F.explode("words").alias("w")).select("_row", "w.context", "w.spelling").distinct().join(bad, ["context", "spelling"])
+        own = own.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("context", F.lit(" "), "spelling"), "to"))).alias("respell"))  # of one text
+        rows = rows.withColumn("_row", _row()).join(own, "_row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = _unifier(counts)

@@ -21,6 +21,7 @@ def unifier():
 @pytest.mark.parametrize("raw,want", [
     ("ＥＵＲ １２", "EUR 12"), ("𝐒𝐞𝐢𝐭𝐞 𝚊𝚗𝚍", "Seite and"), ("café è", "café è"), ("perch​é", "perché"), ("a​­b﻿", "ab"), ("a b　c", "a b c"),
     ("ﬁne ﬂow", "fine flow"), ("Оrdеr thе", "Order the"), ("Дeтaль лecтницa", "Деталь лестница"), ("Τhe νοn", "The von"), ("m² ½ № °", "m² ½ № °"),
+    ("Ꭺpple", "Apple"), ("օbject", "object"), ("ɑpple", "apple"), ("кօмната", "комната"), ("հայերեն ᏣᎳᎩ", "հայերեն ᏣᎳᎩ"), ("pʌɹɑ", "pʌɹɑ"),
     ("но не камера", "но не камера"), ("plain text\tand\n\x0cmore", "plain text\tand\n\x0cmore"), ("", ""), ("й", "й"), ("K", "K"), ("a‑b", "a-b"),
 ])
 def test_unmixed(unifier, raw, want):
@@ -47,11 +48,30 @@ def test_found_and_unified(spark):
     assert lookalike.found(df.limit(0)).count() == 0
 
 
-def test_unify_beyond_the_bound(spark, monkeypatch):
-    rows = [("t", "f", f"r{i}", 0, 0, "Деталь KT-57294") for i in range(40)] + [("t", "f", "x", 1, 1, "Деталь КТ-57294")]
-    df = spark.createDataFrame(rows, FIELDS)
-    monkeypatch.setattr(lookalike, "MAX_SPELLINGS", 0)
-    assert {r.text for r in lookalike.unify(df).collect()} == {"Деталь KT-57294"}
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_unify_on_both_sides_of_the_bound(spark, monkeypatch, bound):
+    """Null keys, repeated keys and repeated rows: the bound is one of plans, not of results."""
+    rows = [("t", "f", f"r{i}", 0, 0, "Деталь KT-57294") for i in range(40)]
+    odd = [("t", "f", None, None, None, "Деталь КТ-57294"), (None, None, None, None, None, "Деталь КТ-57294"), ("t", "f", "x", 1, 1, "Деталь КТ-57294"), ("t", "f", "x", 1, 1, "Деталь КТ-57294"), ("t", "f", "x", 1, 1, "и КТ-57294")]
+    monkeypatch.setattr(lookalike, "MAX_SPELLINGS", bound)
+    got = Counter(tuple(r) for r in lookalike.unify(spark.createDataFrame(rows + odd, FIELDS)).collect())
+    assert got == Counter([*rows, *((*r[:5], r[5].replace("КТ", "KT")) for r in odd)])
+
+
+def test_codes_follow_the_corpus(spark):
+    """A lone code of look-alikes is Latin where nearly all codes are, and stays where they aren't."""
+    codes = lambda n, m: [("t", "f", f"r{i}", 0, 0, "Деталь " + ("AX" if i < n else "КТ") + f"-{i}") for i in range(n + m)]
+    for rows, want in ((codes(40, 1), 1), (codes(5, 5), 0)):
+        assert lookalike.found(spark.createDataFrame(rows, FIELDS)).count() == want
+
+
+def test_plain_comes_to_rest(unifier):
+    """Accents may follow what stood for their base, any number of times."""
+    rng = random.Random(6)
+    members = [m for c in lookalike.alike() for m in c if m]
+    for _ in range(3000):
+        text = "".join(rng.choice(members) if rng.random() < 0.7 else rng.choice("aeo\u0301\u0308\u200b") for _ in range(12))
+        assert unifier.plain(unifier.plain(text)) == unifier.plain(text)
 
 
 # problem 3
