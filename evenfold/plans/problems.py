@@ -13,7 +13,7 @@ from evenfold.session import table
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Messages that stand on more than one row of their table."""
     parts = [
-        messages.repeated(table(spark, d, name), key).select(F.lit(name).alias("table_name"), "message_id")
+        messages.repeated(table(spark, d, name), key, "batch_no").select(F.lit(name).alias("table_name"), "message_id")
         for name, key in (("raw_observations", "observation_id"), ("ocr_events", "id"))
     ]
     return parts[0].unionByName(parts[1])

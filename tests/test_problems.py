@@ -20,6 +20,59 @@ def test_repeated_messages(spark):
     assert messages.repeated(spark.createDataFrame([], "id string"), "id").count() == 0
 
 
+def test_seen_ranges():
+    rng = random.Random(3)
+    for _ in range(50):
+        seen, state = set(), messages.SeenRanges()
+        for _ in range(200):
+            if rng.random() < 0.1:
+                lo = rng.randrange(150)
+                hi = lo + rng.randrange(20)
+                state.add(lo, hi)
+                seen |= {*range(lo, hi + 1)}
+            else:
+                n = rng.randrange(150)
+                assert state.accept(n) is (n not in seen)
+                seen.add(n)
+        assert {n for lo, hi in zip(state.lo, state.hi, strict=True) for n in range(lo, hi + 1)} == seen
+        assert all(b > a + 1 for a, b in zip(state.hi, state.lo[1:], strict=False))
+
+
+@pytest.mark.parametrize("size", [3, 10_000])
+def test_ranges_decide(spark, monkeypatch, size):
+    """Producers' numbers over several batches, Arrow batches of any size: what the ranges don't cover is accepted once, from the first batch that has it."""
+    monkeypatch.setattr(messages, "BLOCK_BITS", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    rng = random.Random(5)
+    rows = [(rng.choice("pq"), rng.randrange(60), rng.choice([None, 1, 2, 3]), f"m{i % 7}") for i in range(300)] + [("p", None, 1, "bad"), ("p", None, 2, "bad"), ("p", None, None, "worse")]
+    df = spark.createDataFrame(rows, "p string, n long, batch int, id string")
+    got = messages.deliveries(messages.identify(df, "id", "p", "n"), "batch").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first, count = {}, {}
+    for p, n, b, i in rows:
+        k = (p, n) if n is not None else i
+        first[k], count[k] = min(first.get(k, 9), b or 0), count.get(k, 0) + 1
+    assert len(got) == len(first) and sorted((max(r._batch, 0), r.rejected) for r in got) == sorted((first[k], count[k] - 1) for k in first)
+
+
+def test_repeats_come_from_the_ranges(spark, monkeypatch):
+    """Without the ranges a second batch's copies would pass."""
+    df = spark.createDataFrame([(U.format(1), 1), (U.format(1), 2), (U.format(2), 1)], "id string, batch int")
+    taken = messages.deliveries(messages.identify(df, "id"), "batch").where("rejected > 0")
+    assert taken.count() == 1
+    wide = spark.createDataFrame([(0, 0, 1 << 20)], "_producer long, lo long, hi long")
+    seen = messages.deliveries(messages.identify(spark.createDataFrame([("p", 70_000), ("p", 1 << 21)], "p string, n long").withColumn("id", F.lit("m")), "id", "p", "n").withColumn("_producer", F.lit(0).cast("long")), None, wide)
+    assert {(r._n, r._batch, r.rejected) for r in seen.collect()} == {(70_000, None, 1), (1 << 21, 0, 0)}
+
+
+def test_accept_keeps_whole_rows(spark):
+    """Columns without an order, clashing names, ties and repeated rows."""
+    rows = [(U.format(1), 1, {"a": "x"}, "k"), (U.format(1), 1, {"a": "y"}, "k"), (U.format(1), 1, {"a": "x"}, "k"), (U.format(2), None, None, None)]
+    df = spark.createDataFrame(rows, "id string, batch int, _row map<string,string>, _key string")
+    assert sorted((r.id[-1], r._row) for r in messages.accept(df, "id", ["batch"]).collect()) == [("1", {"a": "x"}), ("2", None)]
+    assert messages.accept(df.limit(0), "id", ["batch"]).count() == 0
+
+
 def test_accept_over_batches(spark):
     schema = "id string, batch int, body string, _h string"
     a = spark.createDataFrame([(U.format(1).upper(), 1, "x", None), (U.format(1), 1, "y", "c"), ("odd", 1, "z", None), (None, 1, "n", None)], schema)
