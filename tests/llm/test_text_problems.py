@@ -147,6 +147,19 @@ def test_numbers(reader, token, want):
     assert reader.number(token) is want
 
 
+@pytest.mark.parametrize("text,want", [("i", 1), ("iv", 4), ("xiv", 14), ("XL", 40), ("ccxix", 219), ("iil", 3), ("v1i", 7), ("iiii", None), ("abc", None), ("", None), ("1", 1), ("mm", None)])
+def test_roman_numbers(text, want):
+    assert scannoise.roman(text) == want
+
+
+def test_roman_pages_and_edges():
+    """Roman page numbers go on from page to page; a header at the text's top or foot counts as one beside a break."""
+    lines = "ALPHA WORKS 2015\nThe boiler was\nrepaired\ni\nbefore the audit\n52\nii\nand closed.\niil\nALPHA WORKS 2015".split("\n")
+    assert scannoise.furniture(lines) == {0: "header", 3: "page_number", 6: "page_number", 8: "page_number", 9: "header"}
+    assert scannoise.furniture(["i am", "ii", "text"]) == {} and scannoise.furniture(["text", "more", "iv"]) == {2: "page_number"} and scannoise.furniture([""]) == {}
+    assert scannoise._chain([(0, 5), (1, 1), (2, 9), (3, 2), (4, 6), (5, 3)]) == [1, 3, 5] and scannoise._chain([]) == []
+
+
 TEXT = """Alpha Works - Girder LM-71334
 The auditor has confirmed the deli-
 very of the western
