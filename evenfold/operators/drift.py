@@ -1,10 +1,12 @@
 """Schemas that drift between files (problem 5).
 
-``survey`` reduces every file to one small row per field: its JSON types and a
-profile of its content. ``changes`` compares each file of a producer with the
-one before. ``ingest`` reads bodies into one typed table and keeps what doesn't
-fit (unknown fields, values that can't be cast) as JSON in a rescue column;
-``promote`` replays approved rescued fields into typed columns.
+Every record is held against its type's target schema: ``enforce`` parts it into
+what fits and what is rescued (unknown fields, values of another type). ``ingest``
+keeps the rescued part as JSON in a rescue column beside the typed ones;
+``survey`` reduces it to one small row per file and field. ``changes`` reads
+from those rows what each file of a producer brings, loses, renames or turns
+into another type, ``learned_names`` which rescued names belong to a target
+field, and ``promote`` replays approved rescued fields into typed columns.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import types as T
 FILE = ("record_type", "producer_id", "file_no")
 #: Files of a producer are compared in blocks of this many numbers; a block's first file is compared with the last one of the block before.
 BLOCK = 256
-_LEAF = "record_type string, producer_id long, file_no int, name string, type string, n long, lo double, hi double"
+_LEAF = "record_type string, producer_id long, file_no int, name string, type string, rescued boolean, n long, lo double, hi double"
+#: Pairs of names that renames may join; they grow with the producers' imagination, not with the data. More are refused.
+MAX_RENAMES = 100_000
 _UUID = re.compile(r"[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$")
 _TIME = re.compile(r"\d{4}-\d\d-\d\d([T ]\d\d:\d\d.*)?$")
 _NUMBER = re.compile(r"-?\d+(\.\d+)?([eE][+-]?\d+)?$")
@@ -68,32 +72,55 @@ def kind(value: object) -> tuple[str, float | None]:
     return f"string:{shape}", float(min(len(value), 10_000)) if shape in ("word", "text") else None
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("record_type", pa.string()), ("producer_id", pa.int64()), ("file_no", pa.int32()), ("name", pa.string()), ("type", pa.string()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64())])
-    for batch in batches:
-        found: dict[tuple, list] = {}
-        for rt, producer, file_no, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            obj = parse(body)
-            if obj is None:
-                continue
-            if not obj:
-                found.setdefault((rt, producer, file_no, None, None), [0, None, None])[0] += 1
-            for name, value in leaves(obj):
-                what, size = kind(value)
-                f = found.setdefault((rt, producer, file_no, name, what), [0, None, None])
-                f[0] += 1
-                if size is not None:
-                    f[1], f[2] = size if f[1] is None else min(f[1], size), size if f[2] is None else max(f[2], size)
-        rows = [(*k, *v) for k, v in found.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(8)], schema=schema)
-
-
-def survey(records: DataFrame) -> DataFrame:
-    """One row for each file with at least one valid record: fields array<struct<name, kinds array<struct<type, n, lo, hi>>>>.
-    Rows with a null in the file's key belong to no file. Repeated rows change nothing."""
+#: What a target type is in JSON; a file's field has changed its type if it is another one.
+_JSON = {"string": "string", "long": "integer", "double": "fractional", "boolean": "boolean", "json": ""}
+Target = dict[str, tuple[str, str]]
+
+
+def enforce(obj: dict, target: Target, exact: bool = False) -> tuple[list, dict[str, object]]:
+    """(values of the target's columns, rescued fields by path) of a record. A value that doesn't fit its column's type is rescued and the
+    column null. exact takes only the type's own JSON type; otherwise a value fits if it can be cast without loss."""
+    rest, row = dict(leaves(obj)), []
+    for to, path in target.values():
+        value, fits = (None, True) if path not in rest else (rest[path], kind(rest[path])[0].partition(":")[0] in (_JSON[to], "null")) if exact else _cast(rest[path], to)
+        if fits:
+            rest.pop(path, None)
+        row.append(value if fits else None)
+    return row, rest
+
+
+def _survey(targets: dict[str, Target]):
+    schema = pa.schema([("record_type", pa.string()), ("producer_id", pa.int64()), ("file_no", pa.int32()), ("name", pa.string()), ("type", pa.string()), ("rescued", pa.bool_()), ("n", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, list] = {}
+            for rt, producer, file_no, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                obj = parse(body)
+                if obj is None:
+                    continue
+                if not obj:
+                    found.setdefault((rt, producer, file_no, None, None, False), [0, None, None])[0] += 1
+                rest = enforce(obj, targets.get(rt, {}), exact=True)[1]
+                for name, value in leaves(obj):
+                    what, size = kind(value)
+                    f = found.setdefault((rt, producer, file_no, name, what, name in rest), [0, None, None])
+                    f[0] += 1
+                    if size is not None:
+                        f[1], f[2] = size if f[1] is None else min(f[1], size), size if f[2] is None else max(f[2], size)
+            rows = [(*k, *v) for k, v in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return run
+
+
+def survey(records: DataFrame, targets: dict[str, Target] | None = None) -> DataFrame:
+    """One row for each file with at least one valid record: fields array<struct<name, kinds array<struct<type, rescued, n, lo, hi>>>>, rescued for what
+    the record type's target doesn't take. Rows with a null in the file's key belong to no file. Repeated rows change nothing."""
+    targets = TARGETS if targets is None else targets
     rows = records.select("record_type", F.col("producer_id").cast("long"), F.col("file_no").cast("int"), "body").where("record_type is not null and producer_id is not null and file_no is not null and body is not null")
-    seen = rows.mapInArrow(_survey, _LEAF).groupBy(*FILE, "name", "type").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    by_name = seen.groupBy(*FILE, "name").agg(F.collect_list(F.struct("type", "n", "lo", "hi")).alias("kinds"))  # at most one entry per type and shape
+    seen = rows.mapInArrow(_survey(targets), _LEAF).groupBy(*FILE, "name", "type", "rescued").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by_name = seen.groupBy(*FILE, "name").agg(F.collect_list(F.struct("type", "rescued", "n", "lo", "hi")).alias("kinds"))  # at most one entry per type and shape
     return by_name.groupBy(*FILE).agg(F.filter(F.collect_list(F.struct("name", "kinds")), lambda x: x["name"].isNotNull()).alias("fields"))  # one entry per field name
 
 
@@ -170,9 +197,12 @@ def distinctive(kinds: list) -> bool:
 
 
 def compare(before: list, now: list) -> list[tuple[str, str, str]]:
-    """Changes (change_kind, old_name, new_name) between two files' fields. A lost and a new field are one renamed field
+    """Changes (change_kind, old_name, new_name) between two files' fields. A field that both files have as the target wants it is left aside; what is
+    rescued in either, or missing in one, is a change, or none if both rescue it alike. A lost and a new field are one renamed field
     if their content agrees and their names are related; the best pairs are taken first."""
     old, new = ({f["name"]: f["kinds"] for f in x} for x in (before, now))
+    quiet = {n for n in old.keys() & new.keys() if not any(k["rescued"] for k in (*old[n], *new[n]))}
+    old, new = ({n: k for n, k in x.items() if n not in quiet} for x in (old, new))
     lost, come = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
     rated = []
     for a in lost:
@@ -205,10 +235,11 @@ def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(6)], schema=schema)
 
 
-def changes(records: DataFrame) -> DataFrame:
+def changes(records: DataFrame, targets: dict[str, Target] | None = None) -> DataFrame:
     """(record_type, producer_id, file_no, change_kind, old_name, new_name) for each change of a file against the
-    producer's file before. A file without a valid record isn't there."""
-    pairs = pair_files(survey(records)).where("before is not null")
+    producer's file before, from what the two files' records have rescued and what they lack. A file without a valid record isn't there. A type without
+    a target rescues all its fields."""
+    pairs = pair_files(survey(records, targets)).where("before is not null")
     return pairs.select(*FILE, "fields", "before").mapInArrow(_changes, _CHANGE)
 
 
@@ -237,8 +268,8 @@ def _cast(value: object, to: str) -> tuple[object, bool]:
 _ARROW = {"string": pa.string(), "json": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-def ingest(records: DataFrame, record_type: str, target: dict[str, tuple[str, list[str]]]) -> DataFrame:
-    """One typed table: target maps a column to its type and the field names it goes by. Adds the file's key,
+def ingest(records: DataFrame, record_type: str, target: Target) -> DataFrame:
+    """One typed table: target maps a column to its type and its field's path. Adds the file's key,
     record_no and _rescued (JSON object of unknown fields and of values that don't fit; null if there are none). Bodies that
     aren't valid JSON count for nothing; rows that repeat stay as often as they stand."""
     spark_type = {"json": "string", "long": "long"}
@@ -251,79 +282,106 @@ def ingest(records: DataFrame, record_type: str, target: dict[str, tuple[str, li
             rows = []
             for *key, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 obj = parse(body)
-                if obj is None:
-                    continue
-                rest, row = dict(leaves(obj)), list(key)
-                for to, aliases in target.values():
-                    name = next((a for a in aliases if a in rest), None)
-                    got, fits = _cast(rest[name], to) if name else (None, True)
-                    if name and fits:
-                        del rest[name]
-                    row.append(got)
-                rows.append((*row, json.dumps(rest, sort_keys=True, ensure_ascii=False) if rest else None))
+                if obj is not None:
+                    row, rest = enforce(obj, target)
+                    rows.append((*key, *row, _dump(rest)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     own = records.where(F.col("record_type") == record_type)
     return own.select("record_type", F.col("producer_id").cast("long"), F.col("file_no").cast("int"), F.col("record_no").cast("int"), "body").mapInArrow(run, schema)
 
 
-def promote(table: DataFrame, column: str, to: str, names: list[str]) -> DataFrame:
-    """Replays rescued values: column takes the first of names that _rescued holds and that fits; the field leaves _rescued."""
-    schema = T.StructType([T.StructField("value", T.StringType()), T.StructField("rest", T.StringType())])
+def _dump(rest: dict) -> str | None:
+    return json.dumps(rest, sort_keys=True, ensure_ascii=False) if rest else None
+
 
-    @F.pandas_udf(schema)
-    def split(rescued):
+def promote(table: DataFrame, columns: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """Replays rescued values: a column (old or new) that is null takes the first of its names that _rescued holds and that fits its type; that field leaves
+    _rescued. A column that has a value keeps it, and its other names stay rescued."""
+    kinds = {"json": "string"}
+    old = [c for c in columns if c in table.columns]
+    made = ", ".join(f"c{i} {kinds.get(t, t)}" for i, (t, _) in enumerate(columns.values()))
+
+    @F.pandas_udf(T.StructType.fromDDL(f"{made}, rest string"))
+    def split(rescued, taken):
         import pandas as pd
 
         out = []
-        for text in rescued:
-            rest, value = json.loads(text) if text is not None else {}, None
-            for n in (n for n in names if n in rest):
-                got, fits = _cast(rest[n], to)
-                if fits:
-                    value = None if got is None else json.dumps(got) if to == "boolean" else str(got)
-                    del rest[n]
-                    break
-            out.append((value, json.dumps(rest, sort_keys=True, ensure_ascii=False) if rest else None))
-        return pd.DataFrame(out, columns=["value", "rest"])
-
-    got = table.withColumn("_s", split("_rescued"))
-    value = F.col("_s.value").cast("string" if to == "json" else to)
-    value = F.coalesce(F.col(column), value) if column in table.columns else value
-    return got.withColumns({column: value, "_rescued": F.col("_s.rest")}).drop("_s")
-
-
-#: Target tables of the three record types: column, type and the names it has gone by.
-TARGETS = {
+        for text, has in zip(rescued, taken, strict=True):
+            rest, row = json.loads(text) if text is not None else {}, []
+            for i, (to, names) in enumerate(columns.values()):
+                value = None
+                for n in (n for n in names if n in rest and not has >> i & 1):
+                    got, fits = _cast(rest[n], to)
+                    if fits:
+                        value = got
+                        del rest[n]
+                        break
+                row.append(value)
+            out.append((*row, _dump(rest)))
+        frame = pd.DataFrame(out, columns=[*(f"c{i}" for i in range(len(columns))), "rest"], dtype=object)
+        return frame.astype({f"c{i}": {"long": "Int64", "double": "Float64", "boolean": "boolean"}.get(t, object) for i, (t, _) in enumerate(columns.values())})
+
+    flags = F.lit(0).cast("long")
+    for i, c in enumerate(columns):
+        if c in old:
+            flags = flags + F.when(F.col(c).isNotNull(), 1 << i).otherwise(0)
+    got = table.withColumn("_s", split("_rescued", flags))
+    values = {c: F.coalesce(F.col(c), F.col(f"_s.c{i}")) if c in old else F.col(f"_s.c{i}") for i, c in enumerate(columns)}
+    return got.withColumns(values | {"_rescued": F.col("_s.rest")}).drop("_s")
+
+
+def learned_names(changed: DataFrame, target: Target) -> dict[str, tuple[str, list[str]]]:
+    """By target column: its type and the other names that its field has gone by, as the renames in rows of changes() (of one record type) tell. Names are
+    joined by union-find, the most frequent renames first; a rename that would make one of two target fields is passed over."""
+    rows = changed.where("change_kind = 'renamed'").groupBy("old_name", "new_name").agg(F.count(F.lit(1)).alias("n")).limit(MAX_RENAMES + 1).collect()
+    if len(rows) > MAX_RENAMES:
+        raise ValueError(f"more than {MAX_RENAMES} renames between different names")
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    fixed = {path for _, path in target.values()}
+    for r in sorted(rows, key=lambda r: (-r.n, r.old_name, r.new_name)):
+        a, b = find(r.old_name), find(r.new_name)
+        if a != b and not (a in fixed and b in fixed):
+            a, b = (a, b) if a in fixed else (b, a)
+            root[b] = a
+    known = {n for r in rows for n in (r.old_name, r.new_name)}
+    return {c: (to, sorted(n for n in known if n != path and find(n) == path)) for c, (to, path) in target.items()}
+
+
+#: The target tables of the three record types: column, type and path.
+TARGETS: dict[str, Target] = {
     "ocr_event": {
-        "id": ("string", ["id"]),
-        "schema_version": ("long", ["schema_version", "schemaVersion", "version", "schema_ver"]),
-        "timestamp": ("long", ["timestamp", "timestamp_s", "event_time", "ts"]),
-        "variant": ("string", ["source.OcrVariant.variant", "source.OcrVariant.Variant", "source.OcrVariant.variant_name"]),
-        "page": ("long", ["source.OcrVariant.page", "source.OcrVariant.pageNumber", "source.OcrVariant.page_no"]),
-        "line_index": ("long", ["source.OcrVariant.line_index", "source.OcrVariant.lineIndex", "source.OcrVariant.line_idx"]),
-        "text": ("string", ["payload.OcrLine.text", "payload.OcrLine.Text", "payload.OcrLine.line_text"]),
-        "line_confidence": ("double", ["payload.OcrLine.confidence", "payload.OcrLine.conf", "payload.OcrLine.Confidence"]),
-        "confidence": ("double", ["confidence", "conf", "Confidence", "confidence_score"]),
+        "id": ("string", "id"), "schema_version": ("long", "schema_version"), "timestamp": ("long", "timestamp"), "variant": ("string", "source.OcrVariant.variant"),
+        "page": ("long", "source.OcrVariant.page"), "line_index": ("long", "source.OcrVariant.line_index"), "text": ("string", "payload.OcrLine.text"),
+        "line_confidence": ("double", "payload.OcrLine.confidence"), "confidence": ("double", "confidence"),
     },
     "document_snapshot": {
-        "snapshot_id": ("string", ["snapshot_id"]),
-        "document_id": ("string", ["document_id", "doc_uuid", "documentId"]),
-        "created_at": ("string", ["created_at", "created_ts", "created", "createdAt"]),
-        "content_hash": ("string", ["content_hash", "contentHash", "hash", "content_digest"]),
-        "confidence": ("double", ["confidence", "conf", "Confidence", "confidence_score"]),
-        "iterations": ("long", ["iterations", "n_iterations", "iteration_count", "Iterations"]),
-        "schema_version": ("long", ["schema_version", "schemaVersion", "version", "schema_ver"]),
+        "snapshot_id": ("string", "snapshot_id"), "document_id": ("string", "document_id"), "created_at": ("string", "created_at"), "content_hash": ("string", "content_hash"),
+        "confidence": ("double", "confidence"), "iterations": ("long", "iterations"), "schema_version": ("long", "schema_version"),
     },
     "reducer_state": {
-        "document_id": ("string", ["document_id", "doc_uuid", "documentId"]),
-        "source": ("string", ["source", "source_path", "src"]),
-        "pages": ("long", ["pages", "page_count", "Pages"]),
-        "convergence_score_bps": ("double", ["convergence_score_bps", "convergence_bps", "convergenceScoreBps"]),
-        "ambiguity_score_bps": ("double", ["ambiguity_score_bps", "ambiguity_bps", "ambiguityScoreBps"]),
-        "collision_rate_bps": ("double", ["collision_rate_bps", "coll_rate_bps", "collision_bps", "collisionRateBps", "Collision_Rate_Bps"]),
-        "iterations": ("long", ["iterations", "n_iterations", "iteration_count", "Iterations"]),
-        "semantic_conflicts": ("long", ["semantic_conflicts", "n_semantic_conflicts", "semanticConflicts"]),
-        "schema_version": ("long", ["schema_version", "schemaVersion", "version", "schema_ver"]),
+        "document_id": ("string", "document_id"), "source": ("string", "source"), "pages": ("long", "pages"), "convergence_score_bps": ("double", "convergence_score_bps"),
+        "ambiguity_score_bps": ("double", "ambiguity_score_bps"), "collision_rate_bps": ("double", "collision_rate_bps"), "iterations": ("long", "iterations"),
+        "semantic_conflicts": ("long", "semantic_conflicts"), "schema_version": ("long", "schema_version"),
     },
-}
+}
+#: Rescued fields that are approved as columns of their own.
+APPROVED = {
+    "is_retry": ("boolean", ["is_retry"]), "reviewed": ("boolean", ["reviewed"]), "labels": ("json", ["labels"]), "latency_ms": ("double", ["latency_ms"]), "skew_deg": ("double", ["skew_deg"]),
+    "noise_ratio": ("double", ["noise_ratio"]), "dpi": ("long", ["dpi"]), "engine": ("string", ["engine"]), "operator": ("string", ["operator"]), "trace_tag": ("string", ["trace_tag"]),
+}
+
+
+def consistent_table(records: DataFrame, record_type: str, approved: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
+    """One table of a record type from all files: ingested by the target, then the rescued fields replayed, those under a target field's learned names into
+    its column and the approved ones into columns of their own. What fits nowhere stays in _rescued."""
+    own = records.where(F.col("record_type") == record_type)
+    target = TARGETS[record_type]
+    names = {c: v for c, v in learned_names(changes(own), target).items() if v[1]}
+    return promote(ingest(own, record_type, target), names | (APPROVED if approved is None else approved))

@@ -56,7 +56,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _p5_table(record_type: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return drift.ingest(table(spark, d, "raw_records"), record_type, drift.TARGETS[record_type])
+        return drift.consistent_table(table(spark, d, "raw_records"), record_type)
 
     return query
 

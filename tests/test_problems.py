@@ -170,12 +170,28 @@ def test_drift(spark):
 
 
 def test_ingest_and_promote(spark):
-    df = records(spark, {1: [{"id": "a", "n": 1, "x": "y"}, {"id": 5, "num": 2.0}, {"id": "c", "n": "7"}, "{", {"id": "d", "n": 2.5}]})
-    got = drift.ingest(df, "ocr_event", {"id": ("string", ["id"]), "n": ("long", ["n", "num"])}).orderBy("record_no")
+    df = records(spark, {1: [{"id": "a", "n": 1, "x": "y"}, {"id": 5, "num": 2.0}, {"id": "c", "n": "7"}, "{", {"id": "d", "n": 2.5}, {"id": "e", "n": 1, "num": 4}]})
+    got = drift.ingest(df, "ocr_event", {"id": ("string", "id"), "n": ("long", "n")}).orderBy("record_no")
     rows = got.collect()
-    assert [(r.id, r.n, r._rescued) for r in rows] == [("a", 1, '{"x": "y"}'), (None, 2, '{"id": 5}'), ("c", 7, None), ("d", None, '{"n": 2.5}')]
-    more = drift.promote(drift.promote(got, "x", "string", ["x"]), "n", "double", ["n"]).orderBy("record_no").collect()
-    assert [r.x for r in more] == ["y", None, None, None] and more[3].n == 2.5 and more[3]._rescued is None and more[1]._rescued == '{"id": 5}'
+    assert [(r.id, r.n, r._rescued) for r in rows] == [("a", 1, '{"x": "y"}'), (None, None, '{"id": 5, "num": 2.0}'), ("c", 7, None), ("d", None, '{"n": 2.5}'), ("e", 1, '{"num": 4}')]
+    more = drift.promote(got, {"x": ("string", ["x"]), "n": ("long", ["num"]), "m": ("double", ["n"])}).orderBy("record_no").collect()
+    assert [r.x for r in more] == ["y", None, None, None, None] and [r.n for r in more] == [1, 2, 7, None, 1] and [r.m for r in more] == [None, None, None, 2.5, None]
+    assert [r._rescued for r in more] == [None, '{"id": 5}', None, None, '{"num": 4}']  # a value that is there isn't overwritten
+
+
+def test_names_are_learned(spark):
+    """Renames lead rescued values back to the target's columns, over several steps, and never join two of them."""
+    body = lambda **x: {"document_id": "0197a1b2-c3d4-7e5f-8a6b-0c1d2e3f4a5b", "iterations": 3, **x}
+    files = {1: [body(schema_version=1)], 2: [body(schemaVersion=2)], 3: [body(version=2, dpi=300)], 4: ["{"], 5: [body(version="3", dpi="x")]}
+    df = records(spark, files).withColumn("record_type", F.lit("reducer_state"))
+    names = drift.learned_names(drift.changes(df), drift.TARGETS["reducer_state"])
+    assert names["schema_version"] == ("long", ["schemaVersion", "version"]) and names["iterations"] == ("long", [])
+    got = drift.consistent_table(df, "reducer_state").orderBy("file_no").collect()
+    assert [(r.schema_version, r.dpi, r._rescued) for r in got] == [(1, None, None), (2, None, None), (2, 300, None), (3, None, '{"dpi": "x"}')]
+    assert drift.consistent_table(df.limit(0), "reducer_state").count() == 0
+    both = spark.createDataFrame([("renamed", "iterations", "n"), ("renamed", "iterations", "n"), ("renamed", "pages", "n")], "change_kind string, old_name string, new_name string")
+    got = drift.learned_names(both, drift.TARGETS["reducer_state"])
+    assert got["iterations"][1] == ["n"] and got["pages"][1] == []
 
 
 def test_export_differences(spark):
