@@ -29,7 +29,7 @@ _LEAF = "record_type string, producer_id long, file_no int, name string, type st
 MAX_RENAMES = 100_000
 _UUID = re.compile(r"[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$")
 _TIME = re.compile(r"\d{4}-\d\d-\d\d([T ]\d\d:\d\d.*)?$")
-_NUMBER = re.compile(r"-?\d+(\.\d+)?([eE][+-]?\d+)?$")
+_NUMBER = re.compile(r"([vV]|-)?\d+(\.\d+)?([eE][+-]?\d+)?$")  # v3 is the number of a version
 
 
 def _no_constant(text: str):

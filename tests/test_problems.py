@@ -167,6 +167,8 @@ def test_drift(spark):
         (302, "type_changed", "schemaVersion", "schemaVersion"), (302, "removed", "ok", ""), (304, "added", "", "is_retry"),
     }
     assert drift.changes(records(spark, {1: [base]}).limit(0)).count() == 0
+    spelled = {1: [{"schema_version": "2", "a": 1}], 2: [{"version": "v3", "a": 1}]}
+    assert [(r.change_kind, r.new_name) for r in drift.changes(records(spark, spelled)).collect()] == [("renamed", "version")]
 
 
 def test_ingest_and_promote(spark):
