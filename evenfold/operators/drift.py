@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenfold.session import cut
+
 FILE = ("record_type", "producer_id", "file_no")
 #: Files of a producer are compared in blocks of this many numbers; a block's first file is compared with the last one of the block before.
 BLOCK = 256
@@ -239,7 +241,7 @@ def changes(records: DataFrame, targets: dict[str, Target] | None = None) -> Dat
     """(record_type, producer_id, file_no, change_kind, old_name, new_name) for each change of a file against the
     producer's file before, from what the two files' records have rescued and what they lack. A file without a valid record isn't there. A type without
     a target rescues all its fields."""
-    pairs = pair_files(survey(records, targets)).where("before is not null")
+    pairs = pair_files(cut(survey(records, targets))).where("before is not null")  # one small row per file, read twice
     return pairs.select(*FILE, "fields", "before").mapInArrow(_changes, _CHANGE)
 
 
