@@ -1,22 +1,29 @@
 """What changed between full exports (problem 6).
 
-Every key has a persistent ordinal: its hash bucket and its place in the bucket.
-An export is a compressed bitmap of the ordinals alive in it, so additions and
-removals are AND-NOT of two bitmaps; digests of the content stand in vectors by
-ordinal, so changes among the common keys are one vector comparison.
+Every key has a persistent ordinal: its hash bucket and its place in the bucket,
+which a later export's new keys never change. An export is a compressed bitmap of the
+ordinals alive in it, so additions and removals are AND-NOT of two bitmaps; digests of
+the content stand in vectors by ordinal, so changes among the common keys are one vector
+comparison. A unit of work is one bucket of one pair of neighbouring exports.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Keys in a bucket on average; a bucket is one task's unit: its bitmaps and vectors take about 34 bytes a key and export.
-BUCKET_KEYS = 8192
+from evenfold.functions.ids import plain_uuid
+from evenfold.session import cut
+from evenfold.sources import files
+
+#: A dictionary's buckets, always the same number, as ordinals are kept. One of a billion keys has a million in each, whose bitmaps, vectors and names
+#: of two exports take about 100 MB.
+BUCKETS = 1024
 
 
 def pack(alive: np.ndarray) -> bytes:
@@ -35,21 +42,22 @@ def and_not(a: bytes, b: bytes) -> bytes:
 
 
 def set_digest(rows: DataFrame, by: str, items: Column) -> DataFrame:
-    """(by, d1, d2, n): 128 bits and the size of each group's set of items, whatever their order and copies. Partial
-    digests are made before the shuffle on distinct rows."""
-    one = rows.select(by, items.alias("i")).distinct()
-    x = F.to_json("i")
-    return one.groupBy(by).agg(F.bit_xor(F.xxhash64(x)).alias("d1"), F.bit_xor(F.xxhash64(F.reverse(x), F.lit(7))).alias("d2"), F.count(F.lit(1)).alias("n"))
-
-
-def ordinals(keys: DataFrame, known: DataFrame | None = None, buckets: int = 64) -> DataFrame:
-    """(key, bucket, ordinal): known keys keep their ordinals, new ones take the next in their bucket. The bucket count must stay
-    the same for a dictionary that is kept."""
-    keys = keys.select("key").where("key is not null").distinct()
+    """(by, d1, d2, n): 128 bits and the size of each group's set of items, whatever their order and copies. Items are moved as
+    their hashes."""
+    x = F.to_json(items)
+    one = rows.select(by, F.xxhash64(x).alias("h1"), F.xxhash64(F.reverse(x), F.lit(7)).alias("h2")).distinct()
+    return one.groupBy(by).agg(F.bit_xor("h1").alias("d1"), F.bit_xor("h2").alias("d2"), F.count(F.lit(1)).alias("n"))
+
+
+def ordinals(keys: DataFrame, known: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(key, bucket, ordinal): known keys keep their ordinals, new ones take the next in their bucket, in order of export_no (if keys has it) and key; so a
+    dictionary made of all exports at once is the one that grows with them. The bucket count must stay the same for a dictionary that is kept."""
+    when = F.min("export_no") if "export_no" in keys.columns else F.lit(0)
+    keys = keys.where("key is not null").groupBy("key").agg(when.alias("since"))
     if known is not None:
         keys = keys.join(known.select("key"), "key", "left_anti")
     fresh = keys.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    fresh = fresh.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("key")) - 1)
+    fresh = fresh.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("since", "key")) - 1)
     if known is None:
         return fresh.select("key", "bucket", F.col("r").cast("int").alias("ordinal"))
     top = known.groupBy("bucket").agg((F.max("ordinal") + 1).alias("base"))
@@ -57,57 +65,70 @@ def ordinals(keys: DataFrame, known: DataFrame | None = None, buckets: int = 64)
     return known.select("key", "bucket", "ordinal").unionByName(fresh)
 
 
-def _compare(exports: list[int]):
-    schema = pa.schema([("export_no", pa.int32()), ("key", pa.string()), ("change_kind", pa.string())])
-
-    def run(table: pa.Table) -> pa.Table:
-        at, ordinal = table["export_no"].to_numpy(), table["ordinal"].to_numpy()
-        digest = [table[c].fill_null(0).to_numpy() for c in ("d1", "d2", "n")]
-        n = int(ordinal.max()) + 1
-        keys = np.empty(n, object)
-        keys[ordinal] = table["key"].to_numpy(zero_copy_only=False)
-        bitmaps, vectors = {}, {}
-        for e in exports:
-            here = at == e
-            alive = np.zeros(n, bool)
-            alive[ordinal[here]] = True
-            bitmaps[e] = pack(alive)
-            vectors[e] = [np.zeros(n, d.dtype) for d in digest]
-            for v, d in zip(vectors[e], digest, strict=True):
-                v[ordinal[here]] = d[here]
-        out: list[tuple[int, np.ndarray, str]] = []
-        for a, b in zip(exports, exports[1:], strict=False):
-            differs = np.zeros(n, bool)
-            for x, y in zip(vectors[a], vectors[b], strict=True):
-                differs |= x != y
-            out.append((b, unpack(and_not(bitmaps[b], bitmaps[a]), n), "added"))
-            out.append((b, unpack(and_not(bitmaps[a], bitmaps[b]), n), "removed"))
-            out.append((b, unpack(bitmaps[a], n) & unpack(bitmaps[b], n) & differs, "changed"))
-        rows = [(e, k, kind) for e, hit, kind in out for k in keys[hit]]
-        return pa.table({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)}, schema=schema)
-
-    return run
-
-
-def diff(exports: DataFrame, buckets: int | None = None, known: DataFrame | None = None) -> DataFrame:
-    """(export_no, key, change_kind) from rows (export_no, key, d1, d2, n), one per key and export: each export against the one
-    before, in order of export_no. Rows without export_no or key are no record; a missing digest is the digest of nothing."""
-    exports = exports.where("export_no is not null and key is not null")
+_CHANGE = pa.schema([("export_no", pa.int32()), ("key", pa.string()), ("change_kind", pa.string())])
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """One bucket of one pair of exports: rows (pair, now, key, ordinal, d1, d2, n)."""
+    now, ordinal = table["now"].to_numpy(), table["ordinal"].to_numpy()
+    size = int(ordinal.max()) + 1
+    keys = np.empty(size, object)
+    keys[ordinal] = table["key"].to_numpy(zero_copy_only=False)
+    bitmaps, vectors = [], []
+    for side in (False, True):
+        here = now == side
+        alive = np.zeros(size, bool)
+        alive[ordinal[here]] = True
+        bitmaps.append(pack(alive))
+        vectors.append([np.zeros(size, np.int64) for _ in range(3)])
+        for v, c in zip(vectors[-1], ("d1", "d2", "n"), strict=True):
+            v[ordinal[here]] = table[c].fill_null(0).to_numpy()[here]
+    before, after = bitmaps
+    differs = np.logical_or.reduce([x != y for x, y in zip(*vectors, strict=True)])
+    hits = {"added": unpack(and_not(after, before), size), "removed": unpack(and_not(before, after), size), "changed": unpack(before, size) & unpack(after, size) & differs}
+    pair = table["pair"][0].as_py()
+    rows = [(pair, k, kind) for kind, hit in hits.items() for k in keys[hit]]
+    return pa.table({f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CHANGE)}, schema=_CHANGE)
+
+
+def diff(exports: DataFrame, known: DataFrame | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """((export_no, key, change_kind), dictionary) from rows (export_no, key, d1, d2, n), one per key and export: each export against the one
+    before, in order of export_no. known is the dictionary of earlier runs; the one returned has all keys and is to be kept. Rows without export_no or
+    key are no record; a missing digest is the digest of nothing."""
+    exports = cut(exports.where("export_no is not null and key is not null"))
     numbers = sorted(r.export_no for r in exports.select("export_no").distinct().collect())  # one per export
-    if buckets is None:
-        buckets = max(8, exports.count() // max(1, len(numbers)) // BUCKET_KEYS + 1)
-    placed = exports.join(ordinals(exports, known, buckets), "key")
-    cols = ["bucket", "export_no", "key", "ordinal", "d1", "d2", "n"]
-    return placed.select(*cols).groupBy("bucket").applyInArrow(_compare(numbers), "export_no int, key string, change_kind string")
+    dictionary = cut(ordinals(exports, known, buckets))
+    pairs = {n: [*([(n, True)] if i else []), *([(numbers[i + 1], False)] if i + 1 < len(numbers) else [])] for i, n in enumerate(numbers)}
+    sides = exports.sparkSession.createDataFrame([(n, p, now) for n, of in pairs.items() for p, now in of], "export_no int, pair int, now boolean")
+    placed = exports.join(F.broadcast(sides), "export_no").join(dictionary, "key")  # sides has two rows per export
+    cols = ["pair", "now", "key", "ordinal", "d1", "d2", "n"]
+    return placed.select("bucket", *cols).groupBy("bucket", "pair").applyInArrow(_compare, "export_no int, key string, change_kind string"), dictionary
 
 
-def document_changes(snapshots: DataFrame, lines: DataFrame) -> DataFrame:
-    """(export_no, document_id, change_kind) of document_snapshots with the texts of snapshot_lines. A document that stands
-    in an export with several snapshots has the one created last (then the one with the greatest id); a snapshot without lines has the empty set."""
-    from evenfold.functions.ids import plain_uuid
-
+def exports_of(snapshots: DataFrame, lines: DataFrame) -> DataFrame:
+    """(export_no, key, d1, d2, n) of document_snapshots with the texts of snapshot_lines. A document that stands in an export with several snapshots has
+    the one created last (then the one with the greatest id); a snapshot without lines has the empty set."""
     heads = snapshots.select(F.col("export_no").cast("int"), plain_uuid("document_id").alias("key"), plain_uuid("snapshot_id").alias("snapshot_id"), "created_at")
     heads = heads.where("export_no is not null and key is not null").groupBy("export_no", "key").agg(F.max(F.struct("created_at", "snapshot_id")).alias("h"))
-    digests = set_digest(lines.withColumn("snapshot_id", plain_uuid("snapshot_id")), "snapshot_id", F.struct("page", "line", "text"))
-    rows = heads.select("export_no", "key", F.col("h.snapshot_id").alias("snapshot_id")).join(digests, "snapshot_id", "left")
-    return diff(rows.drop("snapshot_id")).withColumnRenamed("key", "document_id")
+    digests = set_digest(lines.select(plain_uuid("snapshot_id").alias("snapshot_id"), "page", "line", "text"), "snapshot_id", F.struct("page", "line", "text"))
+    return heads.select("export_no", "key", F.col("h.snapshot_id").alias("snapshot_id")).join(digests, "snapshot_id", "left").drop("snapshot_id")
+
+
+def document_changes(snapshots: DataFrame, lines: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(export_no, document_id, change_kind) of the exports of document_snapshots."""
+    return diff(exports_of(snapshots, lines), known)[0].withColumnRenamed("key", "document_id")
+
+
+def load_dictionary(spark: SparkSession, root: str) -> DataFrame | None:
+    """The dictionary that was stored last under a folder; None if none was."""
+    seen = [n for n in files.names(spark, root) if n.startswith("v")]
+    return spark.read.parquet(f"{root}/{seen[-1]}") if seen else None
+
+
+def store_dictionary(dictionary: DataFrame, root: str) -> None:
+    """Keeps a dictionary as the newest one of the folder. It is written beside the others and renamed, so a lost attempt leaves nothing that load would take."""
+    spark = dictionary.sparkSession
+    seen = [n for n in files.names(spark, root) if n.startswith("v")]
+    draft = f"{root}/_draft-{uuid.uuid4().hex}"
+    dictionary.write.parquet(draft)
+    files.move(spark, draft, f"{root}/v{int(seen[-1][1:]) + 1 if seen else 1:09d}")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenfold.functions.ids import plain_uuid
 from evenfold.operators import drift, ledger, messages, snapdiff
-from evenfold.session import table
+from evenfold.session import checkpoint_dir, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,16 +40,17 @@ def p2_seen_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records that each succeeded run must process, without the first succeeded run of each table."""
-    done = ledger.replay_runs(table(spark, d, "ingest_runs"))
-    parts = []
+    """Records that each succeeded run must process, without the first succeeded run of each table: the log worked off through a ledger of its own."""
+    runs = ledger.runs_of(table(spark, d, "ingest_runs"))
+    done = ledger.Ledger().replay(runs)
+    results, first = {}, F.lit(False)
     for name, key, compare in (("ocr_events", "id", None), ("snapshot_metadata", "snapshot_id", ["content_hash", "confidence", "iterations"])):
         items = [i for i in done if i.table == name]
         rows = table(spark, d, name)
-        got = ledger.changed(rows, plain_uuid(key), items, compare) if compare else ledger.first_seen(rows, plain_uuid(key), items)
-        first = items[0].run_id if items else -1
-        parts.append(got.where(F.col("run_id") != first).select(F.lit(name).alias("table_name"), "run_id", "record_id"))
-    return parts[0].unionByName(parts[1])
+        results[name] = ledger.changed(rows, plain_uuid(key), items, compare) if compare else ledger.first_seen(rows, plain_uuid(key), items)
+        first = first | ((F.col("table_name") == name) & (F.col("run_id") == (items[0].run_id if items else -1)))
+    store = ledger.Store(spark, f"{checkpoint_dir(spark)}/loads-{uuid.uuid4().hex}")
+    return ledger.process_history(results, runs, store).where(~first)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +65,12 @@ def _p5_table(record_type: str):
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapdiff.document_changes(table(spark, d, "document_snapshots"), table(spark, d, "snapshot_lines"))
+    """Two runs over one stored dictionary: the first export gives its documents their ordinals, the later ones go on from there."""
+    snapshots, lines = table(spark, d, "document_snapshots"), table(spark, d, "snapshot_lines")
+    root = f"{checkpoint_dir(spark)}/ordinals-{uuid.uuid4().hex}"
+    first = snapshots.where(F.col("export_no") == snapshots.agg(F.min("export_no")).first()[0]).select(F.col("export_no").cast("int"), plain_uuid("document_id").alias("key"))
+    snapdiff.store_dictionary(snapdiff.ordinals(first), root)
+    return snapdiff.document_changes(snapshots, lines, snapdiff.load_dictionary(spark, root))
 
 
 QUERIES = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,16 +18,20 @@ def local_session(cores: int | str = "*", name: str = "evenfold", partitions: in
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("EVENFOLD_DRIVER_MEMORY", "8g"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where none is set, a session on this machine alone (tests) gets a temporary one; on a cluster
+    that is an error, as executors couldn't share it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="evenfold-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -35,7 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back: it is computed once and survives lost executors."""
+    """Writes df to the shared checkpoint folder and reads it back: it is computed once and survives lost executors. The files go when the frame
+    does, where spark.cleaner.referenceTracking.cleanCheckpoints is set (as in local_session)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

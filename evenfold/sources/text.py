@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import subprocess
-import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,12 +51,8 @@ def to_text(lines: DataFrame, by: list[str]) -> DataFrame:
 
 
 def tesseract(image: bytes, lang: str, variant: str) -> str:
-    """Runs the tesseract command on an image; fails as the command fails."""
-    with tempfile.TemporaryDirectory() as d:  # scratch of one call, gone with it
-        src = Path(d, f"in_{variant}.png")
-        src.write_bytes(image)
-        subprocess.run(["tesseract", str(src), f"{d}/out", "-l", lang], check=True, capture_output=True)
-        return Path(d, "out.txt").read_text()
+    """Runs the tesseract command on an image, through its standard input and output; fails as the command fails."""
+    return subprocess.run(["tesseract", "stdin", "stdout", "-l", lang], input=image, check=True, capture_output=True).stdout.decode()
 
 
 def read_images(images: DataFrame, lang: str = "ita", provider: Callable[[bytes, str, str], str] = tesseract) -> DataFrame:

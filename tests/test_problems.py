@@ -110,8 +110,9 @@ def test_ledger_leases():
     with pytest.raises(StaleWriter):
         led.lease("t", T0, 2, T0, T0 + hour)  # still leased
     led.expire(T0 + hour)
-    old = a.token
+    old, path = a.token, a.path
     b = led.lease("t", T0 + hour, 2, T0 + hour, T0 + 2 * hour)
+    assert b.path == path
     with pytest.raises(StaleWriter):
         led.commit(a, old)  # fenced
     led.commit(b, b.token)
@@ -119,6 +120,22 @@ def test_ledger_leases():
     assert Ledger.loads(led.dumps()) == led
 
 
+def test_ledger_is_stored_once(spark, tmp_path):
+    """Of two processes that saw the same version one stores the next; the other one starts from there."""
+    a, b = ledger.Store(spark, str(tmp_path)), ledger.Store(spark, str(tmp_path))
+    (x, v), (y, w) = a.read(), b.read()
+    assert v == w == 0
+    x.lease("t", T0, 1, T0, T0 + timedelta(days=1))
+    y.lease("t", T0, 2, T0, T0 + timedelta(days=1))
+    assert a.swap(x, v) and not b.swap(y, w)
+    with pytest.raises(StaleWriter):
+        b.lease("t", T0, 2, T0, T0 + timedelta(days=1))  # sees the lease of the other one
+    assert b.read()[0] == x
+    for n in range(12):
+        b.update(lambda led: led.items.setdefault(f"u{n}", []))  # noqa: B023
+    assert len(a._versions()) <= 9 and len(a.read()[0].items) == 13
+
+
 @pytest.mark.parametrize("few", [256, 1])
 def test_runs_and_records(spark, monkeypatch, few):
     monkeypatch.setattr(ledger, "FEW", few)
@@ -133,17 +150,40 @@ def test_runs_and_records(spark, monkeypatch, few):
     assert first_seen(df, F.col("id"), []).count() == 0
 
 
-def test_process_retries(spark, tmp_path):
+def test_process_leaves_one_copy(spark, tmp_path, monkeypatch):
+    """A killed attempt, a stale writer and a crash between commit and publication leave every record once, read from the folder."""
     df = spark.createDataFrame([(1, T0), (2, T0 + timedelta(hours=1)), (3, T0 + timedelta(hours=2))], "x int, arrived_at timestamp_ntz")
-    led = Ledger()
-    lost = led.lease("t", T0 + timedelta(hours=1), 1, T0, T0)
-    led.expire(T0)
-    item = led.lease("t", T0 + timedelta(hours=1), 2, T0, T0 + timedelta(days=1))
-    path = process(df, item, led, str(tmp_path), lambda rows: rows)
-    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [1, 2]
-    assert lost is item
-    item = led.lease("t", T0 + timedelta(hours=2), 3, T0, T0 + timedelta(days=1))
-    assert [r.x for r in spark.read.parquet(process(df, item, led, str(tmp_path), lambda rows: rows)).collect()] == [3]
+    store = ledger.Store(spark, str(tmp_path))
+    folder = lambda: sorted(r.x for r in spark.read.option("recursiveFileLookup", True).schema("x int").parquet(f"{tmp_path}/t").collect())
+    hour = timedelta(hours=1)
+    lost = store.lease("t", T0, 1, T0, T0)
+    df.limit(2).write.parquet(store.attempt_path(lost, lost.token))  # killed before its commit
+    item = store.lease("t", T0 + hour, 2, T0, T0 + timedelta(days=1))
+    assert item.path == lost.path and item.token > lost.token
+    with pytest.raises(StaleWriter):
+        process(df, lost, store, lambda rows: rows)  # comes back late
+    path = process(df, item, store, lambda rows: rows)
+    assert sorted(r.x for r in spark.read.parquet(path).collect()) == [1, 2] == folder()
+    with pytest.raises(StaleWriter):
+        process(df, lost, store, lambda rows: rows)
+    assert folder() == [1, 2]
+    item = store.lease("t", T0 + 2 * hour, 3, T0, T0 + timedelta(days=1))
+    monkeypatch.setattr(ledger.Store, "publish", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        process(df, item, store, lambda rows: rows)
+    monkeypatch.undo()
+    assert folder() == [1, 2]
+    store.publish(store.read()[0].items["t"])
+    assert folder() == [1, 2, 3]
+
+
+def test_history_is_read_from_its_folder(spark, tmp_path):
+    runs = [(1, "t", T0, True), (2, "t", T0 + timedelta(hours=1), False), (3, "t", T0 + timedelta(hours=2), True), (4, "t", T0 + timedelta(hours=3), True), (5, "t", T0 + timedelta(hours=1), True)]
+    rows = spark.createDataFrame([("a", 1), ("b", 3), ("a", 3)], "record_id string, run_id long")
+    store = ledger.Store(spark, str(tmp_path))
+    got = ledger.process_history({"t": rows, "u": rows.limit(0)}, runs, store)
+    assert sorted(tuple(r) for r in got.collect()) == [("t", 1, "a"), ("t", 3, "a"), ("t", 3, "b")]
+    assert [i.run_id for i in store.read()[0].items["t"]] == [1, 3, 4]
 
 
 def records(spark, files):
@@ -206,8 +246,30 @@ def test_export_differences(spark):
     assert snapdiff.document_changes(snaps.limit(0), spark.createDataFrame(lines, "snapshot_id string, page int, line int, text string")).count() == 0
 
 
-def test_ordinals_persist(spark):
-    keys = spark.createDataFrame([(f"k{i}",) for i in range(50)], "key string")
-    a = snapdiff.ordinals(keys.limit(30), buckets=4)
-    b = {r.key: (r.bucket, r.ordinal) for r in snapdiff.ordinals(keys, a, 4).collect()}
-    assert len(set(b.values())) == 50 and all(b[r.key] == (r.bucket, r.ordinal) for r in a.collect())
+def test_ordinals_persist(spark, tmp_path):
+    keys = spark.createDataFrame([(i % 3, f"k{i}") for i in range(50)] + [(2, "k0"), (None, "k1"), (1, None)], "export_no int, key string")
+    grown = None
+    for e in (0, 1, 2):
+        new = snapdiff.ordinals(keys.where(F.col("export_no") == e), grown, 4)
+        before = {} if grown is None else {r.key: r.ordinal for r in grown.collect()}
+        snapdiff.store_dictionary(new, str(tmp_path))
+        grown = snapdiff.load_dictionary(spark, str(tmp_path))
+        after = {r.key: (r.bucket, r.ordinal) for r in grown.collect()}
+        assert all(after[k][1] == o for k, o in before.items()) and len({*after.values()}) == len(after)
+    assert after == {r.key: (r.bucket, r.ordinal) for r in snapdiff.ordinals(keys.where("export_no is not null"), None, 4).collect()}
+    assert snapdiff.load_dictionary(spark, str(tmp_path / "none")) is None
+
+
+def test_known_ordinals_change_nothing(spark):
+    """Against sets, with a dictionary that knows some keys and others that are gone."""
+    rng = random.Random(7)
+    rows = [(e, f"k{k}", rng.randrange(3), 0, 1) for e in (1, 2, 5) for k in range(60) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "export_no int, key string, d1 long, d2 long, n long")
+    at = {e: {k: d for x, k, d, *_ in rows if x == e} for e in (1, 2, 5)}
+    want = set()
+    for a, b in ((1, 2), (2, 5)):
+        want |= {(b, k, "added") for k in at[b].keys() - at[a].keys()} | {(b, k, "removed") for k in at[a].keys() - at[b].keys()} | {(b, k, "changed") for k in at[a].keys() & at[b].keys() if at[a][k] != at[b][k]}
+    known = snapdiff.ordinals(spark.createDataFrame([(f"k{k}",) for k in range(40, 90)], "key string"), None, 8)
+    for start in (None, known):
+        got, dictionary = snapdiff.diff(df, start, 8)
+        assert {tuple(r) for r in got.collect()} == want and dictionary.count() == len({r[1] for r in rows} | ({f"k{k}" for k in range(40, 90)} if start is not None else set()))
