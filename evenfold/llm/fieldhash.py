@@ -4,6 +4,8 @@ Each field of a line (between ``;`` or ``|``) is brought to its words and number
 and hashed with its name and value together; the hashes are added up, so their order plays no
 part. Lines are grouped by that fingerprint and compared field by field with
 the group's first line, as multisets, without sorting. Everything is JVM-side.
+Where the boundary between a field's name and its value matters, ``named`` hashes
+the pair with it; lines whose marks are all dress are hashed without.
 """
 
 from __future__ import annotations
@@ -18,11 +20,25 @@ WORD = r"[\p{L}\p{N}]+(?:(?<=\p{Nd})[^\p{L}\p{N}\p{IsWhite_Space}](?=\p{Nd})[\p{
 _MASK = (1 << 62) - 1
 
 
-def fields_of(text: Column) -> Column:
-    """The normalized fields of a line; a field without words is none. A line without separators is one field."""
+#: The same with the sign of a number that stands free.
+SIGNED = rf"(?:(?<![\p{{L}}\p{{N}}])[-−+](?=\p{{Nd}}))?{WORD}"
+#: What parts a field's name from its value: a colon or equals sign that doesn't stand between two digits.
+_NAMED = r"^(.*?)(?:(?<!\p{Nd})[:=]|[:=](?!\p{Nd}))(.*)$"
+_BOUNDARY = "\u001f"
+
+
+def _words(text: Column, word: str) -> Column:
+    return F.array_join(F.regexp_extract_all(text, F.lit(word), F.lit(0)), " ")
+
+
+def fields_of(text: Column, named: bool = False) -> Column:
+    """The normalized fields of a line; a field without words is none. A line without separators is one field. named keeps a field's name and its value
+    apart, and the signs of numbers: ``name: a b`` is not ``name a: b`` then, nor ``t: -5`` ``t: 5``. Otherwise marks other than those in numbers
+    don't count at all."""
     plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    words = F.transform(F.split(plain, "[;|]"), lambda f: F.array_join(F.regexp_extract_all(f, F.lit(WORD), F.lit(0)), " "))
-    return F.filter(words, lambda f: f != "")
+    pair = lambda f: F.when(f.rlike(_NAMED), F.concat(_words(F.regexp_extract(f, _NAMED, 1), WORD), F.lit(_BOUNDARY), _words(F.regexp_extract(f, _NAMED, 2), SIGNED))).otherwise(_words(f, SIGNED))
+    words = F.transform(F.split(plain, "[;|]"), pair if named else lambda f: _words(f, WORD))
+    return F.filter(words, lambda f: (f != "") & (f != _BOUNDARY))
 
 
 def multiset_hash(fields: Column, seed: int) -> Column:
@@ -36,36 +52,35 @@ def same_fields(a: Column, b: Column) -> Column:
     return (a == b) | ((F.size(a) == F.size(b)) & F.forall(a, lambda x: times(a, x) == times(b, x)))
 
 
-def _reading(columns: list[str]) -> Column:
-    """The reading as one string; a null is a value of its own."""
-    return F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")).alias(f"k{i}") for i, c in enumerate(columns))))
+def fingerprints(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text", named: bool = False) -> DataFrame:
+    """(line_id, r, f, a, b): each line with its reading, its fields and 128 bits of both. Lines without words and rows without id are left out; a null in
+    the reading is a value of its own. Written once, as bringing lines to their words is what costs here."""
+    r = F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(reading)))
+    rows = lines.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_id"), r.alias("r"), fields_of(F.col(text_col), named).alias("f"))
+    rows = rows.where(F.size("f") > 0)
+    key = F.struct(*(x for i in range(len(reading)) for x in (F.col(f"r.k{i}"), F.col(f"r.k{i}").isNull())))
+    return cut(rows.select("line_id", "r", "f", F.xxhash64(key, multiset_hash(F.col("f"), 11)).alias("a"), F.xxhash64(multiset_hash(F.col("f"), 23), key).alias("b")))
 
 
-def fingerprints(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text") -> DataFrame:
-    """(line_id, a, b): 128 bits of each line's reading and fields. Lines without words and rows without id are left out. Written once, as
-    bringing lines to their words is what costs here."""
-    rows = lines.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_id"), _reading(reading).alias("r"), fields_of(F.col(text_col)).alias("f"))
-    rows = rows.where(F.size("f") > 0)
-    return cut(rows.select("line_id", F.xxhash64("r", multiset_hash(F.col("f"), 11)).alias("a"), F.xxhash64(multiset_hash(F.col("f"), 23), "r").alias("b")))
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(first_line_id, line_id) of fingerprinted lines, verified. Classes are reduced to their first and last id before the shuffle, so one with a third
+    of all lines costs no more than others. Lines then meet their class' first line on the fingerprint, along with their fields, and are compared by
+    reading and fields; both joins have one partitioning."""
+    more = keyed.groupBy("a", "b").agg(F.min("line_id").alias("first_line_id"), F.max("line_id").alias("z")).where("first_line_id <> z").drop("z")
+    members = keyed.join(more, ["a", "b"])
+    firsts = members.where("line_id = first_line_id").select("a", "b", F.col("r").alias("r1"), F.col("f").alias("f1"))
+    pairs = members.where("line_id <> first_line_id").join(firsts, ["a", "b"]).where(F.col("r").eqNullSafe(F.col("r1")) & same_fields(F.col("f"), F.col("f1")))
+    return pairs.select("first_line_id", "line_id").distinct()
 
 
-def counts(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text") -> DataFrame:
-    """(first_line_id, n_copies): each distinct line of a reading once, with the number of its copies. A row that stands twice with one id
-    is one line."""
-    keyed = fingerprints(lines, reading, id_col, text_col)
-    return keyed.groupBy("a", "b").agg(F.min("line_id").alias("first_line_id"), F.count_distinct("line_id").alias("n_copies")).drop("a", "b")
+def copies(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text", named: bool = False) -> DataFrame:
+    """(first_line_id, line_id) of every line but the first of its class, each once: the lines of one reading with the same fields in any order. A row that
+    stands twice with one id is one line."""
+    return _copies(fingerprints(lines, reading, id_col, text_col, named))
 
 
-def copies(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text") -> DataFrame:
-    """(first_line_id, line_id) of every line but the first of its class. Group sizes don't matter: groups are reduced to their first
-    line by partial aggregation and joined back, so one with a third of all lines is spread like any other. Only lines with a partner
-    are looked at again, to compare reading and fields."""
-    keyed = fingerprints(lines, reading, id_col, text_col)
-    more = keyed.groupBy("a", "b").agg(F.min("line_id").alias("first_line_id"), F.max("line_id").alias("z")).where("first_line_id <> z").drop("z")
-    pairs = keyed.join(more, ["a", "b"]).where("line_id <> first_line_id").select("first_line_id", "line_id").distinct()
-    ids = pairs.select("line_id").unionByName(pairs.select(F.col("first_line_id").alias("line_id"))).distinct()
-    full = lines.select(F.col(id_col).alias("line_id"), _reading(reading).alias("r"), F.col(text_col).alias("t")).join(ids, "line_id", "left_semi")
-    full = full.select("line_id", "r", fields_of(F.col("t")).alias("f"))
-    first = full.select(F.col("line_id").alias("first_line_id"), F.col("r").alias("r1"), F.col("f").alias("f1"))
-    checked = pairs.join(full, "line_id").join(first, "first_line_id").where((F.col("r") == F.col("r1")) & same_fields(F.col("f"), F.col("f1")))
-    return checked.select("first_line_id", "line_id").distinct()
+def counts(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text", named: bool = False) -> DataFrame:
+    """(first_line_id, n_copies): each distinct line of a reading once, with the number of its copies, itself included. Counted over verified copies."""
+    keyed = fingerprints(lines, reading, id_col, text_col, named)
+    first = keyed.select("line_id").distinct().join(cut(_copies(keyed)), "line_id", "left").select(F.coalesce("first_line_id", "line_id").alias("first_line_id"))
+    return first.groupBy("first_line_id").agg(F.count(F.lit(1)).alias("n_copies"))

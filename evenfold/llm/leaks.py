@@ -8,6 +8,7 @@ longest match that ends there, and its state knows the items that hold it.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -112,9 +113,22 @@ class Automaton:
 _SPAN = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32())])
 
 
-def _scan(block: list[tuple[int, str]], min_words: int):
+_AUTOMATA: dict[tuple[str, int], Automaton] = {}
+
+
+def _automaton(bc, min_words: int) -> Automaton:
+    """The automaton of a broadcast block (key, items), built once per worker, which keeps the last two."""
+    key, block = bc.value
+    if (key, min_words) not in _AUTOMATA:
+        while len(_AUTOMATA) > 1:
+            _AUTOMATA.pop(next(iter(_AUTOMATA)))
+        _AUTOMATA[key, min_words] = Automaton(block, min_words)
+    return _AUTOMATA[key, min_words]
+
+
+def _scan(bc, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = Automaton(block, min_words)
+        auto = _automaton(bc, min_words)
         number = auto.vocabulary.get
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
@@ -154,7 +168,8 @@ def spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) ->
     rows = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     out = None
     for block in blocks_of(items):
-        part = rows.mapInArrow(_scan(block, min_words), "doc_id long, item_id long, start_word int, end_word int")
+        shipped = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))  # BLOCK_WORDS words at most
+        part = rows.mapInArrow(_scan(shipped, min_words), "doc_id long, item_id long, start_word int, end_word int")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -219,6 +219,22 @@ def test_copies(spark):
     assert fieldhash.copies(df.limit(0), ["group_id"]).count() == 0
 
 
+def test_names_and_values_stay_apart(spark):
+    """With named, the boundary between a field's name and its value and the signs of numbers count; without, as in the line tables, they are dress."""
+    rows = [(1, "name: a b"), (2, "name a: b"), (3, "NAME : A  B"), (4, "temp: -5; scale 1:5"), (5, "temp: 5; scale 1:5"), (6, "Scale 1:5 | temp=-5"), (7, "name a b"), (8, "t-5"), (9, ":"), (None, "name: a b")]
+    df = spark.createDataFrame([(i, None, x) for i, x in rows], "line_id long, g string, text string")
+    got = lambda **k: {(r.first_line_id, r.line_id) for r in fieldhash.copies(df, ["g"], **k).collect()}
+    assert got(named=True) == {(1, 3), (4, 6)} and got() == {(1, 2), (1, 3), (1, 7), (4, 5), (4, 6)}
+    assert {(r.first_line_id, r.n_copies) for r in fieldhash.counts(df, ["g"], named=True).collect()} == {(1, 2), (2, 1), (4, 2), (5, 1), (7, 1), (8, 1)}
+
+
+def test_counts_are_verified(spark, monkeypatch):
+    """Lines whose fingerprints collide are told apart by their fields."""
+    monkeypatch.setattr(fieldhash, "multiset_hash", lambda fields, seed: F.lit(0).cast("long"))
+    df = spark.createDataFrame([(1, "g", "a"), (2, "g", "b"), (3, "g", "A")], "line_id long, g string, text string")
+    assert {(r.first_line_id, r.n_copies) for r in fieldhash.counts(df, ["g"]).collect()} == {(1, 2), (2, 1)}
+
+
 # problem 8
 def brute_leaks(docs, items, k):
     grams = {(i, tuple(w[j : j + k])) for i, t in items if t is not None and i is not None for w in [leaks.words_of(t)] for j in range(len(w) - k + 1)}
