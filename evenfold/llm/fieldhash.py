@@ -52,35 +52,43 @@ def same_fields(a: Column, b: Column) -> Column:
     return (a == b) | ((F.size(a) == F.size(b)) & F.forall(a, lambda x: times(a, x) == times(b, x)))
 
 
-def fingerprints(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text", named: bool = False) -> DataFrame:
-    """(line_id, r, f, a, b): each line with its reading, its fields and 128 bits of both. Lines without words and rows without id are left out; a null in
-    the reading is a value of its own. Written once, as bringing lines to their words is what costs here."""
+def _fields(lines: DataFrame, reading: list[str], id_col: str, text_col: str, named: bool) -> DataFrame:
+    """(line_id, r, f): each line with its reading and its fields. Lines without words and rows without id are left out; a null in the reading
+    is a value of its own."""
     r = F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(reading)))
-    rows = lines.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_id"), r.alias("r"), fields_of(F.col(text_col), named).alias("f"))
-    rows = rows.where(F.size("f") > 0)
-    key = F.struct(*(x for i in range(len(reading)) for x in (F.col(f"r.k{i}"), F.col(f"r.k{i}").isNull())))
-    return cut(rows.select("line_id", "r", "f", F.xxhash64(key, multiset_hash(F.col("f"), 11)).alias("a"), F.xxhash64(multiset_hash(F.col("f"), 23), key).alias("b")))
+    rows = lines.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_id"), r.alias("r"), F.col(text_col).alias("t"))
+    return rows.select("line_id", "r", fields_of(F.col("t"), named).alias("f")).where(F.size("f") > 0)
 
 
-def _copies(keyed: DataFrame) -> DataFrame:
-    """(first_line_id, line_id) of fingerprinted lines, verified. Classes are reduced to their first and last id before the shuffle, so one with a third
-    of all lines costs no more than others. Lines then meet their class' first line on the fingerprint, along with their fields, and are compared by
-    reading and fields; both joins have one partitioning."""
-    more = keyed.groupBy("a", "b").agg(F.min("line_id").alias("first_line_id"), F.max("line_id").alias("z")).where("first_line_id <> z").drop("z")
-    members = keyed.join(more, ["a", "b"])
-    firsts = members.where("line_id = first_line_id").select("a", "b", F.col("r").alias("r1"), F.col("f").alias("f1"))
-    pairs = members.where("line_id <> first_line_id").join(firsts, ["a", "b"]).where(F.col("r").eqNullSafe(F.col("r1")) & same_fields(F.col("f"), F.col("f1")))
-    return pairs.select("first_line_id", "line_id").distinct()
+def fingerprints(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text", named: bool = False) -> DataFrame:
+    """(line_id, a, b): each line with 128 bits of its reading and fields. Written once, as bringing lines to their words is what costs here."""
+    rows = _fields(lines, reading, id_col, text_col, named)
+    key = F.struct(*(x for i in range(len(reading)) for x in (F.col(f"r.k{i}"), F.col(f"r.k{i}").isNull())))
+    return cut(rows.select("line_id", F.xxhash64(key, multiset_hash(F.col("f"), 11)).alias("a"), F.xxhash64(multiset_hash(F.col("f"), 23), key).alias("b")))
 
 
 def copies(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text", named: bool = False) -> DataFrame:
     """(first_line_id, line_id) of every line but the first of its class, each once: the lines of one reading with the same fields in any order. A row that
-    stands twice with one id is one line."""
-    return _copies(fingerprints(lines, reading, id_col, text_col, named))
+    stands twice with one id is one line. Classes are reduced to their first and last id before the shuffle, so one with a third of all
+    lines costs no more than others. Only lines with a partner are brought to their fields again, to be compared with their first line."""
+    keyed = fingerprints(lines, reading, id_col, text_col, named)
+    return _verified(keyed, lines, reading, id_col, text_col, named)
+
+
+def _verified(keyed: DataFrame, lines: DataFrame, reading: list[str], id_col: str, text_col: str, named: bool) -> DataFrame:
+    more = keyed.groupBy("a", "b").agg(F.min("line_id").alias("first_line_id"), F.max("line_id").alias("z")).where("first_line_id <> z").drop("z")
+    members = cut(keyed.join(more, ["a", "b"]).select("line_id", "first_line_id").distinct())
+    named_as = [f"k{i}" for i in range(len(reading))]  # the line's own columns may be called anything
+    raw = lines.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_id"), F.col(text_col).alias("t"), *(F.col(c).cast("string").alias(k) for c, k in zip(reading, named_as, strict=True)))
+    own = raw.join(members, "line_id")
+    full = cut(own.select("line_id", "first_line_id", F.struct(*named_as).alias("r"), fields_of(F.col("t"), named).alias("f")))
+    firsts = full.where("line_id = first_line_id").select("first_line_id", F.col("r").alias("r1"), F.col("f").alias("f1"))
+    pairs = full.where("line_id <> first_line_id").join(firsts, "first_line_id").where(F.col("r").eqNullSafe(F.col("r1")) & same_fields(F.col("f"), F.col("f1")))
+    return pairs.select("first_line_id", "line_id").distinct()
 
 
 def counts(lines: DataFrame, reading: list[str], id_col: str = "line_id", text_col: str = "text", named: bool = False) -> DataFrame:
     """(first_line_id, n_copies): each distinct line of a reading once, with the number of its copies, itself included. Counted over verified copies."""
     keyed = fingerprints(lines, reading, id_col, text_col, named)
-    first = keyed.select("line_id").distinct().join(cut(_copies(keyed)), "line_id", "left").select(F.coalesce("first_line_id", "line_id").alias("first_line_id"))
+    first = keyed.select("line_id").distinct().join(_verified(keyed, lines, reading, id_col, text_col, named), "line_id", "left").select(F.coalesce("first_line_id", "line_id").alias("first_line_id"))
     return first.groupBy("first_line_id").agg(F.count(F.lit(1)).alias("n_copies"))
