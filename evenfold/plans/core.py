@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evenfold.functions import scoring, similarity, text
 from evenfold.functions.ids import NAMESPACE_OID, NAMESPACE_URL, plain_uuid, uuid5
 from evenfold.operators import image, messages, plurality, replay, roi, snapshots, weighted
-from evenfold.plans import pipeline
+from evenfold.plans import folds, pipeline
 from evenfold.schema import PROFILES
 from evenfold.session import table
 from evenfold.sources import store
@@ -88,7 +88,9 @@ def reduce_strict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def positions_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    return weighted.positions(_lines(spark, d))
+    """Clusters and scores of every position, the clusters as one string of texts with their votes."""
+    members = F.array_join(F.transform("clusters", lambda c: F.concat(c["text"], F.lit("#"), c["count"].cast("string"))), " ; ")
+    return weighted.positions(_lines(spark, d)).withColumn("clusters", members)
 
 
 def _runners(spark: SparkSession, d: str) -> DataFrame:
@@ -234,8 +236,13 @@ def _plurality(spark: SparkSession, d: str) -> DataFrame:
     return plurality.fold(lines, [F.col("variant"), F.col("line_id")])
 
 
+def _members(folded: DataFrame) -> DataFrame:
+    """Positions with their clusters as one string."""
+    return folded.withColumn("groups", F.array_join(F.transform("groups", lambda g: F.array_join(g, "|")), " ; "))
+
+
 def plurality_positions(spark: SparkSession, d: str) -> DataFrame:
-    return _plurality(spark, d)
+    return _members(_plurality(spark, d))
 
 
 def plurality_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -299,7 +306,7 @@ def replay_genesis(spark: SparkSession, d: str) -> DataFrame:
 
 
 def replay_positions(spark: SparkSession, d: str) -> DataFrame:
-    return replay.replay(_events(spark, d), "group_id")[0]
+    return _members(replay.replay(_events(spark, d), "group_id")[0])
 
 
 #: 2026-02-15 00:00 UTC
@@ -309,7 +316,7 @@ CUT = 1771113600
 def replay_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     events = _events(spark, d)
     head, _ = replay.replay(events.where(F.col("timestamp") <= CUT), "group_id")
-    return replay.replay(events.where(F.col("timestamp") > CUT), "group_id", head.select("group_id", "page", "line_index", "groups"))[0]
+    return _members(replay.replay(events.where(F.col("timestamp") > CUT), "group_id", head.select("group_id", "page", "line_index", "groups"))[0])
 
 
 def replay_equivalence(spark: SparkSession, d: str) -> DataFrame:
@@ -404,21 +411,43 @@ def _fold(shared: bool) -> str:
             cast(votes as int) as votes, cast(votes - n_clusters as int) as collisions, cast(n_clusters as int) as n_clusters, w1, w2 from b)"""
 
 
-def _documents(shared: bool) -> str:
-    return f"""{_fold(shared)},
+def _documents(shared: bool, fold: str = "") -> str:
+    return f"""{fold or _fold(shared)},
         h as (select group_id, min(src) as source, cast(count(distinct (src, coalesce(variant, ''))) as int) as iterations from (select group_id, variant, {"coalesce(source, '')" if shared else "coalesce(source, '') || '#' || coalesce(variant, '')"} as src from ocr_lines) group by all),
         q as (select group_id, count(*) as n_positions, count(distinct page) as n_pages, cast(sum(votes) as bigint) as total_votes, cast(sum(convergence_bps) // count(*) as int) as convergence_bps, cast(sum(ambiguity_bps) // count(*) as int) as ambiguity_bps,
-            cast(sum(collisions) * 10000 // sum(votes) as int) as collision_rate_bps from p group by all),
+            cast(sum(collisions) * 10000 // sum(votes) as int) as collision_rate_bps, {"cast(sum(negation_conflicts) as bigint) as g1, cast(sum(numeric_conflicts) as bigint) as g2" if fold else "cast(0 as bigint) as g1, cast(0 as bigint) as g2"} from p group by all),
         d as (select group_id, {_uuid5(NAMESPACE_URL, 'source')} as document_id, source, iterations, n_pages, n_positions, total_votes, convergence_bps, ambiguity_bps, collision_rate_bps,
-            cast(0 as bigint) as negation_conflicts, cast(0 as bigint) as numeric_conflicts, cast(0 as bigint) as semantic_conflict_count,
+            g1 as negation_conflicts, g2 as numeric_conflicts, g1 + g2 as semantic_conflict_count,
             case when ambiguity_bps <= 1000 and convergence_bps >= 9000 then 'Converged' when convergence_bps >= 5000 then 'Ambiguous' else 'Failed' end as status from q join h using (group_id))"""
 
 
+def _votes(distinct: bool) -> str:
+    """One vote per position, key and source of the lines as they are."""
+    source = "coalesce(source, '') || '#' || coalesce(variant, '')" if distinct else "coalesce(source, '')"
+    return f"""select group_id, page, line, k, vt, w from (select group_id, page, line, lower(vt) as k, vt, w, row_number() over (partition by group_id, page, line, lower(vt), src order by vt, w desc) as rn
+            from (select group_id, page, line, {_VARIANT} as vt, {_WEIGHT} as w, {source} as src from ocr_lines where text is not null) where vt <> '') where rn = 1"""
+
+
+def _bare_words(t: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}' || substr('{_WS}', 2, length('{_WS}') - 2) || ']', '', 'g'), '{_WS}+', ' ', 'g'))"
+
+
+_COUNTED = folds.counted(f"""select group_id, page, line - 1 as line_index, t, row_number() over (partition by group_id, page, line order by variant nulls first, line_id nulls first, t) as i
+            from (select *, {_bare_words('text')} as t from ocr_lines where text is not null and group_id is not null and page is not null and line is not null) where t <> ''""")
+_EVENTS = f"""
+        ev as (select {_plain('document_id')} as group_id, id, timestamp, try_cast(source as json) as s, try_cast(payload as json) as pa from ocr_events where document_id is not null),
+        el as (select group_id, id, timestamp, coalesce(try_cast(s->>'$.OcrVariant.page' as int), 0) as page, coalesce(try_cast(s->>'$.OcrVariant.line_index' as int), 0) as line_index, coalesce(pa->>'$.OcrLine.text', '') as text,
+            coalesce(json_type(s->'$.OcrVariant') = 'OBJECT', false) and coalesce(json_type(pa->'$.OcrLine') = 'OBJECT', false) as applied from ev)"""
+_REPLAYED = _EVENTS + "," + folds.counted(f"""select group_id, page, line_index, t, row_number() over (partition by group_id, page, line_index order by timestamp nulls first, id nulls first, t) as i
+            from (select *, {_bare_words('text')} as t from el where applied) where t <> ''""")
 _FIELDS = "f as (select group_id, page, cast(row_number() over (partition by group_id, page order by line) as int) as n, cast(dense_rank() over (partition by group_id order by page) as int) as po, winner as text from p)"
 _DIFFERS = "regexp_replace(lower({a}), '[0-9]', '', 'g') = regexp_replace(lower({b}), '[0-9]', '', 'g') and string_split_regex(lower({a}), '[^0-9]') <> string_split_regex(lower({b}), '[^0-9]')"
 _PAIRS = f"""
         k as (select distinct group_id, page, line, variant, lower({_VARIANT}) as k from ocr_lines where text is not null),
         x as (select distinct a.k as a, b.k as b from k a join k b using (group_id, page, line) where a.variant = 'original' and b.variant = 'high_contrast' and a.k <> b.k and a.k <> '' and b.k <> '')"""
+_PAIRS_ALL = f"""
+        k as (select distinct group_id, page, line, lower({_VARIANT}) as k from ocr_lines where text is not null),
+        x as (select distinct a.k as a, b.k as b from k a join k b using (group_id, page, line) where a.k < b.k and a.k <> '')"""
 _ROIS = f"""{_fold(False)},
         e as (select group_id, page, line, t, lead(t) over (partition by group_id, page, line order by rank) as u from r),
         z as (select distinct group_id, page, line, 'NumericConflict' as reason from e where {_DIFFERS.format(a='t', b='u')}),
@@ -447,17 +476,36 @@ ORACLE = {
         with v as (select group_id, page, line, lower({_VARIANT}) as key, {_VARIANT} as variant, {_WEIGHT} as weight, coalesce(source, '') as source from ocr_lines where text is not null),
         o as (select *, row_number() over (partition by group_id, page, line, key, source order by variant, weight desc) as rn from v where variant <> '')
         select group_id, page, line, key, source, variant, weight from o where rn = 1""",
+    "positions_fuzzy": f"with recursive {folds.weighted(_votes(False), 0.9)} select group_id, page, line, winner, convergence_bps, ambiguity_bps, votes, collisions, negation_conflicts, numeric_conflicts, array_to_string(list_transform(cs, lambda c: c.t || '#' || c.n), ' ; ') as clusters from p",
+    "reduce_documents": f"""
+        with recursive {_documents(False, folds.weighted(_votes(True), 0.9))},
+        wt as (select group_id, string_agg(winner, chr(10) order by page, line, winner) as winner_text from p group by 1) select * from d join wt using (group_id)""",
+    "reduce_strict": f"with recursive {_documents(False, folds.weighted(_votes(True), 0.95))} select * from d",
+    "plurality_positions": f"with recursive {_COUNTED} select group_id, page, line_index, winner, largest, total, {folds.MEMBERS} as groups from pl",
+    "plurality_metrics": f"with recursive {_COUNTED} select group_id, convergence_bps, 10000 - convergence_bps as ambiguity_bps from pm",
+    "plurality_pages": f"""
+        with recursive {_COUNTED}
+        select group_id, cast(dense_rank() over (partition by group_id order by page) as int) as page_no, cast(row_number() over (partition by group_id, page order by line_index) as int) as line_no, winner as text from pl""",
+    "roi_clusters": f"""
+        with recursive {_COUNTED}, nb as (select group_id, page, line_index, g[j] as a, g[j + 1] as b from (select group_id, page, line_index, unnest(gs) as g from pl), unnest(range(1, len(g))) as u(j))
+        select distinct group_id, page, line_index + 1 as line, 'NumericConflict' as reason from nb where {_DIFFERS.format(a='a', b='b')}""",
+    "replay_positions": f"with recursive {_REPLAYED} select group_id, page, line_index, winner, largest, total, {folds.MEMBERS} as groups from pl",
+    "replay_checkpoint": f"with recursive {_REPLAYED} select group_id, page, line_index, winner, largest, total, {folds.MEMBERS} as groups from pl",
+    "replay_genesis": f"""
+        with recursive {_REPLAYED}, hd as (select group_id, count(*) filter (applied) as applied_events, count(*) filter (not applied) as skipped_events, 'event://' || arg_min(id, (timestamp, id)) filter (applied) as source from el group by 1)
+        select group_id, applied_events, skipped_events, source, applied_events as iterations, coalesce(convergence_bps, 0) as convergence_bps, 10000 - coalesce(convergence_bps, 0) as ambiguity_bps from hd left join pm using (group_id)""",
+    "jw_pairs_all": f"with {_PAIRS_ALL} select a, b, round({folds.similarity('a', 'b')}, 6) as similarity from x",
     "reduce_exact": f"with {_documents(False)} select * from d",
     "reduce_exact_shared": f"with {_documents(True)} select * from d",
     "positions_exact": f"with {_fold(False)} select group_id, page, line, winner, convergence_bps, ambiguity_bps, votes, collisions, n_clusters from p",
     "alternatives": f"with {_fold(False)} select group_id, page, line, cast(rank as int) as rank, t as text, w as total_weight, cast(n as int) as n from r",
     "winner_runner_up": f"with {_fold(False)} select a.group_id, a.page, a.line, a.t as winner, b.t as runner_up, a.w - b.w as lead from r a join r b using (group_id, page, line) where a.rank = 1 and b.rank = 2",
     "jw_pairs": f"with {_PAIRS} select a, b, round(jaro_winkler_similarity(a, b), 6) as similarity from x where regexp_full_match(a, '[\\x00-\\x7F]*') and regexp_full_match(b, '[\\x00-\\x7F]*')",
-    "semantic_veto_pairs": rf"""
-        with {_PAIRS},
+    **{name: rf"""
+        with {pairs},
         n as (select *, regexp_extract_all(a, '[0-9.]*[0-9][0-9.]*') as na, regexp_extract_all(b, '[0-9.]*[0-9][0-9.]*') as nb, list_contains(string_split(a, ' '), 'non') as ga, list_contains(string_split(b, ' '), 'non') as gb from x)
         select a, b, case when ga <> gb then 'negation' when len(na) > 0 and len(nb) > 0 and na <> nb then 'numeric' end as veto, regexp_matches(a, '[\x{{0400}}-\x{{04FF}}]') = regexp_matches(b, '[\x{{0400}}-\x{{04FF}}]') as same_script,
-            {_DIFFERS.format(a='a', b='b')} as differs_in_numbers from n""",
+            {_DIFFERS.format(a='a', b='b')} as differs_in_numbers from n""" for name, pairs in (("semantic_veto_pairs", _PAIRS), ("semantic_veto_pairs_all", _PAIRS_ALL))},
     "key_traits": rf"""
         with k as (select line_id, lower({_VARIANT}) as k from ocr_lines where text is not null)
         select line_id, array_to_string(regexp_extract_all(k, '[0-9.]*[0-9][0-9.]*'), ' ') as numbers, list_contains(string_split(k, ' '), 'non') as negated, regexp_matches(k, '[\x{{0400}}-\x{{04FF}}]') as cyrillic from k""",
