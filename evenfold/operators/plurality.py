@@ -28,14 +28,14 @@ def best_of(members: list[str]) -> str:
 class Groups:
     """Clusters of one position: [sorted different members, counts, size, best member], largest first."""
 
-    def __init__(self, start: list[list[str]] | None = None):
+    def __init__(self, start: list[list[tuple[str, int]]] | None = None):
         self.clusters: list[list] = []
         for members in start or []:
             counts: dict[str, int] = {}
-            for m in members:
-                counts[m] = counts.get(m, 0) + 1
+            for text, n in members:
+                counts[text] = counts.get(text, 0) + n
             if counts:
-                self.clusters.append([sorted(counts), counts, len(members), best_of(list(counts))])
+                self.clusters.append([sorted(counts), counts, sum(counts.values()), best_of(list(counts))])
         self._order()
 
     def _order(self) -> None:
@@ -56,8 +56,9 @@ class Groups:
             self.clusters.append([[candidate], {candidate: 1}, 1, candidate])
         self._order()
 
-    def members(self) -> list[list[str]]:
-        return [[m for m in c[0] for _ in range(c[1][m])] for c in self.clusters]
+    def members(self) -> list[list[tuple[str, int]]]:
+        """The clusters' different texts in order, with their counts."""
+        return [[(m, c[1][m]) for m in c[0]] for c in self.clusters]
 
     def winner(self) -> str:
         """Of the largest clusters the one with the longest best member, then the smallest."""
@@ -65,43 +66,68 @@ class Groups:
         return best[3] if best else ""
 
 
-_OUT = "group_id string, page int, line_index int, winner string, largest int, total int, groups array<array<string>>"
-_OUT_PA = pa.schema([("group_id", pa.string()), ("page", pa.int32()), ("line_index", pa.int32()), ("winner", pa.string()), ("largest", pa.int32()), ("total", pa.int32()), ("groups", pa.list_(pa.list_(pa.string())))])
+#: Clusters as texts with counts; spelled out vote by vote only where a stored form wants it.
+GROUPS = "array<array<struct<text: string, count: int>>>"
+_OUT = f"group_id string, page int, line_index int, winner string, largest int, total int, groups {GROUPS}, at_cut boolean"
+_OUT_PA = pa.schema([
+    ("group_id", pa.string()), ("page", pa.int32()), ("line_index", pa.int32()), ("winner", pa.string()), ("largest", pa.int32()), ("total", pa.int32()),
+    ("groups", pa.list_(pa.list_(pa.struct([("text", pa.string()), ("count", pa.int32())])))), ("at_cut", pa.bool_()),
+])
 
 
-def _row(key: tuple, g: Groups) -> tuple:
-    return (*key, g.winner(), max((c[2] for c in g.clusters), default=0), sum(c[2] for c in g.clusters), g.members())
+def _row(key: tuple, g: Groups, at_cut: bool) -> tuple:
+    groups = [[{"text": t, "count": n} for t, n in c] for c in g.members()]
+    return (*key, g.winner(), max((c[2] for c in g.clusters), default=0), sum(c[2] for c in g.clusters), groups, at_cut)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, g, done = None, Groups(), []
+    """Rows (group_id, page, line_index, t, g, late) in order. Where late isn't null, the state before a position's first late row is given too."""
+    key, g, done, before = None, Groups(), [], False
+
+    def close() -> None:
+        if key is not None:
+            if before:
+                done.append(_row(key, g, True))
+            done.append(_row(key, g, False))
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], f.type) for i, f in enumerate(_OUT_PA)], schema=_OUT_PA)
+
     for batch in batches:
-        for group, page, line, value, start in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for group, page, line, value, start, late in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             if (group, page, line) != key:
-                if key is not None:
-                    done.append(_row(key, g))
-                key, g = (group, page, line), Groups(start)
+                close()
+                key, before = (group, page, line), late is not None and not late
+                g = Groups([[(m["text"], m["count"]) for m in c] for c in start] if start else None)
+            if late and before:
+                done.append(_row(key, g, True))
+                before = False
             if value:
                 g.insert(value)
         if len(done) > 5000:
-            yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], f.type) for i, f in enumerate(_OUT_PA)], schema=_OUT_PA)
+            yield flush()
             done = []
-    if key is not None:
-        done.append(_row(key, g))
-    yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], f.type) for i, f in enumerate(_OUT_PA)], schema=_OUT_PA)
+    close()
+    yield flush()
 
 
-def fold(lines: DataFrame, order: list[Column], seed: DataFrame | None = None) -> DataFrame:
-    """(group_id, page, line_index, winner, largest, total, groups) of lines (group_id, page, line_index, text), taken up by order; ties by
-    the text. Texts that normalize to nothing don't vote. seed: groups (group_id, page, line_index, groups) to go on from."""
+def fold(lines: DataFrame, order: list[Column], seed: DataFrame | None = None, late: Column | None = None) -> DataFrame:
+    """(group_id, page, line_index, winner, largest, total, groups, at_cut) of lines (group_id, page, line_index, text), taken up by order; ties by
+    the text. Texts that normalize to nothing don't vote. seed: groups (group_id, page, line_index, groups) to go on from. late: whether a line comes
+    after a cut (lines before it come first in order); positions with earlier lines then have a second row, at_cut, with their state there."""
     rows = lines.where("group_id is not null and page is not null and line_index is not null and text is not null")
-    rows = rows.select("group_id", "page", "line_index", text.plain(F.col("text")).alias("t"), F.struct(*order).alias("o"), F.lit(None).cast("array<array<string>>").alias("g")).where("t <> ''")
+    rows = rows.select("group_id", "page", "line_index", text.plain(F.col("text")).alias("t"), F.struct(*order).alias("o"), F.lit(None).cast(GROUPS).alias("g"), (F.lit(None).cast("boolean") if late is None else late).alias("late")).where("t <> ''")
     rows = rows.withColumn("rank", F.lit(1))
     if seed is not None:
-        first = seed.select("group_id", "page", "line_index", F.lit("").alias("t"), F.lit(None).cast(rows.schema["o"].dataType).alias("o"), F.col("groups").alias("g"), F.lit(0).alias("rank"))
+        first = seed.select("group_id", "page", "line_index", F.lit("").alias("t"), F.lit(None).cast(rows.schema["o"].dataType).alias("o"), F.col("groups").alias("g"), F.lit(None).cast("boolean").alias("late"), F.lit(0).alias("rank"))
         rows = rows.unionByName(first)
     spread = rows.repartition("group_id", "page", "line_index").sortWithinPartitions("group_id", "page", "line_index", "rank", "o", "t")
-    return spread.select("group_id", "page", "line_index", "t", "g").mapInArrow(_stream, _OUT)
+    return spread.select("group_id", "page", "line_index", "t", "g", "late").mapInArrow(_stream, _OUT)
+
+
+def spelled(groups: Column) -> Column:
+    """Clusters with every member as often as it was read: array<array<string>>."""
+    return F.transform(groups, lambda c: F.flatten(F.transform(c, lambda m: F.array_repeat(m["text"], m["count"]))))
 
 
 def metrics(folded: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evenfold.functions.ids import NAMESPACE_OID, uuid5
 from evenfold.operators import plurality
+from evenfold.session import cut
 
 _SOURCE = "struct<OcrVariant: struct<variant: string, page: int, line_index: int>>"
 _PAYLOAD = "struct<OcrLine: struct<text: string, confidence: float>>"
@@ -55,28 +56,50 @@ def counters(lines: DataFrame) -> DataFrame:
     return lines.groupBy("group_id").agg(F.count_if("applied").alias("applied_events"), F.count_if(~F.col("applied")).alias("skipped_events"), F.concat(F.lit("event://"), first).alias("source"))
 
 
-def replay(events: DataFrame, key: str, checkpoint: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(positions, documents). checkpoint: positions (group_id, page, line_index, groups) and nothing else; iterations then count the tail alone."""
+def replay(events: DataFrame, key: str, checkpoint: DataFrame | None = None, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(positions, documents). checkpoint: positions (group_id, page, line_index, groups) to go on from, and heads: its documents
+    (group_id, source, iterations). A document keeps its checkpoint's source, and its iterations go on from there; without one, its first applied
+    event is its source. Documents of the checkpoint without later events are there as well."""
     lines = lines_of(events, key)
-    folded = plurality.fold(lines.where("applied"), [F.col("timestamp"), F.col("id")], checkpoint)
-    heads = counters(lines).withColumn("iterations", F.col("applied_events"))
-    documents = heads.join(plurality.metrics(folded), "group_id", "left")
-    return folded, documents.withColumns({"convergence_bps": F.coalesce("convergence_bps", F.lit(0)), "ambiguity_bps": F.coalesce("ambiguity_bps", F.lit(10_000))})
+    folded = plurality.fold(lines.where("applied"), [F.col("timestamp"), F.col("id")], checkpoint).drop("at_cut")
+    return folded, _documents(counters(lines), folded, heads)
+
+
+def _documents(counted: DataFrame, folded: DataFrame, heads: DataFrame | None) -> DataFrame:
+    if heads is None:
+        found = counted.withColumn("iterations", F.col("applied_events"))
+    else:
+        old = heads.select("group_id", F.col("source").alias("_s"), F.col("iterations").cast("long").alias("_i"))
+        zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+        found = counted.join(old, "group_id", "full").select("group_id", zero("applied_events").alias("applied_events"), zero("skipped_events").alias("skipped_events"), F.coalesce("_s", "source").alias("source"), (zero("_i") + zero("applied_events")).alias("iterations"))
+    documents = found.join(plurality.metrics(folded), "group_id", "left")
+    return documents.withColumns({"convergence_bps": F.coalesce("convergence_bps", F.lit(0)), "ambiguity_bps": F.coalesce("ambiguity_bps", F.lit(10_000))})
 
 
 def after(events: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Events later than the whole second of their document's snapshot (group_id, created_at); those of documents without one are all kept.
     Both meet by document."""
-    cut = snapshots.groupBy("group_id").agg(F.greatest(F.lit(0), F.unix_seconds(F.max("created_at").cast("timestamp"))).alias("_cut"))
-    return events.join(cut, "group_id", "left").where("_cut is null or timestamp > _cut").drop("_cut")
+    last = snapshots.groupBy("group_id").agg(F.greatest(F.lit(0), F.unix_seconds(F.max("created_at").cast("timestamp"))).alias("_cut"))
+    return events.join(last, "group_id", "left").where("_cut is null or timestamp > _cut").drop("_cut")
 
 
 def equivalent(events: DataFrame, key: str, cut_at: int) -> DataFrame:
-    """(group_id, equivalent): whether a replay up to time cut_at and one of the rest from there gives what one replay gives. Every document
-    with events is there."""
-    whole, _ = replay(events, key)
-    head, _ = replay(events.where(F.col("timestamp") <= cut_at), key)
-    both, _ = replay(events.where(F.col("timestamp") > cut_at), key, head.select("group_id", "page", "line_index", "groups"))
-    on = ["group_id", "page", "line_index"]
-    pair = whole.select(*on, F.col("groups").alias("a")).join(both.select(*on, F.col("groups").alias("b")), on, "full")
-    return pair.groupBy("group_id").agg(F.every(F.col("a").eqNullSafe(F.col("b"))).alias("equivalent"))
+    """(group_id, source, iterations, convergence_bps, ambiguity_bps, equivalent): whether a replay up to time cut_at and one of the rest from there gives
+    what one replay gives: the same source, iterations and scores, and the same clusters at every position. Every document with events is there. The
+    replay of all events also gives the state at the cut, so each event is taken up once before the cut and twice after it. A cut later than
+    the last event is an error."""
+    last = events.where(F.col(key).isNotNull()).agg(F.max("timestamp")).first()[0]
+    if last is not None and cut_at > last:
+        raise ValueError(f"the cut {cut_at} lies beyond the last event at {last}")
+    lines = lines_of(events, key)
+    late = F.col("timestamp") > cut_at
+    both = cut(plurality.fold(lines.where("applied"), [F.col("timestamp"), F.col("id")], late=F.coalesce(late, F.lit(False))))
+    whole, head = both.where("not at_cut").drop("at_cut"), both.where("at_cut").drop("at_cut")
+    first = events.where(~F.coalesce(late, F.lit(False)))
+    resumed, documents = replay(events.where(late), key, head.select("group_id", "page", "line_index", "groups"), _documents(counters(lines_of(first, key)), head, None))
+    at, scores = ["group_id", "page", "line_index"], ["source", "iterations", "convergence_bps", "ambiguity_bps"]
+    pair = whole.select(*at, F.col("groups").alias("a")).join(resumed.select(*at, F.col("groups").alias("b")), at, "full")
+    same = pair.groupBy("group_id").agg(F.every(F.col("a").eqNullSafe(F.col("b"))).alias("clusters"))
+    own = _documents(counters(lines), whole, None).select("group_id", F.struct(*scores).alias("x"))
+    got = own.join(documents.select("group_id", F.struct(*scores).alias("y")), "group_id", "left").join(same, "group_id", "left")
+    return got.select("group_id", "x.*", (F.col("x").eqNullSafe(F.col("y")) & F.coalesce("clusters", F.lit(True))).alias("equivalent"))

@@ -36,9 +36,9 @@ def variant_for(hint_: Column) -> Column:
 
 
 def numeric_conflicts(groups: DataFrame, line_from: int = 1) -> DataFrame:
-    """(group_id, page, line, reason) of positions (group_id, page, line_index from 0, groups array<array<string>>) where two neighbours in a cluster
-    differ in their digits alone; each position once."""
-    hit = F.exists("groups", lambda c: F.exists(F.sequence(F.lit(1), F.size(c) - 1), lambda i: (F.size(c) > 1) & differs_in_numbers(F.get(c, i - 1), F.get(c, i))))
+    """(group_id, page, line, reason) of positions (group_id, page, line_index from 0, groups) where two neighbours in a cluster, its texts in
+    order, differ in their digits alone; each position once. Equal members are no neighbours of note, so counts play no part."""
+    hit = F.exists(F.transform("groups", lambda c: F.transform(c, lambda m: m["text"])), lambda c: F.exists(F.sequence(F.lit(1), F.size(c) - 1), lambda i: (F.size(c) > 1) & differs_in_numbers(F.get(c, i - 1), F.get(c, i))))
     # a cluster of one gives the sequence 1, 0 and no second member; a null comparison is no conflict
     rows = groups.where(F.coalesce(hit, F.lit(False)))
     return rows.select("group_id", "page", (F.col("line_index") + line_from).alias("line"), F.lit("NumericConflict").alias("reason")).distinct()

@@ -47,6 +47,10 @@ def _traits(key: str) -> tuple[bool, bool, tuple[str, ...]]:
     return bool(re.search("[Ѐ-ӿ]", key)), "non" in key.split(), tuple(re.findall(r"[0-9.]*[0-9][0-9.]*", key))
 
 
+#: Equal votes of one position, and the same key on many, ask again.
+_alike = lru_cache(maxsize=100_000)(jaro_winkler)
+
+
 def _bps(part: np.float32, total: np.float32) -> int:
     if total <= 0:
         return 0
@@ -82,7 +86,7 @@ class Position:
         self.total += 1
         best, like, vetoed = None, -1.0, ""
         for c in self.clusters:
-            sim = jaro_winkler(c.key, key)
+            sim = _alike(c.key, key)
             if sim < self.threshold:
                 continue
             (cyr, neg, num), (cyr2, neg2, num2) = _traits(c.key), _traits(key)

@@ -238,7 +238,7 @@ def _plurality(spark: SparkSession, d: str) -> DataFrame:
 
 def _members(folded: DataFrame) -> DataFrame:
     """Positions with their clusters as one string."""
-    return folded.withColumn("groups", F.array_join(F.transform("groups", lambda g: F.array_join(g, "|")), " ; "))
+    return folded.drop("at_cut").withColumn("groups", F.array_join(F.transform(plurality.spelled(F.col("groups")), lambda g: F.array_join(g, "|")), " ; "))
 
 
 def plurality_positions(spark: SparkSession, d: str) -> DataFrame:
@@ -494,6 +494,9 @@ ORACLE = {
     "replay_genesis": f"""
         with recursive {_REPLAYED}, hd as (select group_id, count(*) filter (applied) as applied_events, count(*) filter (not applied) as skipped_events, 'event://' || arg_min(id, (timestamp, id)) filter (applied) as source from el group by 1)
         select group_id, applied_events, skipped_events, source, applied_events as iterations, coalesce(convergence_bps, 0) as convergence_bps, 10000 - coalesce(convergence_bps, 0) as ambiguity_bps from hd left join pm using (group_id)""",
+    "replay_equivalence": f"""
+        with recursive {_REPLAYED}, hd as (select group_id, count(*) filter (applied) as iterations, 'event://' || arg_min(id, (timestamp, id)) filter (applied) as source from el group by 1)
+        select group_id, source, iterations, coalesce(convergence_bps, 0) as convergence_bps, 10000 - coalesce(convergence_bps, 0) as ambiguity_bps, true as equivalent from hd left join pm using (group_id)""",
     "jw_pairs_all": f"with {_PAIRS_ALL} select a, b, round({folds.similarity('a', 'b')}, 6) as similarity from x",
     "reduce_exact": f"with {_documents(False)} select * from d",
     "reduce_exact_shared": f"with {_documents(True)} select * from d",

@@ -43,11 +43,11 @@ def process(readings: DataFrame, created_at: Column, profile: Profile = DEFAULT,
     if roi_from == "alternatives":
         rois = roi.numeric_alternatives(positions)
     else:
-        groups = F.transform("clusters", lambda c: F.array_repeat(c["text"], c["count"]))
+        groups = F.transform("clusters", lambda c: F.array(F.struct(c["text"].alias("text"), c["count"].alias("count"))))
         rois = roi.numeric_conflicts(positions.select("group_id", "page", (F.col("line") - 1).alias("line_index"), groups.alias("groups")))
     regions = roi.merge(rois, padding)
     again = roi.refine(regions, normal.withColumn("variant", F.col("kind")))
-    seed = positions.select("group_id", "page", (F.col("line") - 1).alias("line_index"), F.transform("clusters", lambda c: F.array_repeat(c["text"], c["count"])).alias("groups"))
+    seed = positions.select("group_id", "page", (F.col("line") - 1).alias("line_index"), F.transform("clusters", lambda c: F.array(F.struct(c["text"].alias("text"), c["count"].alias("count")))).alias("groups"))
     refined = plurality.fold(again.select("group_id", "page", (F.col("line") - 1).alias("line_index"), "text"), [F.col("text")], seed)
     heads = snapshots.snapshots(documents, positions, uuid5(NAMESPACE_URL, F.concat(F.lit("snapshot#"), F.col("group_id"))), created_at)
     found = snapshots.observations(documents, uuid5(NAMESPACE_URL, F.concat(F.lit("finding#"), F.col("group_id"))), created_at)

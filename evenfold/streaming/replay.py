@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evenfold.functions import text
-from evenfold.operators.plurality import Groups
+from evenfold.operators.plurality import GROUPS, Groups
 from evenfold.operators.replay import lines_of
 
 _OUT = "group_id string, page int, line_index int, winner string, largest int, total int"
-_STATE = "groups array<array<string>>"
+_STATE = f"groups {GROUPS}"
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    groups = Groups([list(c) for c in state.get[0]] if state.exists else None)
+    groups = Groups([[tuple(m) for m in c] for c in state.get[0]] if state.exists else None)
     rows = sorted((r for b in batches for r in zip(b["timestamp"], b["id"], b["t"], strict=True)))  # one micro-batch of one position
     for _, _, value in rows:
         groups.insert(value)

@@ -133,6 +133,9 @@ def test_counted_fold_resumes(spark):
     whole = {(r.page, r.line_index): r.groups for r in plurality.fold(df, [F.col("o")]).collect()}
     head = plurality.fold(df.where("o < 30"), [F.col("o")]).select("group_id", "page", "line_index", "groups")
     both = {(r.page, r.line_index): r.groups for r in plurality.fold(df.where("o >= 30"), [F.col("o")], head).collect()}
+    marked = plurality.fold(df, [F.col("o")], late=F.col("o") >= 30).collect()
+    assert {(r.page, r.line_index): r.groups for r in marked if r.at_cut} == {(r.page, r.line_index): r.groups for r in head.collect()}
+    assert {(r.page, r.line_index): r.groups for r in marked if not r.at_cut} == whole
     assert whole == both
 
 
@@ -141,8 +144,8 @@ def test_regions(spark):
     got = sorted(roi.merge(spark.createDataFrame(rois, "group_id string, page int, line int, reason string"), 2).collect())
     assert [(r.page, r.line_start, r.line_end, r.dominant_reason, r.atomic_count, r.preprocess_hint) for r in got] == [
         (1, 0, 7, "NumericConflict", 2, "HighContrast"), (1, 28, 32, "DenseCluster", 1, "Original"), (2, 0, 3, "NumericConflict", 1, "HighContrast")]
-    groups = [("g", 1, 0, [["id 2026", "id 2027"]]), ("g", 1, 1, [["a"], ["b 1"]]), ("g", 1, 2, [[]]), ("g", 1, 3, [])]
-    df = spark.createDataFrame(groups, "group_id string, page int, line_index int, groups array<array<string>>")
+    groups = [("g", 1, 0, [[("id 2026", 2), ("id 2027", 1)]]), ("g", 1, 1, [[("a", 1)], [("b 1", 3)]]), ("g", 1, 2, [[]]), ("g", 1, 3, [])]
+    df = spark.createDataFrame(groups, f"group_id string, page int, line_index int, groups {plurality.GROUPS}")
     assert [tuple(r) for r in roi.numeric_conflicts(df).collect()] == [("g", 1, 1, "NumericConflict")]
     regions = roi.merge(spark.createDataFrame(rois, "group_id string, page int, line int, reason string"), 2)
     src = spark.createDataFrame([("g", "high_contrast", 1, n, f"t{n}") for n in range(1, 9)], "group_id string, variant string, page int, line int, text string")
@@ -199,6 +202,23 @@ def test_replay(spark):
         assert [r.equivalent for r in replay.equivalent(df, "document_id", at).collect()] == [True]
 
 
+def test_replay_goes_on_from_its_checkpoint(spark):
+    """Source and iterations are carried over; a document without later events stays."""
+    line = lambda i, t, doc, text, at=0: (f"0197a1b2-c3d4-7e5f-8a6b-0c1d2e3f4a{i:02x}", t, '{"OcrVariant":{"variant":"original","page":1,"line_index":%d}}' % at, '{"OcrLine":{"text":"%s","confidence":1.0}}' % text, doc)  # noqa: E731, UP031
+    rows = [line(1, 10, "a", "total 12"), line(2, 20, "a", "total 12"), line(3, 30, "a", "total 13"), line(4, 5, "b", "alone"), line(5, 40, "c", "late"), ("x", 50, '"Reducer"', '{"Observation":{}}', "a")]
+    df = spark.createDataFrame(rows, "id string, timestamp long, source string, payload string, document_id string")
+    head, heads = replay.replay(df.where("timestamp <= 20"), "document_id")
+    got = {r.group_id: r for r in replay.replay(df.where("timestamp > 20"), "document_id", head, heads)[1].collect()}
+    whole = {r.group_id: r for r in replay.replay(df, "document_id")[1].collect()}
+    for doc in "abc":
+        assert (got[doc].source, got[doc].iterations, got[doc].convergence_bps) == (whole[doc].source, whole[doc].iterations, whole[doc].convergence_bps)
+    assert got["a"].applied_events == 1 and got["a"].skipped_events == 1 and got["b"].applied_events == 0
+    same = replay.equivalent(df, "document_id", 20).collect()
+    assert len(same) == 3 and all(r.equivalent for r in same) and {r.group_id: r.iterations for r in same} == {"a": 3, "b": 1, "c": 1}
+    with pytest.raises(ValueError, match="beyond"):
+        replay.equivalent(df, "document_id", 51)
+
+
 def test_events_of_lines(spark):
     rows = lines(spark, [("a", ["x", ("y", 0.5)])])
     made = replay.events_of(rows, F.lit(7).cast("long"))
