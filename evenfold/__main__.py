@@ -17,11 +17,13 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--config")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("show-config")
-    run = sub.add_parser("process", help="a table of readings (source, variant, text) to snapshots under a folder")
+    run = sub.add_parser("process", help="a table of readings (source, variant, text), or with --images a folder of images, to snapshots under a folder")
     run.add_argument("readings")
     run.add_argument("root")
-    again = sub.add_parser("replay", help="event files to winners, for one document or all")
+    run.add_argument("--images", action="store_true", help="read the images with the tesseract command")
+    again = sub.add_parser("replay", help="event files to winners, for one document or all, from the latest snapshots of a store if there are any")
     again.add_argument("events")
+    again.add_argument("--snapshots", help="the snapshots folder of a store")
     again.add_argument("--document")
     a = p.parse_args(args)
     config = resolve(a.profile, a.lang, a.config)
@@ -32,16 +34,19 @@ def main(args: list[str] | None = None) -> int:
 
     spark = local_session()
     if a.command == "process":
+        from evenfold.operators import image
         from evenfold.plans import pipeline
 
-        pipeline.persist(pipeline.process(spark.read.parquet(a.readings), F.current_timestamp(), config.profile.value), a.root)
+        readings = pipeline.read_documents(image.read_gray(spark, a.readings), str(config.lang.value)) if a.images else spark.read.parquet(a.readings)
+        pipeline.persist(pipeline.process(readings, F.current_timestamp(), config.profile.value), a.root)
         return 0
     from evenfold.operators import replay
-    from evenfold.sources.store import read_jsonl
+    from evenfold.sources import store
 
-    events = read_jsonl(spark, a.events, EVENTS + ", document_id string")
+    events = store.read_jsonl(spark, a.events, EVENTS + ", document_id string")
     events = events.where(F.col("document_id") == a.document) if a.document else events
-    replay.replay(events, "document_id")[1].show(truncate=False)
+    stored = spark.read.parquet(a.snapshots) if a.snapshots and store.exists(spark, a.snapshots) else None
+    replay.from_latest(events, stored, a.document, config.profile.value).show(truncate=False)
     return 0
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenfold.functions.ids import NAMESPACE_OID, uuid5
-from evenfold.operators import plurality
+from evenfold.operators import plurality, snapshots
+from evenfold.schema import DEFAULT, Profile
 from evenfold.session import cut
+from evenfold.sources import store
 
 _SOURCE = "struct<OcrVariant: struct<variant: string, page: int, line_index: int>>"
 _PAYLOAD = "struct<OcrLine: struct<text: string, confidence: float>>"
@@ -76,13 +78,30 @@ def _documents(counted: DataFrame, folded: DataFrame, heads: DataFrame | None) -
     return documents.withColumns({"convergence_bps": F.coalesce("convergence_bps", F.lit(0)), "ambiguity_bps": F.coalesce("ambiguity_bps", F.lit(10_000))})
 
 
-def after(events: DataFrame, snapshots: DataFrame) -> DataFrame:
+def after(events: DataFrame, heads: DataFrame) -> DataFrame:
     """Events later than the whole second of their document's snapshot (group_id, created_at); those of documents without one are all kept.
     Both meet by document."""
-    last = snapshots.groupBy("group_id").agg(F.greatest(F.lit(0), F.unix_seconds(F.max("created_at").cast("timestamp"))).alias("_cut"))
+    last = heads.groupBy("group_id").agg(F.greatest(F.lit(0), F.unix_seconds(F.max("created_at").cast("timestamp"))).alias("_cut"))
     return events.join(last, "group_id", "left").where("_cut is null or timestamp > _cut").drop("_cut")
 
 
+def from_latest(events: DataFrame, stored: DataFrame | None, document: str | None = None, profile: Profile = DEFAULT) -> DataFrame:
+    """Documents (as of replay(), with mode) of events by document_id: each goes on from its latest stored snapshot with the events after it, or starts from the
+    beginning where it has none. A latest snapshot that fails a check is an error, as going on without it would hide the damage."""
+    if stored is None:
+        return replay(events, "document_id")[1].withColumn("mode", F.lit("genesis"))
+    mine = stored.where(F.col("document_id") == document) if document else stored
+    last = cut(snapshots.rehydrate(store.latest(mine, "document_id", ["created_at", "snapshot_id"]), profile))
+    bad = last.where("error is not null").select("document_id", "error").first()
+    if bad is not None:
+        raise ValueError(f"the snapshot of {bad.document_id} can't be resumed: {bad.error}")
+    positions, heads = snapshots.resume(last.drop("error"), profile)
+    tail = after(events.withColumn("group_id", F.col("document_id")), last.select(F.col("document_id").alias("group_id"), "created_at"))
+    documents = replay(tail, "document_id", positions, heads)[1]
+    known = heads.select("group_id", F.lit("checkpoint+tail").alias("mode"))
+    return documents.join(known, "group_id", "left").withColumn("mode", F.coalesce("mode", F.lit("genesis")))
+
+
 def equivalent(events: DataFrame, key: str, cut_at: int) -> DataFrame:
     """(group_id, source, iterations, convergence_bps, ambiguity_bps, equivalent): whether a replay up to time cut_at and one of the rest from there gives
     what one replay gives: the same source, iterations and scores, and the same clusters at every position. Every document with events is there. The

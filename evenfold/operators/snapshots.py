@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evenfold.functions import scoring
 from evenfold.functions.ids import NAMESPACE_OID, NAMESPACE_URL, NIL_UUID, uuid5
+from evenfold.operators.plurality import spelled
 from evenfold.schema import DEFAULT, Profile
 
 SCHEMA_VERSION = 1
@@ -44,9 +45,15 @@ def content_hash(document_id: Column, iterations: Column, lines: Column) -> Colu
     return uuid5(NAMESPACE_OID, F.to_json(F.struct(document_id.alias("document_id"), iterations.alias("iterations"), out.alias("lines"))))
 
 
+def groups_of(clusters: Column) -> Column:
+    """The weighted reducer's clusters as those of the counted one: each with its winner alone."""
+    return F.transform(clusters, lambda c: F.array(F.struct(c["text"].alias("text"), c["count"].alias("count"))))
+
+
 def cluster_groups(positions: DataFrame) -> DataFrame:
-    """(group_id, cluster_groups map<page, map<line from 0, array<array<string>>>>): each cluster's winner as often as it has votes."""
-    groups = F.transform("clusters", lambda c: F.array_repeat(c["text"], c["count"]))
+    """(group_id, cluster_groups map<page, map<line from 0, array<array<string>>>>), the stored form: each cluster's members as often as they have votes, of
+    a position's groups or else of its clusters' winners."""
+    groups = spelled(F.col("groups") if "groups" in positions.columns else groups_of(F.col("clusters")))
     page = positions.select("group_id", "page", (F.col("line") - 1).alias("l"), groups.alias("g")).groupBy("group_id", "page").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l", "g")))).alias("m"))
     return page.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("page", "m"))).alias("cluster_groups"))
 
@@ -61,13 +68,14 @@ def snapshots(documents: DataFrame, positions: DataFrame, snapshot_id: Column, c
     )
 
 
-def rehydration_error(confidence: Column, profile: Profile = DEFAULT) -> Column:
+def rehydration_error(confidence: Column, lines: Column, profile: Profile = DEFAULT) -> Column:
     """The first check that a snapshot row fails, in this order, or null: schema_version, duplicate_position (where the profile forbids it),
-    rehydration_missing, source_empty, document_mismatch, confidence_mismatch, content_hash_mismatch. confidence is the recomputed one."""
+    rehydration_missing, source_empty, document_mismatch, confidence_mismatch, content_hash_mismatch. confidence is the recomputed one, lines those to be
+    hashed; a nil hash isn't checked."""
     place = F.transform("lines", lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line")))
     source = F.col("rehydration.source")
     twice = F.size(F.array_distinct(place)) < F.size(place) if not profile.allow_duplicate_positions else F.lit(False)
-    hashed = content_hash(F.col("document_id"), F.col("iterations"), F.col("lines"))
+    hashed = content_hash(F.col("document_id"), F.col("iterations"), lines)
     return (
         F.when(F.coalesce(F.col("schema_version"), F.lit(0)) != SCHEMA_VERSION, "schema_version")
         .when(F.coalesce(twice, F.lit(False)), "duplicate_position")
@@ -75,7 +83,7 @@ def rehydration_error(confidence: Column, profile: Profile = DEFAULT) -> Column:
         .when(F.coalesce(F.regexp_replace(source, r"\p{IsWhite_Space}", ""), F.lit("")) == "", "source_empty")
         .when(~F.col("document_id").eqNullSafe(uuid5(NAMESPACE_URL, source)), "document_mismatch")
         .when(F.coalesce(F.abs(confidence - F.col("confidence")) > TOLERANCE, F.lit(True)), "confidence_mismatch")
-        .when((F.size("lines") > 0) & (F.col("content_hash") != NIL_UUID) & (F.col("content_hash") != hashed), "content_hash_mismatch")
+        .when((F.col("content_hash") != NIL_UUID) & (F.col("content_hash") != hashed), "content_hash_mismatch")
     )
 
 
@@ -89,9 +97,34 @@ def plurality_confidence(groups: Column) -> Column:
     return (F.when(F.size(share) > 0, F.floor(total / F.size(share))).otherwise(0) / 10_000).cast("float")
 
 
+def _best(members: Column) -> Column:
+    """The longest by bytes, then the smallest."""
+    return F.array_min(F.transform(members, lambda m: F.struct((-F.octet_length(m)).alias("a"), m.alias("t"))))["t"]
+
+
+def rebuilt_lines(groups: Column) -> Column:
+    """The lines that a map of cluster groups stands for: winners by the ordinals of their page and line."""
+    rank = lambda c: F.struct((-F.size(c)).alias("a"), (-F.octet_length(_best(c))).alias("b"), _best(c).alias("t"))
+    winner = lambda cs: F.coalesce(F.array_min(F.transform(F.filter(cs, lambda c: F.size(c) > 0), rank))["t"], F.lit(""))
+    line = lambda of, i: lambda key, j: F.struct((i + 1).alias("page"), (j + 1).alias("line"), winner(F.element_at(of, key)).alias("text"))
+    page = lambda key, i: F.transform(F.array_sort(F.map_keys(F.element_at(groups, key))), line(F.element_at(groups, key), i))
+    return F.flatten(F.transform(F.array_sort(F.map_keys(groups)), page))
+
+
 def rehydrate(rows: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
-    """Adds error; a legacy row without lines is taken without the hash check."""
-    return rows.withColumn("error", rehydration_error(plurality_confidence(F.col("rehydration.cluster_groups")), profile))
+    """Adds error. The hash of a legacy row without lines is taken over the lines that its cluster groups stand for."""
+    lines = F.when(F.size("lines") > 0, F.col("lines")).otherwise(rebuilt_lines(F.col("rehydration.cluster_groups")))
+    return rows.withColumn("error", rehydration_error(plurality_confidence(F.col("rehydration.cluster_groups")), lines, profile))
+
+
+def resume(rows: DataFrame, profile: Profile = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(positions, heads) of the snapshots that pass all checks, for a replay to go on from: positions (group_id, page, line_index, groups) and heads
+    (group_id, source, iterations), group_id being the document. A row that fails a check gives nothing; rehydrate names the check."""
+    good = rehydrate(rows, profile).where("error is null").select(F.col("document_id").alias("group_id"), "iterations", "rehydration")
+    counted = lambda c: F.transform(F.array_sort(F.array_distinct(c)), lambda m: F.struct(m.alias("text"), F.size(F.filter(c, lambda x: x == m)).alias("count")))
+    pages = good.select("group_id", F.explode("rehydration.cluster_groups").alias("page", "m"))
+    positions = pages.select("group_id", "page", F.explode("m").alias("line_index", "g")).select("group_id", "page", "line_index", F.transform("g", counted).alias("groups"))
+    return positions, good.select("group_id", F.col("rehydration.source").alias("source"), "iterations")
 
 
 def observations(documents: DataFrame, observation_id: Column, created_at: Column) -> DataFrame:

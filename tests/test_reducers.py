@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evenfold.functions.ids import NAMESPACE_URL, uuid5
 from evenfold.operators import plurality, replay, roi, snapshots, weighted
 from evenfold.plans import core, pipeline
 from evenfold.schema import LINES, PROFILES
@@ -255,6 +256,58 @@ def test_pipeline(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store/snapshots")).count() == 1
 
 
+def test_refinement_settles_the_document(spark):
+    """A numeric veto plans regions; the hinted variant's lines go into the state, which the snapshot is made from: one iteration more, scores by counts."""
+    rows = [("a.png", "original", "Total due 2026-1 ref\nzeta"), ("a.png", "high_contrast", "Total due 2027-1 ref\nzeta"), ("b.png", "original", "calm\nsea"), ("b.png", "high_contrast", "calm\nsea")]
+    made = pipeline.process(spark.createDataFrame(rows, "source string, variant string, text string"), F.lit("2026-01-01").cast("timestamp"))
+    docs = {r.group_id: r for r in made.documents.collect()}
+    assert docs["a.png"].numeric_conflicts == 1 and docs["a.png"].iterations == 3 and docs["b.png"].iterations == 2
+    assert docs["a.png"].convergence_bps == (6666 + 10000) // 2 and docs["b.png"].convergence_bps == 10000
+    snap = {r.rehydration.source: r for r in made.snapshots.collect()}
+    # votes and rereadings are compared in lower case without marks, so the reread text is a member of its own
+    assert [x["text"] for x in snap["b.png"].lines] == ["calm", "sea"] and len(snap["a.png"].lines) == 2 and snap["a.png"].iterations == 3
+    assert {r.group_id for r in made.regions.collect()} == {"a.png"}
+    assert [r.error for r in snapshots.rehydrate(made.snapshots).collect()] == [None, None]
+
+
+def test_images_to_snapshots(spark):
+    """Images to variants to PNG to a provider to the reducer, in one plan."""
+    import zlib
+
+    def provider(content, lang, variant):
+        at, data = 8, b""
+        while at < len(content):
+            size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+            data += content[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+            at += 12 + size
+        return f"{lang} page\nbright {sum(b > 127 for b in zlib.decompress(data))}"
+
+    images = spark.createDataFrame([("a.png", 4, 2, bytearray([10] * 4 + [200] * 4)), ("bad", 3, 3, bytearray(2))], "image_id string, width int, height int, pixels binary")
+    readings = pipeline.read_documents(images, "ita", provider)
+    assert sorted((r.variant, r.text) for r in readings.where("variant <> 'rotated'").collect()) == [("high_contrast", "ita page\nbright 4"), ("original", "ita page\nbright 4")]
+    made = pipeline.process(readings, F.lit("2026-01-01").cast("timestamp"))
+    assert [x["text"] for x in made.snapshots.first().lines][0] == "ita page" and made.documents.first().iterations == 4  # three readings, and one more as the blurred one counts otherwise
+
+
+def test_resume_from_the_latest_snapshot(spark):
+    """What is stored goes on as if it had never stopped; a legacy row without lines is checked against its groups, a damaged one is an error."""
+    ev = lambda i, t, text, at=0: (f"0197a1b2-c3d4-7e5f-8a6b-0c1d2e3f4a{i:02x}", t, '{"OcrVariant":{"variant":"original","page":1,"line_index":%d}}' % at, '{"OcrLine":{"text":"%s","confidence":1.0}}' % text)  # noqa: E731, UP031
+    rows = [ev(1, 10, "total 12"), ev(2, 11, "total 12"), ev(3, 12, "other words", 1), ev(4, 30, "total 19"), ev(5, 31, "other words", 1)]
+    df = spark.createDataFrame(rows, "id string, timestamp long, source string, payload string").withColumn("document_id", uuid5(NAMESPACE_URL, F.lit("event://" + rows[0][0])))
+    positions, documents = replay.replay(df.where("timestamp <= 12"), "document_id")
+    documents = documents.withColumns({"document_id": F.col("group_id"), "iterations": F.col("iterations").cast("int")})
+    state = positions.withColumns({"line": F.col("line_index") + 1, "convergence_bps": F.lit(None).cast("int")})
+    stored = snapshots.snapshots(documents, state, F.lit("s1"), F.lit("1970-01-01 00:00:12").cast("timestamp"))
+    legacy = stored.withColumn("lines", F.filter("lines", lambda x: F.lit(False)))
+    whole = replay.replay(df, "document_id")[1].first()
+    for rows_ in (stored, legacy):
+        got = replay.from_latest(df, rows_).first()
+        assert (got.mode, got.applied_events, got.iterations, got.source, got.convergence_bps) == ("checkpoint+tail", 2, 5, whole.source, whole.convergence_bps)
+    assert replay.from_latest(df, None).first()["mode"] == "genesis" and replay.from_latest(df, stored.limit(0)).first()["mode"] == "genesis"
+    with pytest.raises(ValueError, match="content_hash_mismatch"):
+        replay.from_latest(df, legacy.withColumn("content_hash", F.lit("0197a1b2-c3d4-7e5f-8a6b-0c1d2e3f4a00")))
+
+
 def brute_jaro_winkler(a, b):
     """By the definition, on lists of code points."""
     reach, used, hits = max(0, max(len(a), len(b)) // 2 - 1), set(), []
@@ -312,6 +365,6 @@ def test_pipeline_takes_every_reading(spark, tmp_path):
     assert got[0] == got[1] and [(r.iterations, r.n_lines) for r in got[0]] == [(3, 1)]
     twice = spark.createDataFrame([("s", "original", "a", "total 12"), ("s", "original", "b", "total 12"), ("s", "rotated", "c", "total 13")], "source string, variant string, reading string, text string")
     made = pipeline.process(twice, F.lit("2026-01-01").cast("timestamp"))
-    p = made.positions.first()
+    p = made.reduced.first()
     assert p.winner == "total 12" and [c["count"] for c in p.clusters] == [2, 1]
     assert sorted(r.variant for r in made.raw_observations.collect()) == ["original", "original", "rotated"] and made.raw_observations.select("observation_id").distinct().count() == 3
