@@ -460,6 +460,30 @@ _ROIS = f"""{_fold(False)},
 _SNAP = f"""{_documents(True).replace("coalesce(source, '')", "coalesce(source, '') || '#' || coalesce(variant, '')")}, {_FIELDS},
         j as (select group_id, list({{'line': n, 'page': po, 'text': text}} order by po, n, text) as lines from f group by all)"""
 
+_SEEN = f"""select source, variant as kind, coalesce(variant, '') || '#' || {_plain('observation_id')} as variant, raw_text from raw_observations where raw_text is not null and source is not null and observation_id is not null
+            qualify row_number() over (partition by {_plain('observation_id')} order by batch_no nulls first, arrived_at nulls first, raw_text, source nulls first, variant nulls first) = 1"""
+_NORMAL = f"""
+        sn as ({_SEEN}),
+        sl as (select source as group_id, kind, variant, l[i] as text, i as line from (select *, list_filter(list_transform(string_split_regex(raw_text, '\r?\n'), lambda x: {_trim('x')}), lambda x: x <> '') as l from sn), unnest(range(1, len(l) + 1)) as u(i)),
+        nl as (select group_id, kind, variant, 1 as page, cast(row_number() over (partition by group_id, variant order by line) as int) as line, text from (select group_id, kind, variant, line, {_trim(f"regexp_replace({_CANON}, '[ \t\n\f\r]+', ' ', 'g')")} as text from sl) where text <> '')"""
+_PIPELINE = f"""{_NORMAL}, {folds.weighted(f"select group_id, page, line, lower(vt) as k, vt, cast(1 as float) as w from (select distinct group_id, page, line, variant, {_VARIANT} as vt from nl) where vt <> '' qualify row_number() over (partition by group_id, page, line, lower(vt), variant order by vt) = 1", 0.9)},
+        hd as (select group_id, cast(count(distinct variant) as int) as iterations from nl group by 1),
+        dc as (select group_id, cast(sum(convergence_bps) // count(*) as int) as conv, sum(numeric_conflicts) as nc from p group by 1),
+        nb as (select r.group_id, r.page, r.line, t, lead(t) over (partition by r.group_id, r.page, r.line order by rank) as u from r semi join (select * from dc where nc > 0) using (group_id)),
+        ac as (select distinct group_id, page, line, greatest(0, line - 2) as s, line + 2 as e from nb where {_DIFFERS.format(a='t', b='u')}),
+        bf as (select *, max(e) over (partition by group_id, page order by line rows between unbounded preceding and 1 preceding) as before from ac),
+        gp as (select *, sum(case when before is null or s > before + 1 then 1 else 0 end) over (partition by group_id, page order by line rows unbounded preceding) as g from bf),
+        rg as (select group_id, page, greatest(min(s), 1) as a, max(e) as b from gp group by group_id, page, g),
+        again as (select rg.group_id, rg.page, nl.line, arg_min(text, (a, b, text)) as text from rg join nl on nl.group_id = rg.group_id and nl.page = rg.page and kind = 'high_contrast' and nl.line between a and b group by all),
+        ins as (select group_id, page, line, t from (select *, {_bare_words('text')} as t from again) where t <> ''),
+        sd as (select group_id, page, line, {folds.ranked("list_transform(cs, lambda c: list_resize([c.t], cast(c.n as int), c.t))")} as gs from p semi join rg using (group_id)),
+        rf as ({folds.inserted("select group_id, page, line, coalesce(gs, []) as gs, t from sd full join ins using (group_id, page, line)")}),
+        ct as (select group_id, page, line, {folds.winner('gs2')} as winner, len(gs2[1]) * 10000 // list_sum(list_transform(gs2, lambda g: len(g))) as c from rf),
+        st as (select group_id, page, line, winner from p anti join rg using (group_id) union all select group_id, page, line, winner from ct),
+        sc as (select group_id, cast(sum(c) // count(*) as int) as conv from ct group by 1),
+        ln as (select group_id, list({{'line': n, 'page': 1, 'text': winner}} order by n) as lines from (select group_id, winner, cast(row_number() over (partition by group_id order by line) as int) as n from st) group by 1),
+        dd as (select group_id, {_uuid5(NAMESPACE_URL, 'group_id')} as document_id, cast(iterations + case when sc.conv is null then 0 else 1 end as int) as iterations, coalesce(sc.conv, dc.conv) as conv from dc join hd using (group_id) left join sc using (group_id))"""
+
 ORACLE = {
     "lines_scan": f"""
         with t as (select doc_id, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: {_trim('x')}), lambda x: x <> '') as l from documents where text is not null)
@@ -497,6 +521,10 @@ ORACLE = {
     "replay_equivalence": f"""
         with recursive {_REPLAYED}, hd as (select group_id, count(*) filter (applied) as iterations, 'event://' || arg_min(id, (timestamp, id)) filter (applied) as source from el group by 1)
         select group_id, source, iterations, coalesce(convergence_bps, 0) as convergence_bps, 10000 - coalesce(convergence_bps, 0) as ambiguity_bps, true as equivalent from hd left join pm using (group_id)""",
+    "pipeline_snapshots": f"""
+        with recursive {_PIPELINE}
+        select {_uuid5(NAMESPACE_URL, "'snapshot#' || group_id")} as snapshot_id, document_id, {_uuid5(NAMESPACE_OID, "cast(to_json({'document_id': document_id, 'iterations': iterations, 'lines': lines}) as varchar)")} as content_hash,
+            cast(conv / 10000 as float) as confidence, iterations, cast(len(lines) as int) as n_lines from dd join ln using (group_id)""",
     "jw_pairs_all": f"with {_PAIRS_ALL} select a, b, round({folds.similarity('a', 'b')}, 6) as similarity from x",
     "reduce_exact": f"with {_documents(False)} select * from d",
     "reduce_exact_shared": f"with {_documents(True)} select * from d",

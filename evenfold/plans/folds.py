@@ -55,22 +55,37 @@ def weighted(votes: str, threshold: float) -> str:
         r as (select group_id, page, line, cs[j].t as t, cs[j].n as n, cs[j].w as w, j as rank from p, unnest(range(1, len(cs) + 1)) as u(j))"""
 
 
+def _best(m: str) -> str:
+    return f"list_sort(list_transform({m}, lambda x: {{'a': -strlen(x), 'x': x}}))[1].x"
+
+
+def ranked(gs: str) -> str:
+    """Clusters of members, the largest first, then by their best member."""
+    return f"list_transform(list_sort(list_transform({gs}, lambda g: {{'a': -len(g), 'b': {_best('g')}, 'g': g}})), lambda x: x.g)"
+
+
+def inserted(rows: str) -> str:
+    """rows (gs, t and whatever else) with t taken into the first cluster of gs that is like it, as gs2; gs ranked, if t is null."""
+    grown = "case when at_ > 0 then list_transform(gs, lambda g, j: case when j = at_ then list_sort(list_append(g, t)) else g end) else list_append(gs, [t]) end"
+    at = f"coalesce(list_position(list_transform(gs, lambda g: {similarity('g[1]', 't')} >= 0.9), true), 0)"
+    return f"select *, case when t is null then gs else {ranked(grown)} end as gs2 from (select *, {at} as at_ from ({rows}))"
+
+
+def winner(gs: str) -> str:
+    return f"list_sort(list_transform({gs}, lambda g: {{'a': -len(g), 'b': -strlen({_best('g')}), 'x': {_best('g')}}}))[1].x"
+
+
 def counted(votes: str) -> str:
     """CTEs up to pl from votes (group_id, page, line_index, t, i), i the turn of a vote from 1: pl has a row per position with its clusters gs,
     lists of members in order, the largest cluster first."""
-    best = lambda m: f"list_sort(list_transform({m}, lambda x: {{'a': -strlen(x), 'x': x}}))[1].x"
-    ranked = lambda gs: f"list_transform(list_sort(list_transform({gs}, lambda g: {{'a': -len(g), 'b': {best('g')}, 'g': g}})), lambda x: x.g)"
-    grown = "case when at_ > 0 then list_transform(gs, lambda g, j: case when j = at_ then list_sort(list_append(g, t)) else g end) else list_append(gs, [t]) end"
-    winner = f"list_sort(list_transform(gs, lambda g: {{'a': -len(g), 'b': -strlen({best('g')}), 'x': {best('g')}}}))[1].x"
+    step = inserted("select f.group_id, f.page, f.line_index, v.i, f.gs, v.t from steps f join vp v on f.group_id = v.group_id and f.page = v.page and f.line_index = v.line_index and v.i = f.i + 1")
     return f"""
         vp as ({votes}),
         steps as (
             select group_id, page, line_index, i, [[t]] as gs from vp where i = 1
             union all
-            select group_id, page, line_index, i, {ranked(grown)} from (
-                select *, coalesce(list_position(list_transform(gs, lambda g: {similarity('g[1]', 't')} >= 0.9), true), 0) as at_
-                from (select f.group_id, f.page, f.line_index, v.i, f.gs, v.t from steps f join vp v on f.group_id = v.group_id and f.page = v.page and f.line_index = v.line_index and v.i = f.i + 1))),
-        pl as (select group_id, page, line_index, gs, {winner} as winner, cast(len(gs[1]) as int) as largest, cast(i as int) as total from steps qualify row_number() over (partition by group_id, page, line_index order by i desc) = 1),
+            select group_id, page, line_index, i, gs2 from ({step})),
+        pl as (select group_id, page, line_index, gs, {winner('gs')} as winner, cast(len(gs[1]) as int) as largest, cast(i as int) as total from steps qualify row_number() over (partition by group_id, page, line_index order by i desc) = 1),
         pm as (select group_id, cast(sum(largest * 10000 // total) // count(*) as int) as convergence_bps from pl group by 1)"""
 
 
