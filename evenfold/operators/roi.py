@@ -44,12 +44,16 @@ def numeric_conflicts(groups: DataFrame, line_from: int = 1) -> DataFrame:
     return rows.select("group_id", "page", (F.col("line_index") + line_from).alias("line"), F.lit("NumericConflict").alias("reason")).distinct()
 
 
+def differs_by_numbers(clusters: Column) -> Column:
+    """Whether two ranked alternatives that follow each other differ in their digits alone."""
+    c = F.transform(clusters, lambda x: x["text"])
+    hit = F.exists(F.sequence(F.lit(1), F.greatest(F.size(c) - 1, F.lit(1))), lambda i: differs_in_numbers(F.get(c, i - 1), F.get(c, i)))
+    return (F.size(c) > 1) & F.coalesce(hit, F.lit(False))
+
+
 def numeric_alternatives(positions: DataFrame) -> DataFrame:
-    """The same from the ranked alternatives of the weighted reducer (group_id, page, line, clusters): any two that follow each other."""
-    c = F.transform("clusters", lambda x: x["text"])
-    hit = F.exists(F.sequence(F.lit(1), F.size(c) - 1), lambda i: differs_in_numbers(F.get(c, i - 1), F.get(c, i)))
-    rows = positions.where((F.size("clusters") > 1) & F.coalesce(hit, F.lit(False)))
-    return rows.select("group_id", "page", "line", F.lit("NumericConflict").alias("reason"))
+    """The same from the ranked alternatives of the weighted reducer (group_id, page, line, clusters)."""
+    return positions.where(differs_by_numbers(F.col("clusters"))).select("group_id", "page", "line", F.lit("NumericConflict").alias("reason"))
 
 
 def merge(rois: DataFrame, padding: int = 2) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenfold.functions import scoring, similarity, text
@@ -10,7 +13,7 @@ from evenfold.functions.ids import NAMESPACE_OID, NAMESPACE_URL, plain_uuid, uui
 from evenfold.operators import image, messages, plurality, replay, roi, snapshots, weighted
 from evenfold.plans import folds, pipeline
 from evenfold.schema import PROFILES
-from evenfold.session import table
+from evenfold.session import checkpoint_dir, cut, table
 from evenfold.sources import store
 from evenfold.sources import text as texts
 
@@ -211,10 +214,11 @@ def roi_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed_rois(spark: SparkSession, d: str) -> DataFrame:
-    got = _runners(spark, d)
-    dense = got.where(F.size("clusters") > 2).select("group_id", "page", "line", F.lit("DenseCluster").alias("reason"))
-    unsure = got.where("ambiguity_bps >= 4000").select("group_id", "page", "line", F.lit("Ambiguity").alias("reason"))
-    return roi.numeric_alternatives(got).unionByName(dense).unionByName(unsure)
+    """Positions with every reason to read them again, found in one pass."""
+    got = _runners(spark, d).where("size(clusters) > 1 or ambiguity_bps >= 4000")
+    when = lambda condition, reason: F.when(condition, F.lit(reason))
+    reasons = F.array(when(roi.differs_by_numbers(F.col("clusters")), "NumericConflict"), when(F.size("clusters") > 2, "DenseCluster"), when(F.col("ambiguity_bps") >= 4000, "Ambiguity"))
+    return got.select("group_id", "page", "line", F.explode(F.array_compact(reasons)).alias("reason"))
 
 
 def roi_merged(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +227,7 @@ def roi_merged(spark: SparkSession, d: str) -> DataFrame:
 
 def roi_plan(spark: SparkSession, d: str) -> DataFrame:
     got = roi.plan(_mixed_rois(spark, d), 2)
-    return got.select("group_id", "atomic_count", F.size("regions").alias("n_regions"), F.aggregate("regions", F.lit(0), lambda a, r: a + r["line_end"] - r["line_start"] + 1).alias("n_lines"))
+    return got.select("group_id", "atomic_count", "plan_hash", F.size("regions").alias("n_regions"), F.aggregate("regions", F.lit(0), lambda a, r: a + r["line_end"] - r["line_start"] + 1).alias("n_lines"))
 
 
 def roi_refine(spark: SparkSession, d: str) -> DataFrame:
@@ -329,30 +333,104 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
     return image.otsu_table(rows.groupBy("image_id", "level").agg(F.count(F.lit(1)).alias("n")))
 
 
-def image_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Every embedding drawn as a gray image, in every variant."""
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    """Every embedding drawn as a gray image, eight pixels wide."""
     e = table(spark, d, "embeddings").where("embedding is not null")
-    px = F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * 64 + 128).cast("int")))), 2, "0"))
-    images = e.select(F.col("vec_id").cast("string").alias("image_id"), F.size("embedding").alias("width"), F.lit(1).alias("height"), F.unhex(F.array_join(px, "")).alias("pixels"))
-    return image.variants(images).drop("pixels")
+    px = F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 64 + 128).cast("int")))), 2, "0"))
+    return e.select(F.col("vec_id").cast("string").alias("image_id"), F.lit(8).alias("width"), F.floor(F.size("embedding") / 8).cast("int").alias("height"), F.unhex(F.array_join(px, "")).alias("pixels"))
 
 
-def pipeline_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """The whole plan over the texts of raw_observations, to snapshots. Of repeated deliveries the first with a text counts; second scans vote as readings of their own."""
+def _white(when: Column) -> Column:
+    """How many pixels of a row are 255; -1 where that isn't asked."""
+    h = F.hex("pixels")
+    return F.when(when, F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(h) - 1, F.lit(1)), F.lit(2)), F.lit(0), lambda n, i: n + (F.substring(h, i, F.lit(2)) == "FF").cast("int"))).otherwise(-1)
+
+
+def image_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Small images in every variant; of the binary one also how much is white."""
+    return image.variants(_images(spark, d)).withColumns({"n_white": _white(F.col("variant") == "high_contrast"), "threshold": F.coalesce("threshold", F.lit(-1))}).drop("pixels")
+
+
+def image_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Two crops of each image, binarized, one of them enlarged and one beyond the image's edge."""
+    roi_ = lambda kind, x, y, w, h, to: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("width"), F.lit(h).alias("height"), F.lit(kind).alias("kind"), to.alias("resize"))
+    none = F.lit(None).cast("struct<w: int, h: int>")
+    rois = F.array(roi_("title_block", 1, 2, 5, 4, none), roi_("signature", 5, 6, 9, 9, none), roi_("invoice_totals", 0, 0, 5, 4, F.struct(F.lit(10).alias("w"), F.lit(8).alias("h"))))
+    got = image.regions(_images(spark, d).select("*", F.explode(rois).alias("roi")))
+    return got.withColumn("n_white", _white(F.col("resize_factor").isNull())).drop("pixels")
+
+
+def _count_white(content: bytes, lang: str, variant: str) -> str:
+    """A provider that reads a gray PNG's size and counts its white pixels."""
+    at, data, width, height = 8, b"", 0, 0
+    while at < len(content):
+        n, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        if kind == b"IHDR":
+            width, height = int.from_bytes(content[at + 8 : at + 12], "big"), int.from_bytes(content[at + 12 : at + 16], "big")
+        elif kind == b"IDAT":
+            data += content[at + 8 : at + 8 + n]
+        at += 12 + n
+    rows = zlib.decompress(data)
+    return f"size {width} {height}\nwhite {sum(rows[k * (width + 1) + 1 : (k + 1) * (width + 1)].count(255) for k in range(height))}"
+
+
+def image_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Images to variants to PNG to a provider's texts to lines."""
+    readings = pipeline.read_documents(_images(spark, d), "ita", _count_white, ("original", "high_contrast"))
+    return texts.to_lines(readings, ["source", "variant"])
+
+
+def jsonl_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events appended to JSON lines in two goes and read again."""
+    path = f"{checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    events = table(spark, d, "ocr_events").select("id", "schema_version", "timestamp", "source", "payload", "document_id")
+    late = F.coalesce(F.col("timestamp") > CUT, F.lit(False))
+    for part in (events.where(~late), events.where(late)):
+        store.append_jsonl(part, path)
+    return store.read_jsonl(spark, path, "id string, schema_version int, timestamp bigint, source string, payload string, document_id string").withColumn("schema_version", F.coalesce("schema_version", F.lit(-1)))
+
+
+def _pipeline(spark: SparkSession, d: str) -> pipeline.Result:
+    """The whole plan over the texts of raw_observations. Of repeated deliveries the first with a text counts; second scans vote as readings of their own."""
     delivered = table(spark, d, "raw_observations").where("raw_text is not null")
     # what else differs between rows delivered together settles the tie before the id's spelling could
     kept = messages.accept(delivered, "observation_id", ["batch_no", "arrived_at", "raw_text", "source", "variant"])
     reading = F.coalesce(plain_uuid("observation_id"), F.sha2(F.to_json(F.struct("batch_no", "arrived_at", "raw_text")), 256))
-    made = pipeline.process(kept.select("source", "variant", reading.alias("reading"), F.col("raw_text").alias("text")), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
-    return made.snapshots.select("snapshot_id", "document_id", "content_hash", "confidence", "iterations", F.size("lines").alias("n_lines"))
+    return pipeline.process(kept.select("source", "variant", reading.alias("reading"), F.col("raw_text").alias("text")), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def stored_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The pipeline's raw readings as its store has them, with the id of their document's latest snapshot there."""
+    root = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    pipeline.persist(_pipeline(spark, d), root)
+    last = store.latest(spark.read.parquet(f"{root}/snapshots"), "document_id", ["created_at", "snapshot_id"]).select("document_id", "snapshot_id")
+    raw = spark.read.parquet(f"{root}/raw_observations").select("observation_id", "document_id", "source", "variant", "raw_text", "normalized_text", "profile_used.kind")
+    return raw.join(last, "document_id", "left")
+
+
+def replay_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Events up to CUT replayed and stored as snapshots, then each document resumed from its snapshot. A document's id is here that of its first event."""
+    events = _events(spark, d)
+    named = replay.counters(replay.lines_of(events, "group_id")).select("group_id", uuid5(NAMESPACE_URL, F.col("source")).alias("doc")).where("doc is not null")
+    events = cut(events.join(named, "group_id").select("id", "timestamp", "source", "payload", F.col("doc").alias("document_id")))
+    positions, documents = replay.replay(events.where(F.col("timestamp") <= CUT), "document_id")
+    documents = documents.withColumns({"document_id": F.col("group_id"), "iterations": F.col("iterations").cast("int")})
+    state = positions.withColumns({"line": F.col("line_index") + 1, "convergence_bps": F.lit(None).cast("int")})
+    stored = cut(snapshots.snapshots(documents, state, F.col("group_id"), F.timestamp_seconds(F.lit(CUT))))
+    return replay.from_latest(events, stored)
+
+
+def pipeline_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The whole plan to snapshots."""
+    return _pipeline(spark, d).snapshots.select("snapshot_id", "document_id", "content_hash", "confidence", "iterations", F.size("lines").alias("n_lines"))
 
 
 QUERIES = {f.__name__: f for f in (
     reduce_documents, reduce_strict, positions_fuzzy, positions_exact, lines_scan, lines_keep_blank, document_text, normalize_canonical, vote_keys, incremental_normalize, single_votes,
     alternatives, winner_runner_up, jw_pairs, jw_pairs_all, semantic_veto_pairs, semantic_veto_pairs_all, key_traits, fields_projection, snapshot_lines, cluster_groups, snapshot_documents, rehydrate_snapshots, observations,
     document_uuid, content_hash, roi_atomic, roi_clusters, roi_merged, roi_plan, roi_refine, plurality_positions, plurality_metrics, plurality_pages, latest_snapshot, events_after_snapshot,
-    replace_into, ignore_into, snapshot_with_lines, duplicate_positions, event_lines, events_from_lines, replay_genesis, replay_positions, replay_checkpoint, replay_equivalence, otsu_threshold, image_variants,
-    pipeline_snapshots,
+    replace_into, ignore_into, snapshot_with_lines, duplicate_positions, event_lines, events_from_lines, replay_genesis, replay_positions, replay_checkpoint, replay_equivalence, replay_latest, jsonl_events, otsu_threshold, image_variants, image_regions, image_readings,
+    pipeline_snapshots, stored_pipeline,
 )}
 QUERIES |= {f"normalize_{name}": _normalize(name) for name in PROFILES}
 QUERIES |= {"reduce_exact": _exact(False), "reduce_exact_shared": _exact(True)}
@@ -484,6 +562,20 @@ _PIPELINE = f"""{_NORMAL}, {folds.weighted(f"select group_id, page, line, lower(
         ln as (select group_id, list({{'line': n, 'page': 1, 'text': winner}} order by n) as lines from (select group_id, winner, cast(row_number() over (partition by group_id order by line) as int) as n from st) group by 1),
         dd as (select group_id, {_uuid5(NAMESPACE_URL, 'group_id')} as document_id, cast(iterations + case when sc.conv is null then 0 else 1 end as int) as iterations, coalesce(sc.conv, dc.conv) as conv from dc join hd using (group_id) left join sc using (group_id))"""
 
+_IMAGES = """
+        im as (select cast(vec_id as varchar) as image_id, cast(len(embedding) // 8 as int) as height, embedding from embeddings where embedding is not null),
+        px as (select image_id, height, i, cast(greatest(0, least(255, floor(cast(embedding[i + 1] as double) * 64 + 128))) as int) as v from im, unnest(range(0, len(embedding))) as u(i))"""
+
+
+def _otsu(pixels: str) -> str:
+    """CTEs up to th (image_id, threshold) of rows (image_id, v)."""
+    return f"""
+        hn as (select image_id, v as t, count(*)::double as n from {pixels} group by all),
+        hw as (select *, sum(n) over (partition by image_id order by t) as b, sum(n * t) over (partition by image_id order by t) as s, sum(n) over (partition by image_id) as a, sum(n * t) over (partition by image_id) as u from hn),
+        hv as (select image_id, t, case when a > b then b * (a - b) * pow(s / b - (u - s) / (a - b), 2) end as v from hw),
+        th as (select image_id, cast(coalesce(arg_max(t, (v, -t)) filter (v > 0), 128) as int) as threshold from hv group by 1)"""
+
+
 ORACLE = {
     "lines_scan": f"""
         with t as (select doc_id, list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: {_trim('x')}), lambda x: x <> '') as l from documents where text is not null)
@@ -525,6 +617,39 @@ ORACLE = {
         with recursive {_PIPELINE}
         select {_uuid5(NAMESPACE_URL, "'snapshot#' || group_id")} as snapshot_id, document_id, {_uuid5(NAMESPACE_OID, "cast(to_json({'document_id': document_id, 'iterations': iterations, 'lines': lines}) as varchar)")} as content_hash,
             cast(conv / 10000 as float) as confidence, iterations, cast(len(lines) as int) as n_lines from dd join ln using (group_id)""",
+    "stored_pipeline": f"""
+        with recursive {_PIPELINE},
+        rw as (select group_id, variant, kind, string_agg(text, chr(10) order by line, text) as raw_text from sl group by all),
+        nr as (select group_id, variant, string_agg(text, chr(10) order by line, text) as normalized_text from nl group by all)
+        select {_uuid5(NAMESPACE_URL, "concat_ws('#', 'observation', group_id, variant, raw_text)")} as observation_id, {_uuid5(NAMESPACE_URL, 'group_id')} as document_id, group_id as source, rw.kind as variant, raw_text, coalesce(normalized_text, '') as normalized_text, 'tesseract' as kind,
+            {_uuid5(NAMESPACE_URL, "'snapshot#' || group_id")} as snapshot_id from rw left join nr using (group_id, variant)""",
+    "jsonl_events": "select id, coalesce(schema_version, -1) as schema_version, timestamp, source, payload, document_id from ocr_events",
+    "replay_latest": f"""
+        with recursive {_REPLAYED},
+        hd as (select group_id, count(*) filter (applied) as iterations, count(*) filter (applied and timestamp > {CUT}) as ta, count(*) filter (not applied and timestamp > {CUT}) as ts, count(*) filter (applied) as ga, count(*) filter (not applied) as gs0,
+            'event://' || arg_min(id, (timestamp, id)) filter (applied) as source from el group by 1),
+        ck as (select distinct group_id from el where applied and timestamp <= {CUT} and {_bare_words('text')} <> '')
+        select {_uuid5(NAMESPACE_URL, 'source')} as group_id, case when ck.group_id is null then ga else ta end as applied_events, case when ck.group_id is null then gs0 else ts end as skipped_events, source, iterations,
+            coalesce(convergence_bps, 0) as convergence_bps, 10000 - coalesce(convergence_bps, 0) as ambiguity_bps, case when ck.group_id is null then 'genesis' else 'checkpoint+tail' end as mode
+        from hd left join ck using (group_id) left join pm using (group_id) where source is not null""",
+    "image_variants": f"""
+        with {_IMAGES}, {_otsu('px')}
+        select image_id, 'original' as variant, 8 as width, height, -1 as threshold, cast(null as float) as resize_factor, 8 as roi_width, height as roi_height, -1 as n_white from im
+        union all
+        select image_id, 'high_contrast', 8, height, threshold, null, 8, height, cast(count(*) filter (v > threshold) as int) from px join th using (image_id) group by all
+        union all
+        select image_id, 'rotated', 8, height, -1, cast(0.6 as float), 4, greatest(1, cast(floor(cast(height as float) * cast(0.6 as float)) as int)), -1 from im""",
+    "image_regions": f"""
+        with {_IMAGES},
+        ro as (select * from (values ('title_block', 1, 2, 5, 4, 0, 0), ('signature', 5, 6, 9, 9, 0, 0), ('invoice_totals', 0, 0, 5, 4, 10, 8)) as t(kind, x, y, w, h, rw, rh)),
+        cr as (select px.image_id || '#' || kind as image_id, px.image_id as own, kind, x, y, rw, rh, least(w, 8 - x) as cw, least(h, height - y) as ch, v from px, ro where i % 8 >= x and i % 8 < x + w and i // 8 >= y and i // 8 < y + h), {_otsu('cr')}
+        select own as image_id, kind, kind || '_' || x || '_' || y as name, cast(case when rw > 0 then rw else cw end as int) as width, cast(case when rh > 0 then rh else ch end as int) as height, threshold, cast(case when rw > 0 then rw / cw end as float) as resize_factor,
+            cast(cw as int) as roi_width, cast(ch as int) as roi_height, cast(case when max(rw) = 0 then count(*) filter (v > threshold) else -1 end as int) as n_white from cr join th using (image_id) group by own, kind, x, y, rw, rh, cw, ch, threshold""",
+    "image_readings": f"""
+        with {_IMAGES}, {_otsu('px')},
+        wh as (select image_id, height, count(*) filter (v = 255) as a, count(*) filter (v > threshold) as b from px join th using (image_id) group by all)
+        select image_id as source, variant, line, case line when 1 then 'size 8 ' || height else 'white ' || case variant when 'original' then a else b end end as text
+        from wh, (values ('original'), ('high_contrast')) as v(variant), (values (1), (2)) as l(line)""",
     "jw_pairs_all": f"with {_PAIRS_ALL} select a, b, round({folds.similarity('a', 'b')}, 6) as similarity from x",
     "reduce_exact": f"with {_documents(False)} select * from d",
     "reduce_exact_shared": f"with {_documents(True)} select * from d",
@@ -559,7 +684,10 @@ ORACLE = {
         select snapshot_id, {_uuid5(NAMESPACE_OID, "cast(to_json({'document_id': snapshot_id, 'iterations': n, 'lines': lines}) as varchar)")} as content_hash from l""",
     "roi_atomic": f"with {_ROIS} select * from z",
     "roi_merged": f"with {_ROIS} select * from m2",
-    "roi_plan": f"with {_ROIS} select group_id, cast(sum(atomic_count) as int) as atomic_count, cast(count(*) as int) as n_regions, cast(sum(line_end - line_start + 1) as int) as n_lines from m2 group by all",
+    "roi_plan": f"""
+        with {_ROIS}, g3 as (select group_id, cast(sum(atomic_count) as int) as atomic_count, cast(count(*) as int) as n_regions, cast(sum(line_end - line_start + 1) as int) as n_lines,
+            list({{'page': page, 'line_start': line_start, 'line_end': line_end, 'dominant_reason': dominant_reason}} order by page, line_start, line_end) as regions from m2 group by group_id)
+        select group_id, atomic_count, n_regions, n_lines, sha256(cast(to_json({{'group_id': group_id, 'atomic_count': atomic_count, 'regions': regions}}) as varchar)) as plan_hash from g3""",
     "roi_refine": f"""
         with {_ROIS}, t as (select group_id, variant, page, line, min(text) as text from ocr_lines where text is not null group by all),
         i as (select m.group_id, m.page, t.line, t.text, greatest(line_start, 1) as a, line_end as b from m2 m join t on t.group_id = m.group_id and t.page = m.page and t.variant = case preprocess_hint when 'Original' then 'original' else 'high_contrast' end and t.line between greatest(line_start, 1) and line_end where t.text <> '')
