@@ -147,6 +147,51 @@ def test_numbers(reader, token, want):
     assert reader.number(token) is want
 
 
+def test_confusions_keep_the_key():
+    assert all(scannoise.fold(true) == scannoise.fold(read) for true, read in scannoise.CONFUSIONS)
+
+
+def words_table(spark, seed=8):
+    """Words with counts: random ones, some of their misreadings and plain edits."""
+    rng = random.Random(seed)
+    counts = Counter()
+    for _ in range(150):
+        word = "".join(rng.choice("acdeghilmnorstu") for _ in range(rng.randrange(4, 9)))
+        counts[word] += rng.choice([1, 3, 8, 20, 200])
+        for true, read in rng.sample(scannoise.CONFUSIONS, 6):
+            if true in word:
+                counts[word.replace(true, read, 1)] += rng.choice([1, 2, 9])
+    return counts, spark.createDataFrame([(w, "", n) for w, n in counts.items()], "a string, b string, n long")
+
+
+@pytest.mark.parametrize("share", [2e-6, 1e-3, 2e-2])
+def test_rare_words_are_judged_alike(spark, monkeypatch, share):
+    """However few words are frequent enough for the trie, all others meet their rivals by key: against the automaton over all words."""
+    monkeypatch.setattr(scannoise, "SHARE", share)
+    counts, seen = words_table(spark)
+    words, pairs, least = scannoise.vocabulary(seen)
+    bc = spark.sparkContext.broadcast(scannoise._Shipped(f"t{share}", words, pairs, least))
+    got = {r.word: (r.own, {(x["true"], x["n"]) for x in r.near}) for r in scannoise.judged(seen, bc, least).collect() if r.near}
+    trie = scannoise.Trie(counts)
+    want = {w: (n, near) for w, n in counts.items() if len(w) > 2 and not w.isdigit() and (near := {(t, counts[t]) for t in trie.candidates(w) if counts[t] >= max(scannoise.RARER * n, 3)})}
+    assert got == want and len(want) > 20
+
+
+@pytest.mark.parametrize("share", [2e-6, 5e-3])
+def test_verdicts_by_broadcast_or_join(spark, monkeypatch, share):
+    """Both ways of bringing verdicts to the texts give the same rows and repairs."""
+    monkeypatch.setattr(scannoise, "SHARE", share)
+    texts = spark.createDataFrame([(f"o{i}", line) for i in range(30) for line in TRUE] + [("x", "the supervlsor confirmed the deli-\nvexy of the westem girder\n\nand the bo1ler"), ("y", "the ventlator was calibrated again"), ("n", None), ("e", "")], "record_id string, text string")
+    lines = spark.createDataFrame([(1, "g", "v", 1, 1, "the supervlsor confirmed the deli-"), (2, "g", "v", 1, 2, "very of the westem girder")], "line_id long, group_id string, variant string, page int, line int, text string")
+    out = []
+    for bound in (0, 300_000):
+        monkeypatch.setattr(scannoise, "MAX_VERDICTS", bound)
+        known = scannoise.ship(texts)
+        assert (known.table is None) == (bound > 0)
+        out.append([sorted(map(tuple, f.collect()), key=str) for f in (scannoise.text_noise(texts, known), scannoise.line_noise(lines, known), scannoise.repair(texts, known))])
+    assert out[0] == out[1] and len(out[0][0]) > 3 and len(out[0][1]) == 3
+
+
 @pytest.mark.parametrize("text,want", [("i", 1), ("iv", 4), ("xiv", 14), ("XL", 40), ("ccxix", 219), ("iil", 3), ("v1i", 7), ("iiii", None), ("abc", None), ("", None), ("1", 1), ("mm", None)])
 def test_roman_numbers(text, want):
     assert scannoise.roman(text) == want
