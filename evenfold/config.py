@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -31,14 +32,30 @@ class Config:
         return "\n".join(f"{k:<30} {v!s:<20} {'[' + s + ']' if s else ''}".rstrip() for k, v, s in rows)
 
 
+_ENTRY = re.compile(r"""([A-Za-z_][\w-]*)\s*:(?:\s+(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^\s#"'][^#]*?(?:(?<=\S)#[^#]*?)*)))?\s*(?:(?<=\s)\#.*)?$""")
+
+
 def read_file(path: Path) -> dict[str, str]:
-    """profile and lang of a file of `key: value` lines."""
-    out = {}
-    for line in path.read_text().splitlines():
-        key, colon, value = line.split("#")[0].partition(":")
-        if colon and key.strip() in ("profile", "lang") and value.strip():
-            out[key.strip()] = value.strip().strip("'\"")
-    return out
+    """The string settings profile and lang of a YAML file's top level. PyYAML reads it where it is installed; otherwise top-level scalars, plain or quoted, with
+    comments after white space, are understood, deeper levels are passed over and a top-level line of another form is an error."""
+    text = path.read_text()
+    try:
+        import yaml
+    except ImportError:
+        found: dict[str, object] = {}
+        for number, line in enumerate(text.splitlines(), 1):
+            if not line.strip() or line[0] in " \t-#" or line.strip() in ("---", "..."):
+                continue
+            m = _ENTRY.match(line.rstrip())
+            if not m:
+                raise ValueError(f"{path}:{number}: not understood: {line!r}") from None
+            quoted, single, plain = m.group(2, 3, 4)
+            found[m[1]] = re.sub(r"\\(.)", r"\1", quoted) if quoted is not None else single.replace("''", "'") if single is not None else plain
+    else:
+        found = yaml.safe_load(text) or {}
+        if not isinstance(found, dict):
+            raise ValueError(f"{path}: settings must be a mapping")
+    return {k: str(found[k]) for k in ("profile", "lang") if found.get(k) not in (None, "")}
 
 
 def resolve(cli_profile: str | None = None, cli_lang: str | None = None, cli_file: str | None = None, cwd: str = ".", env: dict | None = None) -> Config:

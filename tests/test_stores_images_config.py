@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evenfold.config import resolve
+from evenfold.config import read_file, resolve
 from evenfold.operators import image
 from evenfold.schema import EVENTS
 from evenfold.sources import store
@@ -76,6 +76,21 @@ def test_settings(tmp_path):
     assert "min_confidence" in c.summary()
 
 
+@pytest.mark.parametrize("text,want", [
+    ("profile: strict\nlang: deu # note\n", {"profile": "strict", "lang": "deu"}), ("# head\n---\nprofile: 'strict'\nlang: \"a#b\"  # x\n", {"profile": "strict", "lang": "a#b"}), ("other:\n  profile: strict\n  lang: x\nlang: a#b\n", {"lang": "a#b"}),
+    ("lang: 'it''s'\nprofile:\n", {"lang": "it's"}), ("", {}), ("lang: ita+eng\n", {"lang": "ita+eng"}),
+])
+def test_settings_file(tmp_path, text, want):
+    (tmp_path / "f.yaml").write_text(text)
+    assert read_file(tmp_path / "f.yaml") == want
+
+
+def test_settings_file_of_another_form(tmp_path):
+    (tmp_path / "f.yaml").write_text("just words\n")
+    with pytest.raises(ValueError):
+        read_file(tmp_path / "f.yaml")
+
+
 def test_image_files(spark, tmp_path):
     gray = np.arange(60, dtype=np.uint8).reshape(6, 10)
     (tmp_path / "a.png").write_bytes(image.png(gray))
