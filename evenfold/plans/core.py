@@ -17,17 +17,13 @@ from evenfold.session import checkpoint_dir, cut, table
 from evenfold.sources import store
 from evenfold.sources import text as texts
 
-#: Votes in quarters add up to the same sum in any order.
-QUARTERS = "confidence"
-
-
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ocr_lines")
 
 
-def _quartered(spark: SparkSession, d: str, shared: bool = False) -> DataFrame:
-    lines = _lines(spark, d).withColumn("confidence", (F.floor(scoring.weight(F.col("confidence")).cast("double") * 4) / 4).cast("float"))
-    return lines if shared else lines.withColumn("source", F.concat(F.coalesce("source", F.lit("")), F.lit("#"), F.coalesce("variant", F.lit(""))))
+def _distinct(spark: SparkSession, d: str) -> DataFrame:
+    """The lines with every reading as a source of its own."""
+    return _lines(spark, d).withColumn("source", F.concat(F.coalesce("source", F.lit("")), F.lit("#"), F.coalesce("variant", F.lit(""))))
 
 
 def lines_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -68,14 +64,13 @@ def single_votes(spark: SparkSession, d: str) -> DataFrame:
 
 def _exact(shared: bool):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        lines = _quartered(spark, d, shared)
-        return weighted.reduce_documents(lines, 1.0, "shared")[0]
+        return weighted.reduce_documents(_lines(spark, d), 1.0, "shared" if shared else "distinct")[0]
 
     return query
 
 
 def positions_exact(spark: SparkSession, d: str) -> DataFrame:
-    got = weighted.positions(_quartered(spark, d), 1.0)
+    got = weighted.positions(_distinct(spark, d), 1.0)
     return got.select("group_id", "page", "line", "winner", "convergence_bps", "ambiguity_bps", "votes", "collisions", F.size("clusters").alias("n_clusters"))
 
 
@@ -97,7 +92,7 @@ def positions_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runners(spark: SparkSession, d: str) -> DataFrame:
-    return weighted.positions(_quartered(spark, d), 1.0)
+    return weighted.positions(_distinct(spark, d))
 
 
 def alternatives(spark: SparkSession, d: str) -> DataFrame:
@@ -109,46 +104,24 @@ def alternatives(spark: SparkSession, d: str) -> DataFrame:
 def winner_runner_up(spark: SparkSession, d: str) -> DataFrame:
     c = lambda i, f: F.get("clusters", F.lit(i))[f]
     got = _runners(spark, d).where(F.size("clusters") > 1)
-    return got.select("group_id", "page", "line", c(0, "text").alias("winner"), c(1, "text").alias("runner_up"), (c(0, "total_weight") - c(1, "total_weight")).cast("double").alias("lead"))
+    return got.select("group_id", "page", "line", c(0, "text").alias("winner"), c(1, "text").alias("runner_up"), (c(0, "total_weight") - c(1, "total_weight")).cast("float").cast("double").alias("lead"))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Different keys of neighbouring readings at one position: original against high_contrast, equal pairs once."""
-    keyed = _lines(spark, d).where("text is not null").select("group_id", "page", "line", "variant", text.vote_key(F.col("text")).alias("k")).where("k <> ''").distinct()
-    a, b = (keyed.where(F.col("variant") == v).select("group_id", "page", "line", F.col("k").alias(n)) for v, n in (("original", "a"), ("high_contrast", "b")))
-    return a.join(b, ["group_id", "page", "line"]).where("a <> b").select("a", "b").distinct()
-
-
-def _pairs_all(spark: SparkSession, d: str) -> DataFrame:
     """Different keys of all readings at one position, each unordered pair once, the smaller key first."""
     keyed = _lines(spark, d).where("text is not null").select("group_id", "page", "line", text.vote_key(F.col("text")).alias("k")).where("k <> ''").distinct()
     return keyed.withColumnRenamed("k", "a").join(keyed.withColumnRenamed("k", "b"), ["group_id", "page", "line"]).where("a < b").select("a", "b").distinct()
 
 
 def jw_pairs(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = "^[\\x00-\\x7F]*$"
-    got = _pairs(spark, d).where(F.col("a").rlike(ascii_only) & F.col("b").rlike(ascii_only))
-    return got.select("a", "b", F.round(similarity.jw("a", "b"), 6).alias("similarity"))
+    """The similarity of all pairs, in every script."""
+    return _pairs(spark, d).select("a", "b", F.round(similarity.jw("a", "b"), 6).alias("similarity"))
 
 
-def jw_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """The similarity of all pairs, in every script. jw_pairs has the ASCII ones of two variants, whose SQL counts bytes where this counts code points."""
-    return _pairs_all(spark, d).select("a", "b", F.round(similarity.jw("a", "b"), 6).alias("similarity"))
-
-
-def _vetoes(pairs: DataFrame) -> DataFrame:
+def semantic_veto_pairs(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     same = text.has_cyrillic(a) == text.has_cyrillic(b)
-    return pairs.select("a", "b", text.veto(a, b).alias("veto"), same.alias("same_script"), text.differs_in_numbers(a, b).alias("differs_in_numbers"))
-
-
-def semantic_veto_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _vetoes(_pairs(spark, d))
-
-
-def semantic_veto_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """The vetoes of all pairs; semantic_veto_pairs has those of two variants, as its SQL."""
-    return _vetoes(_pairs_all(spark, d))
+    return _pairs(spark, d).select("a", "b", text.veto(a, b).alias("veto"), same.alias("same_script"), text.differs_in_numbers(a, b).alias("differs_in_numbers"))
 
 
 def key_traits(spark: SparkSession, d: str) -> DataFrame:
@@ -173,14 +146,14 @@ def cluster_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshot_documents(spark: SparkSession, d: str) -> DataFrame:
-    documents, positions = weighted.reduce_documents(_quartered(spark, d), 1.0, "shared")
+    documents, positions = weighted.reduce_documents(_lines(spark, d))
     made = snapshots.snapshots(documents, positions, uuid5(NAMESPACE_URL, F.col("group_id")), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
     return made.select("snapshot_id", "document_id", "content_hash", "confidence", "iterations", F.size("lines").alias("n_lines"))
 
 
 def rehydrate_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Whether each snapshot could be resumed: those of the weighted reducer may differ in confidence from what counting gives."""
-    documents, positions = weighted.reduce_documents(_quartered(spark, d), 1.0, "shared")
+    documents, positions = weighted.reduce_documents(_lines(spark, d))
     made = snapshots.snapshots(documents, positions, uuid5(NAMESPACE_URL, F.col("group_id")), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
     good = made.withColumn("confidence", snapshots.plurality_confidence(F.col("rehydration.cluster_groups")))
     both = snapshots.rehydrate(made).select("document_id", F.col("error").alias("as_written")).join(snapshots.rehydrate(good).select("document_id", F.col("error").alias("recounted")), "document_id")
@@ -188,7 +161,7 @@ def rehydrate_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
-    documents, _ = weighted.reduce_documents(_quartered(spark, d), 1.0, "shared")
+    documents, _ = weighted.reduce_documents(_lines(spark, d))
     made = snapshots.observations(documents, uuid5(NAMESPACE_URL, F.col("group_id")), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
     checked = made.withColumn("invalid", scoring.invalid(F.col("status"), F.col("confidence"), F.col("severity"), F.col("reason_code")))
     return checked.select("id", "document_id", "field", "value", "confidence", "iterations", "status", "reason_code", "note", "invalid")
@@ -300,7 +273,7 @@ def event_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def events_from_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines written as events and read again."""
-    lines = _lines(spark, d).where("text is not null and not isnan(coalesce(confidence, 0))")
+    lines = _lines(spark, d).where("text is not null")
     made = replay.events_of(lines, F.lit(1771113600).cast("long") + F.col("line_id"))
     return replay.lines_of(made, "document_id").select("group_id", "id", "page", "line_index", "text", "variant", "applied")
 
@@ -427,7 +400,7 @@ def pipeline_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     reduce_documents, reduce_strict, positions_fuzzy, positions_exact, lines_scan, lines_keep_blank, document_text, normalize_canonical, vote_keys, incremental_normalize, single_votes,
-    alternatives, winner_runner_up, jw_pairs, jw_pairs_all, semantic_veto_pairs, semantic_veto_pairs_all, key_traits, fields_projection, snapshot_lines, cluster_groups, snapshot_documents, rehydrate_snapshots, observations,
+    alternatives, winner_runner_up, jw_pairs, semantic_veto_pairs, key_traits, fields_projection, snapshot_lines, cluster_groups, snapshot_documents, rehydrate_snapshots, observations,
     document_uuid, content_hash, roi_atomic, roi_clusters, roi_merged, roi_plan, roi_refine, plurality_positions, plurality_metrics, plurality_pages, latest_snapshot, events_after_snapshot,
     replace_into, ignore_into, snapshot_with_lines, duplicate_positions, event_lines, events_from_lines, replay_genesis, replay_positions, replay_checkpoint, replay_equivalence, replay_latest, jsonl_events, otsu_threshold, image_variants, image_regions, image_readings,
     pipeline_snapshots, stored_pipeline,
@@ -472,33 +445,6 @@ def _normal(name: str) -> str:
         select line_id, page, cast(row_number() over (partition by group_id, variant, page order by line, line_id) as int) as line, text from n where text <> ''"""
 
 
-def _fold(shared: bool) -> str:
-    source = "coalesce(source, '')" if shared else "coalesce(source, '') || '#' || coalesce(variant, '')"
-    return f"""
-        l as (select *, {source} as src, floor(cast({_WEIGHT} as double) * 4) / 4 as w, {_VARIANT} as vt from ocr_lines where text is not null),
-        v as (select group_id, page, line, lower(vt) as k, vt, w, src from l where vt <> ''),
-        o as (select *, row_number() over (partition by group_id, page, line, k, src order by vt, w desc) as rn from v),
-        g as (select group_id, page, line, k, vt, sum(w) as w, count(*) as n from o where rn = 1 group by all),
-        c as (select group_id, page, line, k, arg_min(vt, (-w, -n, vt)) as t, sum(w) as w, sum(n) as n from g group by all),
-        r as (select *, row_number() over (partition by group_id, page, line order by w desc, n desc, t) as rank from c),
-        s as (select group_id, page, line, max(case when rank = 1 then t end) as winner, max(case when rank = 1 then w end) as w1, coalesce(max(case when rank = 2 then w end), 0) as w2, sum(w) as total, sum(n) as votes, count(*) as n_clusters from r group by all),
-        b as (select *, case when total > 0 then cast(round(cast(w1 as float) / cast(total as float) * cast(10000 as float)) as int) else 0 end as c0, case when total > 0 then cast(round(cast(w2 as float) / cast(total as float) * cast(10000 as float)) as int) else 0 end as a0,
-            case when total > 0 then cast(round(cast(w1 - w2 as float) / cast(total as float) * cast(10000 as float)) as int) else 0 end as m from s),
-        p as (select group_id, page, line, winner, cast(case when total > 0 and w1 <> w2 and m < 750 then least(c0, 9250) else c0 end as int) as convergence_bps,
-            cast(case when total <= 0 then a0 when w1 = w2 then greatest(a0, c0) when m < 750 then greatest(a0, 10000 - m) else a0 end as int) as ambiguity_bps,
-            cast(votes as int) as votes, cast(votes - n_clusters as int) as collisions, cast(n_clusters as int) as n_clusters, w1, w2 from b)"""
-
-
-def _documents(shared: bool, fold: str = "") -> str:
-    return f"""{fold or _fold(shared)},
-        h as (select group_id, min(src) as source, cast(count(distinct (src, coalesce(variant, ''))) as int) as iterations from (select group_id, variant, {"coalesce(source, '')" if shared else "coalesce(source, '') || '#' || coalesce(variant, '')"} as src from ocr_lines) group by all),
-        q as (select group_id, count(*) as n_positions, count(distinct page) as n_pages, cast(sum(votes) as bigint) as total_votes, cast(sum(convergence_bps) // count(*) as int) as convergence_bps, cast(sum(ambiguity_bps) // count(*) as int) as ambiguity_bps,
-            cast(sum(collisions) * 10000 // sum(votes) as int) as collision_rate_bps, {"cast(sum(negation_conflicts) as bigint) as g1, cast(sum(numeric_conflicts) as bigint) as g2" if fold else "cast(0 as bigint) as g1, cast(0 as bigint) as g2"} from p group by all),
-        d as (select group_id, {_uuid5(NAMESPACE_URL, 'source')} as document_id, source, iterations, n_pages, n_positions, total_votes, convergence_bps, ambiguity_bps, collision_rate_bps,
-            g1 as negation_conflicts, g2 as numeric_conflicts, g1 + g2 as semantic_conflict_count,
-            case when ambiguity_bps <= 1000 and convergence_bps >= 9000 then 'Converged' when convergence_bps >= 5000 then 'Ambiguous' else 'Failed' end as status from q join h using (group_id))"""
-
-
 def _votes(distinct: bool) -> str:
     """One vote per position, key and source of the lines as they are."""
     source = "coalesce(source, '') || '#' || coalesce(variant, '')" if distinct else "coalesce(source, '')"
@@ -506,6 +452,16 @@ def _votes(distinct: bool) -> str:
             from (select group_id, page, line, {_VARIANT} as vt, {_WEIGHT} as w, {source} as src from ocr_lines where text is not null) where vt <> '') where rn = 1"""
 
 
+def _documents(shared: bool, threshold: float) -> str:
+    return f"""{folds.weighted(_votes(not shared), threshold)},
+        h as (select group_id, min(src) as source, cast(count(distinct (src, coalesce(variant, ''))) as int) as iterations from (select group_id, variant, {"coalesce(source, '')" if shared else "coalesce(source, '') || '#' || coalesce(variant, '')"} as src from ocr_lines) group by all),
+        q as (select group_id, count(*) as n_positions, count(distinct page) as n_pages, cast(sum(votes) as bigint) as total_votes, cast(sum(convergence_bps) // count(*) as int) as convergence_bps, cast(sum(ambiguity_bps) // count(*) as int) as ambiguity_bps,
+            cast(sum(collisions) * 10000 // sum(votes) as int) as collision_rate_bps, cast(sum(negation_conflicts) as bigint) as g1, cast(sum(numeric_conflicts) as bigint) as g2 from p group by all),
+        d as (select group_id, {_uuid5(NAMESPACE_URL, 'source')} as document_id, source, iterations, n_pages, n_positions, total_votes, convergence_bps, ambiguity_bps, collision_rate_bps,
+            g1 as negation_conflicts, g2 as numeric_conflicts, g1 + g2 as semantic_conflict_count,
+            case when ambiguity_bps <= 1000 and convergence_bps >= 9000 then 'Converged' when convergence_bps >= 5000 then 'Ambiguous' else 'Failed' end as status from q join h using (group_id))"""
+
+
 def _bare_words(t: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}' || substr('{_WS}', 2, length('{_WS}') - 2) || ']', '', 'g'), '{_WS}+', ' ', 'g'))"
 
@@ -518,15 +474,14 @@ _EVENTS = f"""
             coalesce(json_type(s->'$.OcrVariant') = 'OBJECT', false) and coalesce(json_type(pa->'$.OcrLine') = 'OBJECT', false) as applied from ev)"""
 _REPLAYED = _EVENTS + "," + folds.counted(f"""select group_id, page, line_index, t, row_number() over (partition by group_id, page, line_index order by timestamp nulls first, id nulls first, t) as i
             from (select *, {_bare_words('text')} as t from el where applied) where t <> ''""")
+#: The default reducer over lines as they are, every reading a source of its own.
+_RUN = folds.weighted(_votes(True), 0.9)
 _FIELDS = "f as (select group_id, page, cast(row_number() over (partition by group_id, page order by line) as int) as n, cast(dense_rank() over (partition by group_id order by page) as int) as po, winner as text from p)"
 _DIFFERS = "regexp_replace(lower({a}), '[0-9]', '', 'g') = regexp_replace(lower({b}), '[0-9]', '', 'g') and string_split_regex(lower({a}), '[^0-9]') <> string_split_regex(lower({b}), '[^0-9]')"
 _PAIRS = f"""
-        k as (select distinct group_id, page, line, variant, lower({_VARIANT}) as k from ocr_lines where text is not null),
-        x as (select distinct a.k as a, b.k as b from k a join k b using (group_id, page, line) where a.variant = 'original' and b.variant = 'high_contrast' and a.k <> b.k and a.k <> '' and b.k <> '')"""
-_PAIRS_ALL = f"""
         k as (select distinct group_id, page, line, lower({_VARIANT}) as k from ocr_lines where text is not null),
         x as (select distinct a.k as a, b.k as b from k a join k b using (group_id, page, line) where a.k < b.k and a.k <> '')"""
-_ROIS = f"""{_fold(False)},
+_ROIS = f"""{_RUN},
         e as (select group_id, page, line, t, lead(t) over (partition by group_id, page, line order by rank) as u from r),
         z as (select distinct group_id, page, line, 'NumericConflict' as reason from e where {_DIFFERS.format(a='t', b='u')}),
         y as (select * from z union all select group_id, page, line, 'DenseCluster' from p where n_clusters > 2 union all select group_id, page, line, 'Ambiguity' from p where ambiguity_bps >= 4000),
@@ -535,7 +490,7 @@ _ROIS = f"""{_fold(False)},
         g2 as (select *, sum(case when before is null or s > before + 1 then 1 else 0 end) over (partition by group_id, page order by line, o rows unbounded preceding) as g from b2),
         m2 as (select group_id, page, cast(min(s) as int) as line_start, cast(max(e) as int) as line_end, arg_min(reason, (o, line)) as dominant_reason, cast(count(*) as int) as atomic_count,
             case when arg_min(reason, (line, o)) = 'DenseCluster' then 'Original' else 'HighContrast' end as preprocess_hint from g2 group by group_id, page, g)"""
-_SNAP = f"""{_documents(True).replace("coalesce(source, '')", "coalesce(source, '') || '#' || coalesce(variant, '')")}, {_FIELDS},
+_SNAP = f"""{_documents(False, 0.9)}, {_FIELDS},
         j as (select group_id, list({{'line': n, 'page': po, 'text': text}} order by po, n, text) as lines from f group by all)"""
 
 _SEEN = f"""select source, variant as kind, coalesce(variant, '') || '#' || {_plain('observation_id')} as variant, raw_text from raw_observations where raw_text is not null and source is not null and observation_id is not null
@@ -594,9 +549,9 @@ ORACLE = {
         select group_id, page, line, key, source, variant, weight from o where rn = 1""",
     "positions_fuzzy": f"with recursive {folds.weighted(_votes(False), 0.9)} select group_id, page, line, winner, convergence_bps, ambiguity_bps, votes, collisions, negation_conflicts, numeric_conflicts, array_to_string(list_transform(cs, lambda c: c.t || '#' || c.n), ' ; ') as clusters from p",
     "reduce_documents": f"""
-        with recursive {_documents(False, folds.weighted(_votes(True), 0.9))},
+        with recursive {_documents(False, 0.9)},
         wt as (select group_id, string_agg(winner, chr(10) order by page, line, winner) as winner_text from p group by 1) select * from d join wt using (group_id)""",
-    "reduce_strict": f"with recursive {_documents(False, folds.weighted(_votes(True), 0.95))} select * from d",
+    "reduce_strict": f"with recursive {_documents(False, 0.95)} select * from d",
     "plurality_positions": f"with recursive {_COUNTED} select group_id, page, line_index, winner, largest, total, {folds.MEMBERS} as groups from pl",
     "plurality_metrics": f"with recursive {_COUNTED} select group_id, convergence_bps, 10000 - convergence_bps as ambiguity_bps from pm",
     "plurality_pages": f"""
@@ -650,30 +605,29 @@ ORACLE = {
         wh as (select image_id, height, count(*) filter (v = 255) as a, count(*) filter (v > threshold) as b from px join th using (image_id) group by all)
         select image_id as source, variant, line, case line when 1 then 'size 8 ' || height else 'white ' || case variant when 'original' then a else b end end as text
         from wh, (values ('original'), ('high_contrast')) as v(variant), (values (1), (2)) as l(line)""",
-    "jw_pairs_all": f"with {_PAIRS_ALL} select a, b, round({folds.similarity('a', 'b')}, 6) as similarity from x",
-    "reduce_exact": f"with {_documents(False)} select * from d",
-    "reduce_exact_shared": f"with {_documents(True)} select * from d",
-    "positions_exact": f"with {_fold(False)} select group_id, page, line, winner, convergence_bps, ambiguity_bps, votes, collisions, n_clusters from p",
-    "alternatives": f"with {_fold(False)} select group_id, page, line, cast(rank as int) as rank, t as text, w as total_weight, cast(n as int) as n from r",
-    "winner_runner_up": f"with {_fold(False)} select a.group_id, a.page, a.line, a.t as winner, b.t as runner_up, a.w - b.w as lead from r a join r b using (group_id, page, line) where a.rank = 1 and b.rank = 2",
-    "jw_pairs": f"with {_PAIRS} select a, b, round(jaro_winkler_similarity(a, b), 6) as similarity from x where regexp_full_match(a, '[\\x00-\\x7F]*') and regexp_full_match(b, '[\\x00-\\x7F]*')",
-    **{name: rf"""
-        with {pairs},
+    "jw_pairs": f"with {_PAIRS} select a, b, round({folds.similarity('a', 'b')}, 6) as similarity from x",
+    "reduce_exact": f"with recursive {_documents(False, 1.0)} select * from d",
+    "reduce_exact_shared": f"with recursive {_documents(True, 1.0)} select * from d",
+    "positions_exact": f"with recursive {folds.weighted(_votes(True), 1.0)} select group_id, page, line, winner, convergence_bps, ambiguity_bps, votes, collisions, n_clusters from p",
+    "alternatives": f"with recursive {_RUN} select group_id, page, line, cast(rank as int) as rank, t as text, cast(w as double) as total_weight, cast(n as int) as n from r",
+    "winner_runner_up": f"with recursive {_RUN} select a.group_id, a.page, a.line, a.t as winner, b.t as runner_up, cast(cast(a.w - b.w as float) as double) as lead from r a join r b using (group_id, page, line) where a.rank = 1 and b.rank = 2",
+    "semantic_veto_pairs": rf"""
+        with {_PAIRS},
         n as (select *, regexp_extract_all(a, '[0-9.]*[0-9][0-9.]*') as na, regexp_extract_all(b, '[0-9.]*[0-9][0-9.]*') as nb, list_contains(string_split(a, ' '), 'non') as ga, list_contains(string_split(b, ' '), 'non') as gb from x)
         select a, b, case when ga <> gb then 'negation' when len(na) > 0 and len(nb) > 0 and na <> nb then 'numeric' end as veto, regexp_matches(a, '[\x{{0400}}-\x{{04FF}}]') = regexp_matches(b, '[\x{{0400}}-\x{{04FF}}]') as same_script,
-            {_DIFFERS.format(a='a', b='b')} as differs_in_numbers from n""" for name, pairs in (("semantic_veto_pairs", _PAIRS), ("semantic_veto_pairs_all", _PAIRS_ALL))},
+            {_DIFFERS.format(a='a', b='b')} as differs_in_numbers from n""",
     "key_traits": rf"""
         with k as (select line_id, lower({_VARIANT}) as k from ocr_lines where text is not null)
         select line_id, array_to_string(regexp_extract_all(k, '[0-9.]*[0-9][0-9.]*'), ' ') as numbers, list_contains(string_split(k, ' '), 'non') as negated, regexp_matches(k, '[\x{{0400}}-\x{{04FF}}]') as cyrillic from k""",
-    "fields_projection": f"with {_fold(False)}, {_FIELDS} select group_id, 'page_' || page || '_line_' || n as field, text from f",
-    "snapshot_lines": f"with {_fold(False)}, {_FIELDS} select group_id, po as page, n as line, text from f",
-    "cluster_groups": f"with {_fold(False)} select group_id, page, line - 1 as line_index, array_to_string(flatten(list(list_resize([t], cast(n as int), t) order by rank)), '|') as members from r group by group_id, page, line",
+    "fields_projection": f"with recursive {_RUN}, {_FIELDS} select group_id, 'page_' || page || '_line_' || n as field, text from f",
+    "snapshot_lines": f"with recursive {_RUN}, {_FIELDS} select group_id, po as page, n as line, text from f",
+    "cluster_groups": f"with recursive {_RUN} select group_id, page, line - 1 as line_index, array_to_string(flatten(list(list_resize([t], cast(n as int), t) order by rank)), '|') as members from r group by group_id, page, line",
     "snapshot_documents": f"""
-        with {_SNAP}
+        with recursive {_SNAP}
         select {_uuid5(NAMESPACE_URL, 'group_id')} as snapshot_id, document_id, {_uuid5(NAMESPACE_OID, "cast(to_json({'document_id': document_id, 'iterations': iterations, 'lines': lines}) as varchar)")} as content_hash,
             cast(convergence_bps / 10000 as float) as confidence, iterations, cast(len(lines) as int) as n_lines from d join j using (group_id)""",
     "observations": f"""
-        with {_SNAP}
+        with recursive {_SNAP}
         select {_uuid5(NAMESPACE_URL, 'group_id')} as id, document_id, 'reducer.document' as field, source as value, cast(convergence_bps / 10000 as float) as confidence, iterations, status,
             case status when 'Ambiguous' then 'ambiguity_high' else 'reducer_failed' end as reason_code,
             case status when 'Ambiguous' then 'ambiguity_score_bps=' || ambiguity_bps || ' convergence_score_bps=' || convergence_bps else 'pages=' || n_pages || ' iterations=' || iterations end as note, cast(null as varchar) as invalid
@@ -682,14 +636,14 @@ ORACLE = {
     "content_hash": f"""
         with l as (select snapshot_id, list({{'line': line, 'page': page, 'text': text}} order by page, line, text) as lines, cast(count(*) as int) as n from snapshot_lines group by all)
         select snapshot_id, {_uuid5(NAMESPACE_OID, "cast(to_json({'document_id': snapshot_id, 'iterations': n, 'lines': lines}) as varchar)")} as content_hash from l""",
-    "roi_atomic": f"with {_ROIS} select * from z",
-    "roi_merged": f"with {_ROIS} select * from m2",
+    "roi_atomic": f"with recursive {_ROIS} select * from z",
+    "roi_merged": f"with recursive {_ROIS} select * from m2",
     "roi_plan": f"""
-        with {_ROIS}, g3 as (select group_id, cast(sum(atomic_count) as int) as atomic_count, cast(count(*) as int) as n_regions, cast(sum(line_end - line_start + 1) as int) as n_lines,
+        with recursive {_ROIS}, g3 as (select group_id, cast(sum(atomic_count) as int) as atomic_count, cast(count(*) as int) as n_regions, cast(sum(line_end - line_start + 1) as int) as n_lines,
             list({{'page': page, 'line_start': line_start, 'line_end': line_end, 'dominant_reason': dominant_reason}} order by page, line_start, line_end) as regions from m2 group by group_id)
         select group_id, atomic_count, n_regions, n_lines, sha256(cast(to_json({{'group_id': group_id, 'atomic_count': atomic_count, 'regions': regions}}) as varchar)) as plan_hash from g3""",
     "roi_refine": f"""
-        with {_ROIS}, t as (select group_id, variant, page, line, min(text) as text from ocr_lines where text is not null group by all),
+        with recursive {_ROIS}, t as (select group_id, variant, page, line, min(text) as text from ocr_lines where text is not null group by all),
         i as (select m.group_id, m.page, t.line, t.text, greatest(line_start, 1) as a, line_end as b from m2 m join t on t.group_id = m.group_id and t.page = m.page and t.variant = case preprocess_hint when 'Original' then 'original' else 'high_contrast' end and t.line between greatest(line_start, 1) and line_end where t.text <> '')
         select group_id, page, line, arg_min(text, (a, b, text)) as text from i group by all""",
     "latest_snapshot": f"select {_plain('document_id')} as document_id, arg_max(snapshot_id, (created_at, arrived_at, snapshot_id)) as snapshot_id, max(created_at) as created_at from snapshot_metadata where document_id is not null group by 1",
@@ -709,7 +663,7 @@ ORACLE = {
         v as (select image_id, t, b * (a - b) * pow(s / b - (u - s) / (a - b), 2) as v from w where a > b)
         select image_id, cast(coalesce(arg_max(t, (v, -t)), 128) as int) as threshold from v group by 1""",
     "rehydrate_snapshots": f"""
-        with {_SNAP},
+        with recursive {_SNAP},
         n2 as (select group_id, page, line, cast(max(n) * 10000 // sum(n) as bigint) as c from r group by all),
         m as (select group_id, cast(cast(sum(c) // count(*) as int) / 10000 as float) as recount from n2 group by all)
         select document_id, case when abs(recount - cast(convergence_bps / 10000 as float)) > 1e-4 then 'confidence_mismatch' end as as_written, cast(null as varchar) as recounted from d join m using (group_id)""",
@@ -719,5 +673,5 @@ ORACLE = {
             coalesce(json_type(s->'$.OcrVariant') = 'OBJECT', false) and coalesce(json_type(p->'$.OcrLine') = 'OBJECT', false) as applied from e""",
     "events_from_lines": f"""
         select group_id, {_uuid5(NAMESPACE_OID, "concat_ws('#', group_id, variant, page, line, text, 1771113600 + line_id)")} as id, page, line - 1 as line_index, text, variant, true as applied
-        from ocr_lines where text is not null and not isnan(coalesce(confidence, 0))""",
+        from ocr_lines where text is not null""",
 }
