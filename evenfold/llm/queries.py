@@ -137,4 +137,13 @@ ORACLE = {
         d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
         h as (select doc_id, array_to_string(w[i : i + 11], ' ') as g from d, unnest(range(1, len(w) - 10)) as t(i))
         select distinct item_id, doc_id from h join g using (g)""",
+    "p8_clean": r"""
+        with w as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items),
+        g as (select distinct array_to_string(w[i : i + 11], ' ') as g from w, unnest(range(1, len(w) - 10)) as t(i)),
+        d as (select doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+        h as (select doc_id, i, array_to_string(w[i : i + 11], ' ') as g from d, unnest(range(1, len(w) - 10)) as t(i)),
+        l as (select doc_id, list(distinct k) as ks from (select doc_id, unnest(range(i, i + 12)) as k from h semi join g using (g)) group by doc_id),
+        c as (select doc_id, ks, regexp_extract_all(text, '[\p{L}\p{N}]+') as w, string_split_regex(text, '[\p{L}\p{N}]+') as gap from d join l using (doc_id))
+        select doc_id, case when len(ks) <= 0.5 * len(w) then gap[1] || array_to_string(list_transform(range(1, len(w) + 1),
+            lambda k: case when list_contains(ks, k) then '' else w[k] end || case when list_contains(ks, k) and list_contains(ks, k + 1) then '' else gap[k + 1] end), '') end as text, cast(len(ks) as bigint) as n_removed from c""",
 }
