@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ from evenfold.functions import text
 from evenfold.functions.similarity import jaro_winkler
 
 THRESHOLD = 0.90
+#: The same texts are compared on many positions.
+_alike = lru_cache(maxsize=100_000)(jaro_winkler)
 
 
 def best_of(members: list[str]) -> str:
@@ -44,7 +47,7 @@ class Groups:
     def insert(self, candidate: str) -> None:
         """Into the first cluster whose smallest member is like the candidate, else into a new one."""
         for c in self.clusters:
-            if jaro_winkler(c[0][0], candidate) >= THRESHOLD:
+            if _alike(c[0][0], candidate) >= THRESHOLD:
                 if candidate not in c[1]:
                     insort(c[0], candidate)
                     c[1][candidate] = 0

@@ -52,10 +52,10 @@ def lines_of(events: DataFrame, key: str) -> DataFrame:
     )
 
 
-def counters(lines: DataFrame) -> DataFrame:
-    """(group_id, applied_events, skipped_events, source): source is that of the first applied event."""
+def counters(lines: DataFrame, *by: str) -> DataFrame:
+    """(group_id, or what by says, applied_events, skipped_events, source): source is that of the first applied event."""
     first = F.min(F.when(F.col("applied"), F.struct("timestamp", "id")))["id"]
-    return lines.groupBy("group_id").agg(F.count_if("applied").alias("applied_events"), F.count_if(~F.col("applied")).alias("skipped_events"), F.concat(F.lit("event://"), first).alias("source"))
+    return lines.groupBy(*(by or ("group_id",))).agg(F.count_if("applied").alias("applied_events"), F.count_if(~F.col("applied")).alias("skipped_events"), F.concat(F.lit("event://"), first).alias("source"))
 
 
 def replay(events: DataFrame, key: str, checkpoint: DataFrame | None = None, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -111,14 +111,17 @@ def equivalent(events: DataFrame, key: str, cut_at: int) -> DataFrame:
     if last is not None and cut_at > last:
         raise ValueError(f"the cut {cut_at} lies beyond the last event at {last}")
     lines = lines_of(events, key)
-    late = F.col("timestamp") > cut_at
-    both = cut(plurality.fold(lines.where("applied"), [F.col("timestamp"), F.col("id")], late=F.coalesce(late, F.lit(False))))
+    late = F.coalesce(F.col("timestamp") > cut_at, F.lit(False))
+    both = cut(plurality.fold(lines.where("applied"), [F.col("timestamp"), F.col("id")], late=late))
     whole, head = both.where("not at_cut").drop("at_cut"), both.where("at_cut").drop("at_cut")
-    first = events.where(~F.coalesce(late, F.lit(False)))
-    resumed, documents = replay(events.where(late), key, head.select("group_id", "page", "line_index", "groups"), _documents(counters(lines_of(first, key)), head, None))
+    counted = cut(counters(lines.withColumn("late", late), "group_id", "late"))  # two rows per document at most
+    before, after_ = (counted.where(c).drop("late") for c in ("not late", "late"))
+    total = counted.groupBy("group_id").agg(F.sum("applied_events").alias("applied_events"), F.sum("skipped_events").alias("skipped_events"), F.coalesce(F.max(F.when(~F.col("late"), F.col("source"))), F.max("source")).alias("source"))
+    resumed = plurality.fold(lines.where(late & F.col("applied")), [F.col("timestamp"), F.col("id")], head.select("group_id", "page", "line_index", "groups"))
+    documents = _documents(after_, resumed, _documents(before, head, None))
     at, scores = ["group_id", "page", "line_index"], ["source", "iterations", "convergence_bps", "ambiguity_bps"]
     pair = whole.select(*at, F.col("groups").alias("a")).join(resumed.select(*at, F.col("groups").alias("b")), at, "full")
     same = pair.groupBy("group_id").agg(F.every(F.col("a").eqNullSafe(F.col("b"))).alias("clusters"))
-    own = _documents(counters(lines), whole, None).select("group_id", F.struct(*scores).alias("x"))
+    own = _documents(total, whole, None).select("group_id", F.struct(*scores).alias("x"))
     got = own.join(documents.select("group_id", F.struct(*scores).alias("y")), "group_id", "left").join(same, "group_id", "left")
     return got.select("group_id", "x.*", (F.col("x").eqNullSafe(F.col("y")) & F.coalesce("clusters", F.lit(True))).alias("equivalent"))
