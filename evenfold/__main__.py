@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from evenfold.config import resolve
+from evenfold.config import Paths, resolve
 from evenfold.schema import EVENTS
 
 
@@ -17,13 +17,12 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--config")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("show-config")
-    run = sub.add_parser("process", help="a table of readings (source, variant, text), or with --images a folder of images, to snapshots under a folder")
+    run = sub.add_parser("process", help="a table of readings (source, variant, text), or with --images a folder of images, to the store under a root")
     run.add_argument("readings")
     run.add_argument("root")
-    run.add_argument("--images", action="store_true", help="read the images with the tesseract command")
-    again = sub.add_parser("replay", help="event files to winners, for one document or all, from the latest snapshots of a store if there are any")
-    again.add_argument("events")
-    again.add_argument("--snapshots", help="the snapshots folder of a store")
+    run.add_argument("--images", action="store_true", help="read the images with the tesseract command; its readings are kept under the root")
+    again = sub.add_parser("replay", help="the events under a root (JSON lines) to winners, from the latest snapshots of its store if there are any")
+    again.add_argument("root")
     again.add_argument("--document")
     a = p.parse_args(args)
     config = resolve(a.profile, a.lang, a.config)
@@ -33,19 +32,22 @@ def main(args: list[str] | None = None) -> int:
     from evenfold.session import local_session
 
     spark = local_session()
+    paths = Paths(a.root)
     if a.command == "process":
         from evenfold.operators import image
         from evenfold.plans import pipeline
 
-        readings = pipeline.read_documents(image.read_gray(spark, a.readings), str(config.lang.value)) if a.images else spark.read.parquet(a.readings)
-        pipeline.persist(pipeline.process(readings, F.current_timestamp(), config.profile.value), a.root)
+        if a.images:  # reading images is what takes time, so it is done once
+            made = paths.readings()
+            pipeline.read_documents(image.read_gray(spark, a.readings), str(config.lang.value)).write.mode("overwrite").parquet(made)
+        pipeline.persist(pipeline.process(spark.read.parquet(made if a.images else a.readings), F.current_timestamp(), config.profile.value), paths.store)
         return 0
     from evenfold.operators import replay
     from evenfold.sources import store
 
-    events = store.read_jsonl(spark, a.events, EVENTS + ", document_id string")
+    events = store.read_jsonl(spark, paths.events, EVENTS + ", document_id string")
     events = events.where(F.col("document_id") == a.document) if a.document else events
-    stored = spark.read.parquet(a.snapshots) if a.snapshots and store.exists(spark, a.snapshots) else None
+    stored = store.Store(spark, paths.store).read("snapshots") if store.exists(spark, f"{paths.store}/snapshots") else None
     replay.from_latest(events, stored, a.document, config.profile.value).show(truncate=False)
     return 0
 

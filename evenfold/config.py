@@ -32,6 +32,25 @@ class Config:
         return "\n".join(f"{k:<30} {v!s:<20} {'[' + s + ']' if s else ''}".rstrip() for k, v, s in rows)
 
 
+@dataclass(frozen=True)
+class Paths:
+    """Where things lie under one root, on whatever file system it names."""
+
+    root: str
+
+    @property
+    def store(self) -> str:
+        return f"{self.root}/store"
+
+    @property
+    def events(self) -> str:
+        return f"{self.root}/events"
+
+    def readings(self, run: str = "latest") -> str:
+        """What the reader made of the images in one run."""
+        return f"{self.root}/readings/{run}"
+
+
 _ENTRY = re.compile(r"""([A-Za-z_][\w-]*)\s*:(?:\s+(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^\s#"'][^#]*?(?:(?<=\S)#[^#]*?)*)))?\s*(?:(?<=\s)\#.*)?$""")
 
 

@@ -101,6 +101,7 @@ def refine(documents: DataFrame, positions: DataFrame, regions: DataFrame, lines
 
 def persist(result: Result, root: str) -> None:
     """Raw readings first, then what was derived from them. Appends, so runs over the same readings repeat their ids; read with store.latest."""
-    store.append(result.raw_observations, f"{root}/raw_observations")
-    store.append(result.snapshots, f"{root}/snapshots")
-    store.append(result.observations, f"{root}/observations")
+    to = store.Store(result.documents.sparkSession, root)
+    to.append("raw_observations", result.raw_observations)
+    to.append("snapshots", result.snapshots)
+    to.append("observations", result.observations)

@@ -6,8 +6,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from evenfold.schema import OBSERVATIONS, RAW_OBSERVATIONS, SNAPSHOTS
 from evenfold.sources.files import exists
 
+#: A store's tables with their schemas.
+TABLES = {"raw_observations": RAW_OBSERVATIONS, "snapshots": SNAPSHOTS, "observations": OBSERVATIONS}
+
+
+class Store:
+    """The tables under a folder. Opening makes what isn't there, empty; what is there stays. A table that lacks a column of its schema is an error."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        for name, schema in TABLES.items():
+            if not exists(spark, f"{root}/{name}"):
+                spark.createDataFrame([], schema).write.mode("append").parquet(f"{root}/{name}")
+            lost = {f.name for f in StructType.fromDDL(schema)} - set(self.read(name).columns)
+            if lost:
+                raise ValueError(f"{root}/{name} lacks {', '.join(sorted(lost))}")
+
+    def read(self, name: str) -> DataFrame:
+        """All rows of a table, those of repeated runs as well."""
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        append(rows.select(*(f.name for f in StructType.fromDDL(TABLES[name]))), f"{self.root}/{name}")
+
+    def latest_snapshots(self, document_id: str | None = None) -> DataFrame:
+        """The snapshot created last of every document, or of one."""
+        rows = self.read("snapshots")
+        return latest(rows.where(F.col("document_id") == document_id) if document_id else rows, "document_id", ["created_at", "snapshot_id"])
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Rows of a JSON lines file or folder; a missing path is empty, blank lines are passed over, a malformed line fails the read."""

@@ -97,3 +97,36 @@ def test_image_files(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"no image")
     got = image.read_gray(spark, str(tmp_path)).collect()
     assert [(r.width, r.height, bytes(r.pixels)) for r in got] == [(10, 6, gray.tobytes())]
+
+
+def test_store_is_opened_once(spark, tmp_path):
+    """Opening makes the tables, opening again keeps their rows, a table of another form is refused."""
+    root = str(tmp_path / "store")
+    made = store.Store(spark, root)
+    assert all(made.read(t).count() == 0 for t in store.TABLES) and made.latest_snapshots().count() == 0
+    rows = spark.createDataFrame([("s1", "d", 1), ("s2", "d", 2), ("s3", "e", 1)], "snapshot_id string, document_id string, day int").withColumn("created_at", F.timestamp_seconds(F.col("day") * 86400))
+    for c in made.read("snapshots").schema:
+        if c.name not in rows.columns:
+            rows = rows.withColumn(c.name, F.lit(None).cast(c.dataType))
+    made.append("snapshots", rows)
+    again = store.Store(spark, root)
+    assert {r.snapshot_id for r in again.latest_snapshots().collect()} == {"s2", "s3"} and again.latest_snapshots("d").first().snapshot_id == "s2"
+    spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "other/snapshots"))
+    with pytest.raises(ValueError, match="lacks"):
+        store.Store(spark, str(tmp_path / "other"))
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    """Readings to a store, then events replayed from its snapshots."""
+    from evenfold import __main__ as command
+    from evenfold import session
+
+    monkeypatch.setattr(session, "local_session", lambda *a: spark)
+    spark.createDataFrame([("a.png", "original", "total 12\nzeta"), ("a.png", "rotated", "total 12\nzeta")], "source string, variant string, text string").write.parquet(str(tmp_path / "r"))
+    assert command.main(["process", str(tmp_path / "r"), str(tmp_path / "root")]) == 0
+    doc = store.Store(spark, str(tmp_path / "root/store")).latest_snapshots().first().document_id
+    event = ("0197a1b2-c3d4-7e5f-8a6b-0c1d2e3f4a01", 1, 4_000_000_000, '{"OcrVariant":{"variant":"original","page":1,"line_index":0}}', '{"OcrLine":{"text":"total 12","confidence":1.0}}', 1.0, doc)
+    store.append_jsonl(spark.createDataFrame([event], "id string, schema_version int, timestamp bigint, source string, payload string, confidence float, document_id string"), str(tmp_path / "root/events"))
+    assert command.main(["replay", str(tmp_path / "root"), "--document", doc]) == 0
+    assert "checkpoint+tail" in capsys.readouterr().out
+    assert command.main(["show-config"]) == 0 and "profile" in capsys.readouterr().out
