@@ -44,8 +44,10 @@ TITLE = [  # fixed values: one title block as three variants read it
     ("b", ["05/06/2020 DESCRIZIONE :", "NOME FILE :", "MATERIALE :", "rss", "NUM. DISEGNO", "FOGLIO 1 DI 1"]),
     ("c", ["05/06/2020", "TBCSS", "NOME FILE", "DIM. FOGLIO : NUM. DISEGNO", "A3", "1 dor)", "FOGLIO 1 DI i"]),
 ]
+# fixed values: one page of which a reading has a line too many
 GHOST = [("a", ["Document Title", "Line 1 content", "Line 2 content", "Line 3 content", "Footer text"]), ("b", ["Document Title", "Line 1 content", "Line 2 content", "Line 3 content", "Footer text"]),
          ("c", ["Document Title", "Line 1 content", "Line 2 content", "Line 3 content", "GHOST LINE artifact", "Footer text"])]
+# fixed values: amounts as three readings spell them
 MONEY = [("a", ["Currency Conversion Examples", "Amount in Euro: €1000.00", "Amount in USD: 1000 USD", "Amount in EUR: 1000 EUR"]),
          ("b", ["Currency Conversion Examples", "Amount in Euro: 1000.00 €", "Amount in USD: USD 1000", "Amount in EUR: EUR 1000"]),
          ("c", ["Currency Conversion Examples", "Amount in Euro: €1000", "Amount in USD: 1000 USD", "Amount in EUR: 1000 EUR"])]
@@ -55,6 +57,7 @@ def weighed(rows, weights):
     return [(s, [(t, w) for t in body]) for (s, body), w in zip(rows, weights, strict=True)]
 
 
+# fixed values: the scores (convergence, ambiguity, collisions) and conflicts (negation, numeric) of these readings
 @pytest.mark.parametrize("rows,scores,conflicts", [
     (TITLE, (6666, 2856, 2631), (0, 0)), (weighed(TITLE, [0.90, 0.88, 0.72]), (7028, 3474, 2631), (0, 0)),
     ([("s", body) for _, body in TITLE], (5476, 4047, 0), (0, 0)),
