@@ -155,8 +155,10 @@ class Unifier:
         latin, greek, cyrillic = (ALPHABETS[s] for s in "LGC")
         rare = "".join(ALPHABETS[s] for s in RARE)
         self.foreign = re.compile(f"[{greek}{cyrillic}{rare}]")
-        beside = [(latin, greek + cyrillic + rare), (greek, cyrillic), (greek + cyrillic, rare)]
-        self.mixed = re.compile(rf"[^\W_]*(?:{'|'.join(rf'[{a}][^\W_]*[{b}]|[{b}][^\W_]*[{a}]' for a, b in beside)})[^\W_]*")
+        kinds = (latin, greek, cyrillic, rare)
+        between = f"[^\\W_{''.join(kinds)}]*"  # letters of no such alphabet, and digits
+        #: Where a word turns from one alphabet to another.
+        self.turn = re.compile("|".join(f"[{k}]{between}[{''.join(x for x in kinds if x != k)}]" for k in kinds))
         both = "".join(sorted(c for c in self.across if script(c) not in RARE))
         self.bare = re.compile(rf"(?<![^\W_])(?=\d*[{both}])[{both}\d]+(?![^\W_])")
         self.code = re.compile(rf"(?<![^\W_])(?=\d*[{both}])(?:[{both}]*\d[{both}\d]*(?![^\W_])|[{both}]+(?=-\d))")
@@ -184,17 +186,32 @@ class Unifier:
         """The word in a script, as far as its letters have look-alikes there."""
         return "".join(self.across[c].get(to, c) if c in self.across and script(c) != to else c for c in word)
 
-    def _mixed(self, m: re.Match) -> str:
-        word = m.group()
+    def _mixed(self, text: str, start: int, end: int) -> str:
+        """A word of several alphabets in the one that it shows."""
+        word = text[start:end]
         scripts = Counter(filter(None, map(script, word)))
         if len(scripts) < 2:
             return word
         to = self.tells(word)
         if not to:
-            near = self.context(m.string, m.start(), m.end())
+            near = self.context(text, start, end)
             to = near if near in scripts else scripts.most_common(1)[0][0] if near != "#" else "L"
         return self.respell(word, to)
 
+    def _unmix(self, text: str) -> str:
+        out, at = [], 0
+        for m in self.turn.finditer(text):
+            start, end = m.span()
+            if start < at:
+                continue  # the same word turns again
+            while start and text[start - 1].isalnum():
+                start -= 1
+            while end < len(text) and text[end].isalnum():
+                end += 1
+            out += [text[at:start], self._mixed(text, start, end)]
+            at = end
+        return "".join(out) + text[at:]
+
     def context(self, text: str, start: int, end: int) -> str:
         """What a word without a telling letter stands by: # for digits (A0, KT-57294), otherwise the script of the nearest
         word in its line that has one, the left one of two; empty if there is none."""
@@ -221,7 +238,7 @@ class Unifier:
         text = self.plain(text)
         if text.isascii():
             return text
-        return self.mixed.sub(self._mixed, text) if self.foreign.search(text) else text
+        return self._unmix(text) if self.foreign.search(text) else text
 
     def rewrite(self, text: str, words: dict[tuple[str, str], str] | None = None) -> str:
         text = self.unmixed(text)
