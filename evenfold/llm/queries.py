@@ -87,9 +87,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
-    """The texts of raw_observations as continuous paragraphs; one row for each row."""
+    """Continuous paragraphs: one row for each row of raw_observations (record_id is its observation_id, variant null) and for each reading
+    in ocr_lines (record_id is its group_id)."""
     texts, lines = _scanned(spark, d)
-    return scannoise.repair(texts, scannoise.ship(texts.select("text").unionByName(lines.select("text"))))
+    known = scannoise.ship(texts.select("text").unionByName(lines.select("text")))
+    whole = scannoise.repair(texts, known).select(F.lit("raw_observations").alias("table_name"), "record_id", F.lit(None).cast("string").alias("variant"), "text")
+    readings = scannoise.repair_readings(lines.withColumn("group_id", plain_uuid("group_id")), known)
+    return whole.unionByName(readings.select(F.lit("ocr_lines").alias("table_name"), F.col("group_id").alias("record_id"), "variant", "text"))
 
 
 QUERIES = {
