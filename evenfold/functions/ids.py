@@ -17,11 +17,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _bare(c: Column) -> Column:
+    return F.replace(F.regexp_replace(F.lower(c), r"^\s*\{?\s*(urn:uuid:)?|\}?\s*$", ""), F.lit("-"), F.lit(""))
+
+
 def uuid_hex(c: Column | str) -> Column:
     """The 32 hex digits of a UUID in any spelling (case, hyphens, braces, ``urn:uuid:``,
     white space around); null for null and for whatever isn't a UUID."""
-    c = _col(c)
-    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"^\s*\{?\s*(urn:uuid:)?|\}?\s*$", ""), "-", "")
+    bare = _bare(_col(c))
     return F.when(bare.rlike("^[0-9a-f]{32}$"), bare)
 
 
@@ -33,8 +36,8 @@ def hyphened(h: Column) -> Column:
 def plain_uuid(c: Column | str) -> Column:
     """Plain form of a UUID in any spelling; other strings come back trimmed, null stays null."""
     c = _col(c)
-    h = uuid_hex(c)
-    return F.when(c.rlike(_PLAIN), c).when(h.isNotNull(), hyphened(h)).otherwise(F.trim(c))
+    spaced = F.regexp_replace(_bare(c), "^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})$", "$1-$2-$3-$4-$5")
+    return F.when(c.rlike(_PLAIN), c).otherwise(F.coalesce(F.regexp_substr(spaced, F.lit(_PLAIN)), F.trim(c)))
 
 
 def uuid5(namespace_hex: str, name: Column) -> Column:

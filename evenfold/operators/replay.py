@@ -44,7 +44,8 @@ def lines_of(events: DataFrame, key: str) -> DataFrame:
     """(group_id, id, timestamp, page, line_index, text, variant, applied): applied is false for events of another source or payload (and for JSON that doesn't parse),
     which replay skips. page and line_index default to 0."""
     s, p = F.from_json("source", _SOURCE), F.from_json("payload", _PAYLOAD)
-    rows = events.select(F.col(key).alias("group_id"), "id", "timestamp", s.alias("s"), p.alias("p")).where("group_id is not null")
+    named = events.select(F.col(key).alias("_key"), "id", "timestamp", "source", "payload")
+    rows = plurality.once(named, F.col("_key").alias("group_id"), s.alias("s"), p.alias("p")).where("group_id is not null")
     at = F.col("s.OcrVariant")
     return rows.select(
         "group_id", "id", "timestamp", F.coalesce(at["page"], F.lit(0)).alias("page"), F.coalesce(at["line_index"], F.lit(0)).alias("line_index"),
@@ -58,24 +59,39 @@ def counters(lines: DataFrame, *by: str) -> DataFrame:
     return lines.groupBy(*(by or ("group_id",))).agg(F.count_if("applied").alias("applied_events"), F.count_if(~F.col("applied")).alias("skipped_events"), F.concat(F.lit("event://"), first).alias("source"))
 
 
-def replay(events: DataFrame, key: str, checkpoint: DataFrame | None = None, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def replay(events: DataFrame, key: str, checkpoint: DataFrame | None = None, heads: DataFrame | None = None, kept: bool = False) -> tuple[DataFrame, DataFrame]:
     """(positions, documents). checkpoint: positions (group_id, page, line_index, groups) to go on from, and heads: its documents
     (group_id, source, iterations). A document keeps its checkpoint's source, and its iterations go on from there; without one, its first applied
-    event is its source. Documents of the checkpoint without later events are there as well."""
+    event is its source. Documents of the checkpoint without later events are there as well. kept: both are wanted, so
+    the replay is made and written once."""
     lines = lines_of(events, key)
+    if kept:
+        folded = cut(plurality.fold_events(lines, checkpoint))
+        return folded.where("total is not null").select("group_id", "page", "line_index", "winner", "largest", "total", "groups"), _documents(folded, heads)
     folded = plurality.fold(lines.where("applied"), [F.col("timestamp"), F.col("id")], checkpoint).drop("at_cut")
-    return folded, _documents(counters(lines), folded, heads)
+    return folded, _documents(plurality.fold_events(lines, checkpoint, groups=False), heads)
 
 
-def _documents(counted: DataFrame, folded: DataFrame, heads: DataFrame | None) -> DataFrame:
+def _documents(folded: DataFrame, heads: DataFrame | None) -> DataFrame:
+    """Documents of fold_events. Those without events are left to the heads."""
+    counts = [F.sum(c).alias(c) for c in ("applied_events", "skipped_events")]
+    found = folded.groupBy("group_id").agg(*counts, _source().alias("source"), plurality.convergence().alias("convergence_bps"))
+    any_ = F.col("applied_events") + F.col("skipped_events") > 0
     if heads is None:
-        found = counted.withColumn("iterations", F.col("applied_events"))
+        found = found.where(any_).withColumn("iterations", F.col("applied_events"))
     else:
-        old = heads.select("group_id", F.col("source").alias("_s"), F.col("iterations").cast("long").alias("_i"))
+        old = heads.select("group_id", F.col("source").alias("_s"), F.col("iterations").cast("long").alias("_i"), F.lit(True).alias("_old"))
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-        found = counted.join(old, "group_id", "full").select("group_id", zero("applied_events").alias("applied_events"), zero("skipped_events").alias("skipped_events"), F.coalesce("_s", "source").alias("source"), (zero("_i") + zero("applied_events")).alias("iterations"))
-    documents = found.join(plurality.metrics(folded), "group_id", "left")
-    return documents.withColumns({"convergence_bps": F.coalesce("convergence_bps", F.lit(0)), "ambiguity_bps": F.coalesce("ambiguity_bps", F.lit(10_000))})
+        found = found.join(old, "group_id", "full").where(any_ | F.col("_old"))
+        found = found.select("group_id", zero("applied_events").alias("applied_events"), zero("skipped_events").alias("skipped_events"), F.coalesce("_s", "source").alias("source"), (zero("_i") + zero("applied_events")).alias("iterations"), "convergence_bps")
+    bps = F.coalesce("convergence_bps", F.lit(0))
+    return found.select("group_id", "applied_events", "skipped_events", "source", "iterations", bps.alias("convergence_bps"), (F.lit(10_000) - bps).alias("ambiguity_bps"))
+
+
+def _source(among: Column | None = None) -> Column:
+    """An aggregate over positions of fold_events: the source that the first applied event gives."""
+    here = F.col("applied_events") > 0 if among is None else among
+    return F.concat(F.lit("event://"), F.min(F.when(here, F.struct("first_timestamp", "first_id")))["first_id"])
 
 
 def after(events: DataFrame, heads: DataFrame) -> DataFrame:
@@ -104,24 +120,15 @@ def from_latest(events: DataFrame, stored: DataFrame | None, document: str | Non
 
 def equivalent(events: DataFrame, key: str, cut_at: int) -> DataFrame:
     """(group_id, source, iterations, convergence_bps, ambiguity_bps, equivalent): whether a replay up to time cut_at and one of the rest from there gives
-    what one replay gives: the same source, iterations and scores, and the same clusters at every position. Every document with events is there. The
-    replay of all events also gives the state at the cut, so each event is taken up once before the cut and twice after it. A cut later than
-    the last event is an error."""
+    what one replay gives: the same source, iterations and scores, and the same clusters at every position. Every document with events is there. Both
+    replays are made in one pass: each event is taken up once before the cut and twice after it. A cut later than the last event is an error."""
     last = events.where(F.col(key).isNotNull()).agg(F.max("timestamp")).first()[0]
     if last is not None and cut_at > last:
         raise ValueError(f"the cut {cut_at} lies beyond the last event at {last}")
-    lines = lines_of(events, key)
-    late = F.coalesce(F.col("timestamp") > cut_at, F.lit(False))
-    both = cut(plurality.fold(lines.where("applied"), [F.col("timestamp"), F.col("id")], late=late))
-    whole, head = both.where("not at_cut").drop("at_cut"), both.where("at_cut").drop("at_cut")
-    counted = cut(counters(lines.withColumn("late", late), "group_id", "late"))  # two rows per document at most
-    before, after_ = (counted.where(c).drop("late") for c in ("not late", "late"))
-    total = counted.groupBy("group_id").agg(F.sum("applied_events").alias("applied_events"), F.sum("skipped_events").alias("skipped_events"), F.coalesce(F.max(F.when(~F.col("late"), F.col("source"))), F.max("source")).alias("source"))
-    resumed = plurality.fold(lines.where(late & F.col("applied")), [F.col("timestamp"), F.col("id")], head.select("group_id", "page", "line_index", "groups"))
-    documents = _documents(after_, resumed, _documents(before, head, None))
-    at, scores = ["group_id", "page", "line_index"], ["source", "iterations", "convergence_bps", "ambiguity_bps"]
-    pair = whole.select(*at, F.col("groups").alias("a")).join(resumed.select(*at, F.col("groups").alias("b")), at, "full")
-    same = pair.groupBy("group_id").agg(F.every(F.col("a").eqNullSafe(F.col("b"))).alias("clusters"))
-    own = _documents(total, whole, None).select("group_id", F.struct(*scores).alias("x"))
-    got = own.join(documents.select("group_id", F.struct(*scores).alias("y")), "group_id", "left").join(same, "group_id", "left")
-    return got.select("group_id", "x.*", (F.col("x").eqNullSafe(F.col("y")) & F.coalesce("clusters", F.lit(True))).alias("equivalent"))
+    folded = plurality.fold_events(lines_of(events, key), late=F.coalesce(F.col("timestamp") > cut_at, F.lit(False)), groups=False)
+    score = lambda largest, total: F.coalesce(plurality.convergence(largest, total), F.lit(0))
+    # the resumed replay keeps the source of its checkpoint, and its iterations go on from there
+    own = F.struct(_source().alias("source"), F.sum("applied_events").alias("iterations"), score("largest", "total").alias("convergence_bps"))
+    resumed = F.struct(F.coalesce(_source(F.col("early_events") > 0), _source()).alias("source"), (F.sum("early_events") + F.sum("late_events")).alias("iterations"), score("resumed_largest", "resumed_total").alias("convergence_bps"))
+    got = folded.groupBy("group_id").agg(own.alias("x"), resumed.alias("y"), F.every("same").alias("clusters"))
+    return got.select("group_id", "x.*", (F.lit(10_000) - F.col("x.convergence_bps")).alias("ambiguity_bps"), (F.col("x").eqNullSafe(F.col("y")) & F.col("clusters")).alias("equivalent"))

@@ -384,9 +384,9 @@ def stored_pipeline(spark: SparkSession, d: str) -> DataFrame:
 def replay_latest(spark: SparkSession, d: str) -> DataFrame:
     """Events up to CUT replayed and stored as snapshots, then each document resumed from its snapshot. A document's id is here that of its first event."""
     events = _events(spark, d)
-    named = replay.counters(replay.lines_of(events, "group_id")).select("group_id", uuid5(NAMESPACE_URL, F.col("source")).alias("doc")).where("doc is not null")
-    events = cut(events.join(named, "group_id").select("id", "timestamp", "source", "payload", F.col("doc").alias("document_id")))
-    positions, documents = replay.replay(events.where(F.col("timestamp") <= CUT), "document_id")
+    named = cut(replay.counters(replay.lines_of(events, "group_id")).select("group_id", uuid5(NAMESPACE_URL, F.col("source")).alias("doc")).where("doc is not null"))
+    events = events.join(named, "group_id").select("id", "timestamp", "source", "payload", F.col("doc").alias("document_id"))
+    positions, documents = replay.replay(events.where(F.col("timestamp") <= CUT), "document_id", kept=True)
     documents = documents.withColumns({"document_id": F.col("group_id"), "iterations": F.col("iterations").cast("int")})
     state = positions.withColumns({"line": F.col("line_index") + 1, "convergence_bps": F.lit(None).cast("int")})
     stored = cut(snapshots.snapshots(documents, state, F.col("group_id"), F.timestamp_seconds(F.lit(CUT))))

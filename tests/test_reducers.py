@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evenfold.functions import similarity
 from evenfold.functions.ids import NAMESPACE_URL, uuid5
 from evenfold.operators import plurality, replay, roi, snapshots, weighted
 from evenfold.plans import core, pipeline
@@ -371,3 +372,32 @@ def test_pipeline_takes_every_reading(spark, tmp_path):
     p = made.reduced.first()
     assert p.winner == "total 12" and [c["count"] for c in p.clusters] == [2, 1]
     assert sorted(r.variant for r in made.raw_observations.collect()) == ["original", "original", "rotated"] and made.raw_observations.select("observation_id").distinct().count() == 3
+
+
+def test_many_clusters_are_not_all_compared(monkeypatch):
+    """A position with many clusters compares a text with few of them, with the outcome of comparing it with all in order."""
+    rng = random.Random(5)
+    texts_ = ["".join(rng.choice("abcdefghij 0123456789") for _ in range(rng.randrange(8, 40))) for _ in range(300)]
+    votes = [t if rng.random() < 0.3 else t[:3] + rng.choice("xyz") + t[4:] for t in rng.choices(texts_, k=900)]
+    clusters: list = []
+    for v in votes:
+        c = next((c for c in clusters if similarity.jaro_winkler(min(c), v) >= plurality.THRESHOLD), None)
+        if c is None:
+            clusters.append(c := [])
+        c.append(v)
+        clusters.sort(key=lambda c: (-len(c), plurality.best_of(c)))
+    calls = []
+    monkeypatch.setattr(plurality, "_alike", lambda a, b: calls.append(1) or similarity.jaro_winkler(a, b))
+    groups = plurality.Groups()
+    for v in votes:
+        groups.insert(v)
+    assert [sorted(c) for c in clusters] == [[t for t, n in c for _ in range(n)] for c in groups.members()]
+    assert len(clusters) > 200 and len(calls) < 20 * len(votes)
+
+
+def test_replay_parses_an_event_once(spark, tmp_path):
+    spark.createDataFrame([event(1, 1, 1, 0, "x")], EV).write.parquet(str(tmp_path / "e"))
+    df = spark.read.parquet(str(tmp_path / "e"))
+    for made in replay.replay(df, "document_id"):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(StructField(OcrVariant") == plan.count("from_json(StructField(OcrLine") == plan.count("lower(") == 1
