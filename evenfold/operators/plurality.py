@@ -227,8 +227,8 @@ def _stream(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
                 if before:
                     give(True)
                     before = False
-                if resumes and h is None:
-                    h = Groups(g.members() if g is not None else [[(alone, 1)]] if alone is not None else None)
+                if resumes and not late_n and (g is not None or alone is not None):  # else both go on from nothing
+                    h = Groups(g.members() if g is not None else [[(alone, 1)]])
                 late_n += 1
             if not value:
                 continue
